@@ -46,27 +46,20 @@ def cut_points(hashes: DataFrame, train_ratio: float, val_ratio: float) -> DataF
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
         .select("prefix", "before", "cut", "rank")
     )
-    ranked = (
+    near = (
         hashes.select("h", prefix.alias("prefix"))
-        .join(F.broadcast(located.select("prefix").distinct()), "prefix", "left_semi")
-        .groupBy("prefix", "h")
+        .join(F.broadcast(located), "prefix")
+        .groupBy("cut", "before", "rank", "h")
         .agg(F.count("*").alias("rows"))
-        .withColumn(
-            "through", F.sum("rows").over(Window.partitionBy("prefix").orderBy("h"))
-        )
-    )
-    found = (
-        ranked.join(F.broadcast(located), "prefix")
-        .where(F.col("before") + F.col("through") > F.col("rank"))
-        .groupBy("cut")
-        .agg(F.min("h").alias("h"))
     )
+    through = F.col("before") + F.sum("rows").over(Window.partitionBy("cut").orderBy("h"))
+    beyond = near.select("cut", "h", "rank", through.alias("through")).where("through > rank")
 
     def first_hash(cut: str) -> Column:
         hash_ = F.min(F.when(F.col("cut") == cut, F.col("h")))
         return F.coalesce(hash_, F.lit(BEYOND_ALL_HASHES)).alias(cut)
 
-    return found.agg(F.struct(first_hash("val"), first_hash("test")).alias("cut"))
+    return beyond.agg(F.struct(first_hash("val"), first_hash("test")).alias("cut"))
 
 
 def split_rows(
