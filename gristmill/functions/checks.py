@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,15 +44,13 @@ def no_errors() -> Column:
 
 
 def error(rule: str, entity: str | None, field: str | Column | None, message: str | Column) -> Column:
-    def text(part: str | Column | None) -> Column:
-        return part if isinstance(part, Column) else F.lit(part).cast("string")
+    def text(part: str | Column | None, name: str) -> Column:
+        column = part if isinstance(part, Column) else F.lit(part)
+        return (column.cast("string") if part is None else column).alias(name)
 
     return F.struct(
-        F.lit(rule).alias("rule"),
-        text(entity).alias("entity"),
-        text(field).alias("field"),
-        text(message).alias("message"),
-    ).cast(ERROR_TYPE)
+        text(rule, "rule"), text(entity, "entity"), text(field, "field"), text(message, "message")
+    )
 
 
 def error_if(condition: Column, *parts) -> Column:
@@ -347,22 +345,25 @@ def schema_matches(record: Record, entity: Entity) -> Column:
     return record.is_object & all_of(schema_checks(record, entity).values())
 
 
-def schema_match_count(record: Record, spec: Spec) -> Column:
-    count = F.lit(0)
-    for entity in spec.entities:
-        count = count + schema_matches(record, entity).cast("int")
-    return count
+def _exactly_one(matches: Sequence[Column]) -> Column:
+    return sum((m.cast("int") for m in matches), start=F.lit(0)) == 1
 
 
 def schema_valid(record: Record, spec: Spec) -> Column:
     """The record satisfies exactly one entity."""
-    return schema_match_count(record, spec) == 1
+    return _exactly_one([schema_matches(record, e) for e in spec.entities])
 
 
 def schema_entity_errors(record: Record, entity: Entity) -> Column:
+    return _schema_entity_errors(record, entity, _schema_tests(record, entity))
+
+
+def _schema_entity_errors(
+    record: Record, entity: Entity, tests: Sequence[tuple[str, str, Column]]
+) -> Column:
     parts = [
         error_if(~ok, rule, entity.name, name, f"{entity.name}.{name}: {rule} check failed")
-        for rule, name, ok in _schema_tests(record, entity)
+        for rule, name, ok in tests
     ]
     extra = F.transform(
         record.unknown_keys(entity.field_names),
@@ -378,14 +379,19 @@ def schema_entity_errors(record: Record, entity: Entity) -> Column:
 
 def schema_errors(record: Record, spec: Spec) -> Column:
     """Empty for a valid record; else the errors of every entity, or the ambiguity."""
-    matches = schema_match_count(record, spec)
-    per_entity = join_errors(schema_entity_errors(record, e) for e in spec.entities)
+    tests = {e.name: _schema_tests(record, e) for e in spec.entities}
+    matches = [
+        all_of(ok for _, _, ok in tests[e.name]) & ~record.has_unknown_keys(e.field_names)
+        for e in spec.entities
+    ]
+    per_entity = join_errors(_schema_entity_errors(record, e, tests[e.name]) for e in spec.entities)
+    none = F.array(error("oneOf", None, None, "Matches no entity"))
+    several = F.array(error("oneOf", None, None, "Matches more than one entity"))
     return (
-        F.when(matches == 1, no_errors())
-        .when(~record.is_object, F.array(error("object", None, None, "Not a JSON object")))
-        .when(matches == 0, F.concat(per_entity, F.array(
-            error("oneOf", None, None, "Matches no entity"))))
-        .otherwise(F.array(error("oneOf", None, None, "Matches more than one entity")))
+        F.when(~record.is_object, F.array(error("object", None, None, "Not a JSON object")))
+        .when(_exactly_one(matches), no_errors())
+        .when(any_of(matches), several)
+        .otherwise(F.concat(per_entity, none))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 RECORD_TYPE = "map<string,variant>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _wrapped(text: Column) -> Column:
     return F.concat(F.lit("["), text, F.lit("]"))
 
@@ -29,9 +36,13 @@ def _ends_cleanly(text: Column) -> Column:
 
 def parse_value(text: Column) -> Column:
     """Any JSON value as VARIANT; null when the text is not exactly one JSON value."""
-    items = F.try_parse_json(_wrapped(text))
-    only_one = F.try_variant_get(items, "$[1]", "variant").isNull()
-    return F.when(only_one & _ends_cleanly(text), F.try_variant_get(items, "$[0]", "variant"))
+    return _once(
+        F.try_parse_json(_wrapped(text)),
+        lambda items: F.when(
+            F.try_variant_get(items, "$[1]", "variant").isNull() & _ends_cleanly(text),
+            F.try_variant_get(items, "$[0]", "variant"),
+        ),
+    )
 
 
 def last_wins(fields: Column) -> Column:
@@ -53,8 +64,12 @@ def parse_record(text: Column) -> Column:
 
     The map keeps what a struct would lose: absent and null keys differ, and unknown keys stay.
     """
-    items = F.from_json(_wrapped(text), f"array<{RECORD_TYPE}>", STRICT)
-    return F.when((F.size(items) == 1) & _ends_cleanly(text), last_wins(F.get(items, F.lit(0))))
+    return _once(
+        F.from_json(_wrapped(text), f"array<{RECORD_TYPE}>", STRICT),
+        lambda items: F.when(
+            (F.size(items) == 1) & _ends_cleanly(text), last_wins(F.get(items, F.lit(0)))
+        ),
+    )
 
 
 def parse_records(text: Column) -> Column:
@@ -67,20 +82,20 @@ def parse_records(text: Column) -> Column:
         F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v:array<string>>", STRICT
     )["v"]
     arrays = F.from_json(_wrapped(text), f"array<array<{RECORD_TYPE}>>", STRICT)
-    records = F.get(arrays, F.lit(0))
-    usable = (
-        (F.size(arrays) == 1)
-        & (F.size(raws) == F.size(records))
-        & ~F.exists(records, lambda m: m.isNull())
-    )
-    return F.when(
-        usable,
-        F.zip_with(
-            raws,
-            records,
-            lambda raw, m: F.struct(raw.alias("raw"), last_wins(m).alias("fields")),
+    pairs = _once(
+        arrays,
+        lambda a: F.when(
+            (F.size(a) == 1) & ~F.exists(F.get(a, F.lit(0)), lambda m: m.isNull()),
+            F.zip_with(
+                raws,
+                F.get(a, F.lit(0)),
+                lambda raw, m: F.struct(raw.alias("raw"), last_wins(m).alias("fields")),
+            ),
         ),
     )
+    return _once(
+        pairs, lambda p: F.when(~F.exists(p, lambda x: x["raw"].isNull()), p)
+    )
 
 
 def is_integer_type(type_name: Column) -> Column:
@@ -120,7 +135,7 @@ def canonical(fields: Column) -> Column:
     Keys are sorted at every level; each value's type is appended because ``1`` and ``1.0``
     print alike.
     """
-    keys = F.array_sort(F.map_keys(fields))
+    keys = F.sort_array(F.map_keys(fields))
     return F.concat(
         F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: fields[k]))),
         F.to_json(F.transform(keys, lambda k: F.schema_of_variant(fields[k]))),

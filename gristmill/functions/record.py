@@ -8,7 +8,7 @@ On typed columns most of them are literals that the optimizer folds away.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +29,14 @@ def is_true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-@dataclass(frozen=True)
 class Value:
-    """What the checks need to know about the value of one key."""
+    """What the checks need to know about the value of one key.
 
+    ``text`` is the string, null for other values; ``number`` the number, booleans as 0 and 1,
+    null for other values; ``display`` the value as Python would print it.
+    """
+
+    raw: Column
     present: Column
     is_null: Column
     is_text: Column
@@ -40,12 +44,11 @@ class Value:
     is_float: Column
     is_bool: Column
     is_list: Column
-    text: Column  # the string, null for other values
-    number: Column  # the number, booleans as 0 and 1, null for other values
-    display: Column  # the value as Python would print it in a message
-    raw: Column
+    text: Column
+    number: Column
+    display: Column
 
-    @property
+    @cached_property
     def is_numeric(self) -> Column:
         """What Python's int and float cover; a bool is an int there."""
         return self.is_int | self.is_float | self.is_bool
@@ -63,6 +66,48 @@ class Value:
 
 
 class _VariantValue(Value):
+    def __init__(self, fields: Column, name: str):
+        self.present = is_true(F.map_contains_key(fields, F.lit(name)))
+        self.raw = F.element_at(fields, F.lit(name))
+        self.type_name = F.schema_of_variant(self.raw)
+
+    @cached_property
+    def is_null(self) -> Column:
+        return is_true(self.type_name == "VOID")
+
+    @cached_property
+    def is_text(self) -> Column:
+        return is_true(self.type_name == "STRING")
+
+    @cached_property
+    def is_int(self) -> Column:
+        return is_true(is_integer_type(self.type_name))
+
+    @cached_property
+    def is_float(self) -> Column:
+        broken = (self.type_name == "DOUBLE") | self.type_name.startswith("DECIMAL(")
+        return is_true(broken) & ~self.is_int
+
+    @cached_property
+    def is_bool(self) -> Column:
+        return is_true(self.type_name == "BOOLEAN")
+
+    @cached_property
+    def is_list(self) -> Column:
+        return is_true(self.type_name.startswith("ARRAY<"))
+
+    @cached_property
+    def text(self) -> Column:
+        return F.when(self.is_text, F.try_variant_get(self.raw, "$", "string"))
+
+    @cached_property
+    def number(self) -> Column:
+        return F.when(~self.is_text, F.try_variant_get(self.raw, "$", "double"))
+
+    @cached_property
+    def display(self) -> Column:
+        return python_text(self.raw)
+
     def items_are(self, json_type: str) -> Column:
         items = F.try_variant_get(self.raw, "$", "array<variant>")
         return is_true(F.forall(items, lambda item: _item_is(item, json_type)))
@@ -70,13 +115,13 @@ class _VariantValue(Value):
 
 def _item_is(item: Column, json_type: str) -> Column:
     name = F.schema_of_variant(item)
-    number = F.try_variant_get(item, "$", "double")
     if json_type == "string":
         return name == "STRING"
     if json_type == "boolean":
         return name == "BOOLEAN"
     is_float = (name == "DOUBLE") | (name == "FLOAT") | name.startswith("DECIMAL(")
     if json_type == "integer":
+        number = F.try_variant_get(item, "$", "double")
         return (name == "BIGINT") | (is_float & (number == F.floor(number)))
     return (name == "BIGINT") | is_float
 
@@ -86,6 +131,7 @@ class VariantRecord:
 
     def __init__(self, fields: Column):
         self.fields = fields
+        self._values: dict[str, Value] = {}
 
     @property
     def is_object(self) -> Column:
@@ -96,24 +142,9 @@ class VariantRecord:
         return F.coalesce(F.map_keys(self.fields), F.array().cast("array<string>"))
 
     def value(self, name: str) -> Value:
-        raw = F.element_at(self.fields, F.lit(name))
-        type_name = F.schema_of_variant(raw)
-        integer = is_integer_type(type_name)
-        return _VariantValue(
-            present=is_true(F.map_contains_key(self.fields, F.lit(name))),
-            is_null=is_true(type_name == "VOID"),
-            is_text=is_true(type_name == "STRING"),
-            is_int=is_true(integer),
-            is_float=is_true(
-                ((type_name == "DOUBLE") | type_name.startswith("DECIMAL(")) & ~integer
-            ),
-            is_bool=is_true(type_name == "BOOLEAN"),
-            is_list=is_true(type_name.startswith("ARRAY<")),
-            text=F.when(type_name == "STRING", F.try_variant_get(raw, "$", "string")),
-            number=F.when(type_name != "STRING", F.try_variant_get(raw, "$", "double")),
-            display=python_text(raw),
-            raw=raw,
-        )
+        if name not in self._values:
+            self._values[name] = _VariantValue(self.fields, name)
+        return self._values[name]
 
     def unknown_keys(self, known: list[str]) -> Column:
         names = F.array(*[F.lit(name) for name in known]).cast("array<string>")
@@ -128,8 +159,74 @@ class VariantRecord:
         return F.transform(texts, lambda v: F.try_variant_get(v, "$", "string"))
 
 
+def _kind(dtype: T.DataType | None) -> str:
+    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
+        return "text"
+    if isinstance(dtype, T.BooleanType):
+        return "bool"
+    if isinstance(dtype, T.IntegralType):
+        return "int"
+    if isinstance(dtype, (T.FractionalType, T.DecimalType)):
+        return "float"
+    if isinstance(dtype, T.ArrayType):
+        return "list"
+    return "other"
+
+
 class _TypedValue(Value):
-    dtype: T.DataType = T.NullType()
+    """``dtype`` is None for a key the table does not have."""
+
+    def __init__(self, column: str | None, dtype: T.DataType | None):
+        self.dtype = dtype
+        self.kind = _kind(dtype)
+        self.present = F.lit(dtype is not None)
+        self.raw = F.col(column) if column is not None else F.lit(None)
+        self.is_null = self.raw.isNull() if dtype is not None else false()
+
+    def _holds(self, kind: str) -> Column:
+        return self.raw.isNotNull() if self.kind == kind else false()
+
+    @cached_property
+    def is_text(self) -> Column:
+        return self._holds("text")
+
+    @cached_property
+    def is_int(self) -> Column:
+        return self._holds("int")
+
+    @cached_property
+    def is_float(self) -> Column:
+        return self._holds("float")
+
+    @cached_property
+    def is_bool(self) -> Column:
+        return self._holds("bool")
+
+    @cached_property
+    def is_list(self) -> Column:
+        return self._holds("list")
+
+    @cached_property
+    def text(self) -> Column:
+        return self.raw if self.kind == "text" else F.lit(None).cast("string")
+
+    @cached_property
+    def number(self) -> Column:
+        if self.kind == "bool":
+            return self.raw.cast("int")
+        return self.raw if self.kind in ("int", "float") else F.lit(None).cast("double")
+
+    @cached_property
+    def display(self) -> Column:
+        if self.dtype is None:
+            return F.lit(None).cast("string")
+        if self.kind == "bool":
+            shown = F.initcap(self.raw.cast("string"))
+        elif self.kind == "list":
+            shown = F.to_json(self.raw)
+        else:
+            shown = self.raw.cast("string")
+        return F.coalesce(shown, F.lit("None"))
 
     @property
     def is_nan(self) -> Column:
@@ -138,52 +235,23 @@ class _TypedValue(Value):
         return false()
 
     def bound(self, limit: float) -> Column:
-        """Whole bounds stay integers on integer columns: exact, and pushed to the scan."""
-        if isinstance(self.dtype, T.IntegralType) and float(limit).is_integer():
+        """Whole bounds stay integers on integer columns: exact, and without casts."""
+        if self.kind == "int" and float(limit).is_integer():
             return F.lit(int(limit))
         return F.lit(limit)
 
     def items_are(self, json_type: str) -> Column:
-        if not isinstance(self.dtype, T.ArrayType):
+        if self.kind != "list":
             return false()
         kind = _kind(self.dtype.elementType)
-        if json_type == "string":
-            ok = kind == "text"
-        elif json_type == "boolean":
-            ok = kind == "bool"
-        else:
-            ok = kind in ("int", "float")
-        if not ok:
+        fits = {"string": ("text",), "boolean": ("bool",)}.get(json_type, ("int", "float"))
+        if kind not in fits:
             return is_true(F.size(self.raw) == 0)
         if json_type == "integer" and kind == "float":
             return is_true(F.forall(self.raw, lambda x: is_true(x == F.floor(x))))
         return is_true(F.forall(self.raw, lambda x: x.isNotNull()))
 
 
-def _kind(dtype: T.DataType) -> str:
-    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        return "text"
-    if isinstance(dtype, T.BooleanType):
-        return "bool"
-    if isinstance(dtype, T.IntegralType):
-        return "int"
-    if isinstance(dtype, (T.FractionalType, T.DecimalType)):
-        return "float"
-    if isinstance(dtype, T.ArrayType):
-        return "list"
-    return "other"
-
-
-def _typed_display(raw: Column, kind: str) -> Column:
-    if kind == "bool":
-        shown = F.initcap(raw.cast("string"))
-    elif kind == "list":
-        shown = F.to_json(raw)
-    else:
-        shown = raw.cast("string")
-    return F.coalesce(shown, F.lit("None"))
-
-
 class TypedRecord:
     """A record whose keys are columns; a null cell is a key present with a null value.
 
@@ -195,8 +263,10 @@ class TypedRecord:
             columns = df.columns
         if not isinstance(columns, Mapping):
             columns = {name: name for name in columns}
+        schema = df.schema
         self.columns = dict(columns)
-        self.types = {key: df.schema[name].dataType for key, name in self.columns.items()}
+        self.types = {key: schema[name].dataType for key, name in self.columns.items()}
+        self._values: dict[str, Value] = {}
 
     @property
     def is_object(self) -> Column:
@@ -207,37 +277,9 @@ class TypedRecord:
         return F.array(*[F.lit(name) for name in self.columns]).cast("array<string>")
 
     def value(self, name: str) -> Value:
-        if name not in self.columns:
-            null = F.lit(None)
-            return _TypedValue(
-                false(), false(), false(), false(), false(), false(), false(),
-                null.cast("string"), null.cast("double"), null.cast("string"), null,
-            )
-        raw = F.col(self.columns[name])
-        dtype = self.types[name]
-        kind = _kind(dtype)
-
-        def holds(wanted: str) -> Column:
-            return raw.isNotNull() if kind == wanted else false()
-
-        numeric = kind in ("int", "float", "bool")
-        value = _TypedValue(
-            present=true(),
-            is_null=raw.isNull(),
-            is_text=holds("text"),
-            is_int=holds("int"),
-            is_float=holds("float"),
-            is_bool=holds("bool"),
-            is_list=holds("list"),
-            text=raw if kind == "text" else F.lit(None).cast("string"),
-            number=(raw.cast("int") if kind == "bool" else raw)
-            if numeric
-            else F.lit(None).cast("double"),
-            display=_typed_display(raw, kind),
-            raw=raw,
-        )
-        object.__setattr__(value, "dtype", dtype)
-        return value
+        if name not in self._values:
+            self._values[name] = _TypedValue(self.columns.get(name), self.types.get(name))
+        return self._values[name]
 
     def unknown_keys(self, known: list[str]) -> Column:
         extra = [F.lit(name) for name in self.columns if name not in known]
