@@ -64,8 +64,20 @@ def parse_record(text: Column) -> Column:
 
     The map keeps what a struct would lose: absent and null keys differ, and unknown keys stay.
     """
+    return _parse_object(text, RECORD_TYPE)
+
+
+def parse_texts(text: Column) -> Column:
+    """A JSON object as ``MAP<STRING,STRING>``: strings as they are, other values as JSON text.
+
+    Nested values keep their key order, which a VARIANT does not, and floats their ``.0``.
+    """
+    return _parse_object(text, "map<string,string>")
+
+
+def _parse_object(text: Column, object_type: str) -> Column:
     return _once(
-        F.from_json(_wrapped(text), f"array<{RECORD_TYPE}>", STRICT),
+        F.from_json(_wrapped(text), f"array<{object_type}>", STRICT),
         lambda items: F.when(
             (F.size(items) == 1) & _ends_cleanly(text), last_wins(F.get(items, F.lit(0)))
         ),

@@ -3,61 +3,60 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.functions.json_text import last_wins, parse_value, python_text, value_text
+from gristmill.functions.json_text import parse_texts, parse_value
 
 # Where a JSON object may sit in a model's text.
 FLAT_OBJECT = r"\{[^{}]*\}"
 WIDEST_OBJECT = r"(?s)\{.*\}"
 
 
-def format_fields(fields: Column) -> Column:
-    """``key: value`` lines of an open-keyed record, in key order; strings unquoted."""
+def format_fields(raw: Column) -> Column:
+    """``key: value`` lines of a JSON object, in key order; strings unquoted, others as JSON."""
     lines = F.transform(
-        F.map_entries(fields),
-        lambda e: F.concat(
-            e["key"],
-            F.lit(": "),
-            F.when(
-                F.schema_of_variant(e["value"]) == "STRING",
-                F.try_variant_get(e["value"], "$", "string"),
-            ).otherwise(value_text(e["value"])),
-        ),
+        F.map_entries(parse_texts(raw)),
+        lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))),
     )
     return F.array_join(lines, "\n")
 
 
-def format_columns(columns: Mapping[str, Column]) -> Column:
-    """``key: value`` lines of string columns; other types are passed through ``as_json``."""
-    return F.concat_ws(
-        "\n", *[F.concat(F.lit(f"{key}: "), value) for key, value in columns.items()]
-    )
-
-
-def as_json(value: Column) -> Column:
-    """JSON text of one scalar or nested column; null becomes ``null``."""
-    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+def format_input(value: Column, text: Column) -> Column:
+    """Prompt text of any JSON value: objects as lines, other values as Python prints them.
 
+    ``value`` is the VARIANT and ``text`` the same value's JSON text, or the string itself.
+    """
+    type_name = F.schema_of_variant(value)
+    return (
+        F.when(type_name.startswith("OBJECT<"), format_fields(text))
+        .when(type_name == "VOID", F.lit("None"))
+        .when(type_name == "BOOLEAN", F.initcap(text))
+        .otherwise(text)
+    )
 
-def format_value(value: Column) -> Column:
-    """Prompt text of any VARIANT: objects as lines, other values as Python prints them."""
-    is_object = F.schema_of_variant(value).startswith("OBJECT<")
-    return F.when(
-        is_object, format_fields(last_wins(F.from_json(F.to_json(value), "map<string,variant>")))
-    ).otherwise(python_text(value))
 
+def format_output(value: Column, text: Column, layout: str = "compact") -> Column:
+    """JSON text of a value, keys in document order.
 
-@F.pandas_udf(T.StringType())
-def indented_json(text: pd.Series) -> pd.Series:
-    """Two-space indented JSON, keys in document order, non-ASCII escaped."""
-    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2))
+    ``compact`` is made on the JVM; ``indented`` is byte for byte Python's two-space layout
+    with escaped non-ASCII characters, and goes through Python.
+    """
+    is_text = F.schema_of_variant(value) == "STRING"
+    written = F.when(is_text, F.to_json(value)).otherwise(F.coalesce(text, F.lit("null")))
+    if layout == "compact":
+        return written
+    if layout != "indented":
+        raise ValueError("layout must be 'compact' or 'indented'")
+
+    @F.pandas_udf(T.StringType())
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2))
+
+    return indented(written)
 
 
 def extract_json(text: Column) -> Column:

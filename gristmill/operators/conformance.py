@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions.checks import schema_errors
+from gristmill.functions.checks import (
+    matched_entity,
+    ontology_errors,
+    schema_errors,
+    schema_valid,
+)
 from gristmill.functions.json_text import parse_record
 from gristmill.functions.record import VariantRecord
 from gristmill.spec import Entity, Field, Spec
@@ -161,7 +166,20 @@ def failures(rows: DataFrame, spec: Spec) -> DataFrame:
     return parsed.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
 
-def examples_table(spark, spec: Spec) -> DataFrame:
-    """The spec's example pairs as rows of JSON text."""
+def check_examples(pairs: DataFrame, spec: Spec, output: str = "output") -> DataFrame:
+    """Example pairs with a verdict on their output: the entity it matches, or none."""
+    record = VariantRecord(F.col("fields"))
+    parsed = pairs.withColumn("fields", parse_record(F.col(output)))
+    return parsed.withColumns(
+        {
+            "matched_entity": matched_entity(record, spec),
+            "errors": ontology_errors(record, spec),
+            "is_valid": schema_valid(record, spec),
+        }
+    ).drop("fields")
+
+
+def examples_table(spark: SparkSession, spec: Spec) -> DataFrame:
+    """The spec's declared example pairs as rows of JSON text."""
     rows = [(i, json.dumps(e["input"]), json.dumps(e["output"])) for i, e in enumerate(spec.examples)]
     return spark.createDataFrame(rows, "example int, input string, output string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.checks import Record, no_errors, schema_errors
+from gristmill.functions.json_text import parse_record
 from gristmill.functions.prompt import format_fields, parse_output
 from gristmill.functions.record import VariantRecord
 from gristmill.spec import Spec
@@ -69,19 +70,20 @@ PredictFunction = Callable[[Sequence[str]], Sequence[str]]
 
 def predict(
     df: DataFrame,
-    fields: str,
+    raw: str,
     spec: Spec,
     predict_fn: PredictFunction,
     *,
     strict: bool = True,
     config: GateConfig = GateConfig(),
 ) -> DataFrame:
-    """Gate the input, build the prompt, call the model in batches, parse and check its text.
+    """Gate the JSON text ``raw``, build the prompt, call the model in batches, parse and check its text.
 
     With ``strict`` a refused input fails the job, otherwise it is left out. Outputs are never
     refused; ``output_valid`` and ``output_errors`` tell about them.
     """
-    gated = gate(df, VariantRecord(F.col(fields)), spec, config)
+    parsed = df.withColumn("_fields", parse_record(F.col(raw)))
+    gated = gate(parsed, VariantRecord(F.col("_fields")), spec, config)
     requests = require_accepted(gated) if strict else accepted_rows(gated)
 
     @F.pandas_udf(T.StringType())
@@ -90,8 +92,8 @@ def predict(
             yield pd.Series(list(predict_fn(prompts.tolist())), dtype="object")
 
     answers = (
-        requests.drop("is_valid", "errors", "accepted")
-        .withColumn("prompt", format_fields(F.col(fields)))
+        requests.drop("_fields", "is_valid", "errors", "accepted")
+        .withColumn("prompt", format_fields(F.col(raw)))
         .withColumn("generated", answer(F.col("prompt")))
         .withColumn("output", parse_output(F.col("generated")))
     )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.checks import light_valid
-from gristmill.functions.prompt import format_value, indented_json
+from gristmill.functions.json_text import parse_record, parse_texts
+from gristmill.functions.prompt import format_input, format_output
 from gristmill.functions.record import VariantRecord
 from gristmill.spec import Spec
 
@@ -19,23 +20,20 @@ MAX_TOKENS = 2048
 Tokenizer = Callable[[str], Sequence[int]]
 
 
-def example_output(value: Column, layout: str = "compact") -> Column:
-    """JSON text of an output. ``indented`` matches Python's two-space layout exactly."""
-    text = F.to_json(value)
-    if layout == "indented":
-        return indented_json(text)
-    if layout != "compact":
-        raise ValueError("layout must be 'compact' or 'indented'")
-    return text
+def training_text(raw: Column, layout: str = "compact") -> Column:
+    """Prompt lines, a line end, and the output; or the ready ``text`` of other records.
 
-
-def training_text(fields: Column, layout: str = "compact") -> Column:
-    """Prompt lines, a line end, and the output; or the ready ``text`` of other records."""
-    record = VariantRecord(fields)
-    given, wanted, text = record.value("input"), record.value("output"), record.value("text")
-    pair = F.concat(format_value(given.raw), F.lit("\n"), example_output(wanted.raw, layout))
-    ready = F.concat(F.when(text.present, text.display).otherwise(F.lit("")), F.lit("\n"))
-    return F.when(given.present & wanted.present, pair).otherwise(ready)
+    ``raw`` is the record's JSON text.
+    """
+    record, texts = VariantRecord(parse_record(raw)), parse_texts(raw)
+    given, wanted, ready = record.value("input"), record.value("output"), record.value("text")
+    pair = F.concat(
+        format_input(given.raw, texts["input"]),
+        F.lit("\n"),
+        format_output(wanted.raw, texts["output"], layout),
+    )
+    text = F.when(ready.present, format_input(ready.raw, texts["text"])).otherwise(F.lit(""))
+    return F.when(given.present & wanted.present, pair).otherwise(F.concat(text, F.lit("\n")))
 
 
 def output_conforms(fields: Column, spec: Spec) -> Column:

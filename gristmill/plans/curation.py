@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from gristmill.operators.curation import (
 )
 from gristmill.operators.split import split_rows
 from gristmill.session import configure, scratch_path
-from gristmill.sources.files import CORPUS_PATTERNS, SCAN_ORDER, find_files, scan_corpus
+from gristmill.sources.files import CORPUS_PATTERNS, SCAN_ORDER, find_files, locate, scan_corpus
 from gristmill.sources.sinks import curation_summary, write_jsonl, write_summary
 
 
@@ -85,11 +86,11 @@ def curate_corpus(
     summary = curation_summary(
         rows.select("split"), _tag_names(include), _tag_names(exclude)
     )
-    wanted = list((patterns or CORPUS_PATTERNS).values())
-    sources = find_files(spark, raw_dir, wanted[0], recursive=recursive)
-    for pattern in wanted[1:]:
-        sources = sources.unionByName(find_files(spark, raw_dir, pattern, recursive=recursive))
-    write_summary(summary, sources, out_dir)
+    listings = [
+        find_files(spark, *locate(raw_dir, pattern), recursive=recursive)
+        for pattern in (patterns or CORPUS_PATTERNS).values()
+    ]
+    write_summary(summary, reduce(DataFrame.unionByName, listings), out_dir)
     return spark.read.schema(summary.schema).json(f"{out_dir}/metadata")
 
 

@@ -106,26 +106,6 @@ def read_jsonl(
     return _check(scan, on_bad, "JSON line")
 
 
-def _yaml_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    try:
-        import yaml
-    except ImportError as missing:  # pragma: no cover
-        raise ImportError("reading YAML needs the PyYAML package on every executor") from missing
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            records = yaml.load(content, Loader=loader) or []
-            if not isinstance(records, list):
-                records = [None]
-            yield pd.DataFrame(
-                {
-                    "path": path,
-                    "pos": range(len(records)),
-                    "raw": [json.dumps(r, ensure_ascii=False, default=str) for r in records],
-                }
-            )
-
-
 def read_yaml_list(
     spark: SparkSession,
     path: str,
@@ -134,10 +114,22 @@ def read_yaml_list(
     recursive: bool = False,
     on_bad: str = "fail",
 ) -> DataFrame:
-    """Files that each hold one YAML list of mappings; one file per Python call."""
+    """Files that each hold one YAML list of mappings; a file is parsed by one Python task."""
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                items = yaml.load(content, Loader=loader)
+                items = items if isinstance(items, list) else [items]
+                texts = [json.dumps(item, ensure_ascii=False, default=str) for item in items]
+                yield pd.DataFrame({"path": name, "pos": range(len(texts)), "raw": texts})
+
     files = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
     rows = files.select("path", "content").mapInPandas(
-        _yaml_records, "path string, pos long, raw string"
+        records, "path string, pos long, raw string"
     )
     scan = rows.select(
         "raw", parse_record(F.col("raw")).alias("fields"), "path",
@@ -164,16 +156,18 @@ def scan_corpus(
 ) -> DataFrame:
     """All records of a folder: JSON files first, then JSONL, YAML and YML.
 
-    A missing folder and a folder without data files are errors.
+    ``patterns`` may name other file names per format, also below a subfolder. A missing folder
+    and a folder without data files are errors.
     """
     patterns = patterns or CORPUS_PATTERNS
     scans = []
     for rank, (kind, reader) in enumerate(READERS.items()):
-        pattern = patterns.get(kind)
-        if pattern is None or not _any_file(spark, raw_dir, pattern, recursive):
+        if kind not in patterns:
             continue
-        scan = reader(spark, raw_dir, pattern=pattern, recursive=recursive, on_bad=on_bad)
-        scans.append(scan.withColumn("src_rank", F.lit(rank)))
+        folder, pattern = locate(raw_dir, patterns[kind])
+        if _any_file(spark, folder, pattern, recursive):
+            scan = reader(spark, folder, pattern=pattern, recursive=recursive, on_bad=on_bad)
+            scans.append(scan.withColumn("src_rank", F.lit(rank)))
     if not scans:
         raise ValueError(f"no data files found in {raw_dir}")
     corpus = scans[0]
@@ -182,6 +176,12 @@ def scan_corpus(
     return corpus
 
 
+def locate(raw_dir: str, pattern: str) -> tuple[str, str]:
+    """Folder and file-name pattern of a pattern that may start with subfolders."""
+    below, _, name = pattern.rpartition("/")
+    return (f"{raw_dir}/{below}" if below else raw_dir), name
+
+
 def _any_file(spark: SparkSession, path: str, pattern: str, recursive: bool) -> bool:
     try:
         files = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
