@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser as re_parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,17 +41,34 @@ def has_keyword(text: Column, word: str) -> Column:
     return F.coalesce(F.contains(F.lower(text), F.lit(word)), F.lit(False))
 
 
+def required_literal(pattern: str) -> str:
+    """The longest run of plain characters every match of the pattern contains, or ''."""
+    tree = re_parser.parse(pattern)
+    if tree.state.flags & re.IGNORECASE:
+        return ""
+    runs = [""]
+    for kind, detail in tree:
+        if kind is re_parser.LITERAL:
+            runs[-1] += chr(detail)
+        elif kind is not re_parser.AT:
+            runs.append("")
+    return max(runs, key=len)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """True where the regular expression is found anywhere in the text.
 
     Patterns are written for Python's ``re``. Plain words become a substring test; the rest
     run on the JVM with Python's reading of line ends and, where the pattern uses a character
-    class, of Unicode classes.
+    class, of Unicode classes. Texts lacking a character run the pattern needs are told by
+    substring search alone, which is many times faster than the expression.
     """
     re.compile(pattern)
-    if re.search(r"\(\?P|\(\?\(|\\Z", pattern):
+    if re.search(r"\(\?[P(#]|\\Z", pattern):
         raise ValueError(f"pattern uses syntax only Python's re knows: {pattern}")
-    if re.escape(pattern).replace("\\ ", " ").replace("\\-", "-") == pattern and pattern:
-        return F.contains(text, F.lit(pattern))
+    literal = required_literal(pattern)
+    if literal and literal == re.sub(r"\\([^\w\s])", r"\1", pattern):
+        return F.contains(text, F.lit(literal))
     flags = "(?dU)" if re.search(r"\\[wWdDsSbB]|\(\?i", pattern) else "(?d)"
-    return F.rlike(text, F.lit(flags + pattern))
+    found = F.rlike(text, F.lit(flags + pattern))
+    return F.contains(text, F.lit(literal)) & found if literal else found

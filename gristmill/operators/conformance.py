@@ -113,9 +113,11 @@ def conforming_any(key: Column, spec: Spec, seed: int = 42) -> Column:
     return raw
 
 
-def nonconforming(key: Column, entity: Entity, seed: int = 42) -> dict[str, Column]:
-    """JSON texts that break the entity in one way each, and texts that are no records."""
-    pairs = _pairs(entity, key, seed)
+def nonconforming(pairs: dict[str, Column], key: Column, entity: Entity, seed: int = 42) -> dict[str, Column]:
+    """JSON texts that break the entity in one way each, and texts that are no records.
+
+    ``pairs`` are the conforming ``"name":value`` texts the broken ones are made from.
+    """
 
     def without(name: str) -> Column:
         return _object({n: p for n, p in pairs.items() if n != name})
@@ -152,11 +154,13 @@ def generate(keys: DataFrame, key: str, spec: Spec, seed: int = 42) -> DataFrame
 
 def generate_broken(keys: DataFrame, key: str, entity: Entity, seed: int = 42) -> DataFrame:
     """One row per key and way of breaking the entity: ``mutation``, ``raw``."""
-    cases = nonconforming(F.col(key), entity, seed)
+    drawn = [p.alias(f"_pair_{name}") for name, p in _pairs(entity, F.col(key), seed).items()]
+    pairs = {f.name: F.col(f"_pair_{f.name}") for f in entity.fields}
+    cases = nonconforming(pairs, F.col(key), entity, seed)
     rows = F.array(
         *[F.struct(F.lit(n).alias("mutation"), raw.alias("raw")) for n, raw in cases.items()]
     )
-    return keys.select(key, F.inline(rows))
+    return keys.select(key, *drawn).select(key, F.inline(rows))
 
 
 def failures(rows: DataFrame, spec: Spec) -> DataFrame:
