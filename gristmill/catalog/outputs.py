@@ -176,7 +176,7 @@ def f2_format_output(spark, sf_dir):
     df = pair_records(spark, sf_dir).withColumns(
         {"fields": parse_record(F.col("raw")), "texts": parse_texts(F.col("raw"))}
     )
-    output = format_output(F.col("fields")["output"], F.col("texts")["output"])
+    output = format_output(F.col("fields")["output"]["value"], F.col("texts")["output"])
     return df.where(F.map_contains_key("fields", F.lit("output"))).select(
         "conv_id", "turn", output.alias("output"),
         output_conforms(F.col("fields"), spec).alias("schema_ok"),

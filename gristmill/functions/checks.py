@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.json_text import as_record
 from gristmill.functions.record import (
     TypedRecord,
     Value,
@@ -377,8 +378,11 @@ def _schema_entity_errors(
     return join_errors(parts)
 
 
-def schema_errors(record: Record, spec: Spec) -> Column:
-    """Empty for a valid record; else the errors of every entity, or the ambiguity."""
+def schema_errors(record: Record, spec: Spec, valid: Column | None = None) -> Column:
+    """Empty for a valid record; else the errors of every entity, or the ambiguity.
+
+    ``valid`` may give the verdict where it is already a column, so it is not worked out again.
+    """
     tests = {e.name: _schema_tests(record, e) for e in spec.entities}
     matches = [
         all_of(ok for _, _, ok in tests[e.name]) & ~record.has_unknown_keys(e.field_names)
@@ -387,9 +391,11 @@ def schema_errors(record: Record, spec: Spec) -> Column:
     per_entity = join_errors(_schema_entity_errors(record, e, tests[e.name]) for e in spec.entities)
     none = F.array(error("oneOf", None, None, "Matches no entity"))
     several = F.array(error("oneOf", None, None, "Matches more than one entity"))
+    if valid is None:
+        valid = record.is_object & _exactly_one(matches)
     return (
-        F.when(~record.is_object, F.array(error("object", None, None, "Not a JSON object")))
-        .when(_exactly_one(matches), no_errors())
+        F.when(valid, no_errors())
+        .when(~record.is_object, F.array(error("object", None, None, "Not a JSON object")))
         .when(any_of(matches), several)
         .otherwise(F.concat(per_entity, none))
     )
@@ -510,16 +516,12 @@ def envelope_valid(fields: Column, spec: Spec) -> Column:
     """
     envelope = VariantRecord(fields)
     data = envelope.value("data")
-    inner = F.when(
-        F.schema_of_variant(data.raw).startswith("OBJECT<"),
-        F.try_variant_get(data.raw, "$", "map<string,variant>"),
-    )
     kind = envelope.value("type")
     return (
         kind.present
         & in_enum(kind, spec.entity_names)
         & data.present
-        & schema_valid(VariantRecord(inner), spec)
+        & schema_valid(VariantRecord(as_record(data.raw)), spec)
     )
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 # Python's parser refuses single quotes; NaN and Infinity have no VARIANT form.
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-RECORD_TYPE = "map<string,variant>"
+# A record: its keys in document order, each value with the name of its type. Checks ask for the
+# type many times, so it is worked out once, when the text is parsed.
+RECORD_TYPE = "map<string,struct<value:variant,type:string>>"
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -60,11 +62,25 @@ def last_wins(fields: Column) -> Column:
 
 
 def parse_record(text: Column) -> Column:
-    """A JSON object as ``MAP<STRING,VARIANT>`` in document order; null for anything else.
+    """A JSON object as a record in document order; null for anything else.
 
     The map keeps what a struct would lose: absent and null keys differ, and unknown keys stay.
     """
-    return _parse_object(text, RECORD_TYPE)
+    return _parse_object(text, "map<string,variant>", typed)
+
+
+def typed(values: Column) -> Column:
+    """``MAP<STRING,VARIANT>`` as a record."""
+    return F.transform_values(
+        values,
+        lambda _, v: F.struct(v.alias("value"), F.schema_of_variant(v).alias("type")),
+    )
+
+
+def as_record(value: Column) -> Column:
+    """A VARIANT object as a record; null for other values."""
+    is_object = F.schema_of_variant(value).startswith("OBJECT<")
+    return F.when(is_object, typed(F.try_variant_get(value, "$", "map<string,variant>")))
 
 
 def parse_texts(text: Column) -> Column:
@@ -75,11 +91,13 @@ def parse_texts(text: Column) -> Column:
     return _parse_object(text, "map<string,string>")
 
 
-def _parse_object(text: Column, object_type: str) -> Column:
+def _parse_object(
+    text: Column, object_type: str, finish: Callable[[Column], Column] = lambda fields: fields
+) -> Column:
     return _once(
         F.from_json(_wrapped(text), f"array<{object_type}>", STRICT),
         lambda items: F.when(
-            (F.size(items) == 1) & _ends_cleanly(text), last_wins(F.get(items, F.lit(0)))
+            (F.size(items) == 1) & _ends_cleanly(text), finish(last_wins(F.get(items, F.lit(0))))
         ),
     )
 
@@ -93,7 +111,7 @@ def parse_records(text: Column) -> Column:
     raws = F.from_json(
         F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v:array<string>>", STRICT
     )["v"]
-    arrays = F.from_json(_wrapped(text), f"array<array<{RECORD_TYPE}>>", STRICT)
+    arrays = F.from_json(_wrapped(text), "array<array<map<string,variant>>>", STRICT)
     pairs = _once(
         arrays,
         lambda a: F.when(
@@ -101,7 +119,7 @@ def parse_records(text: Column) -> Column:
             F.zip_with(
                 raws,
                 F.get(a, F.lit(0)),
-                lambda raw, m: F.struct(raw.alias("raw"), last_wins(m).alias("fields")),
+                lambda raw, m: F.struct(raw.alias("raw"), typed(last_wins(m)).alias("fields")),
             ),
         ),
     )
@@ -149,6 +167,6 @@ def canonical(fields: Column) -> Column:
     """
     keys = F.sort_array(F.map_keys(fields))
     return F.concat(
-        F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: fields[k]))),
-        F.to_json(F.transform(keys, lambda k: F.schema_of_variant(fields[k]))),
+        F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: fields[k]["value"]))),
+        F.to_json(F.transform(keys, lambda k: fields[k]["type"])),
     )

@@ -1,6 +1,6 @@
 """One view of a record for all checks, whether its columns are typed or its keys open.
 
-``VariantRecord`` reads a ``MAP<STRING,VARIANT>``; ``TypedRecord`` reads ordinary columns.
+``VariantRecord`` reads a parsed record, a map of VARIANT values; ``TypedRecord`` reads ordinary columns.
 Every boolean Column here is true or false, never null, so checks can be combined freely.
 On typed columns most of them are literals that the optimizer folds away.
 """
@@ -68,8 +68,9 @@ class Value:
 class _VariantValue(Value):
     def __init__(self, fields: Column, name: str):
         self.present = is_true(F.map_contains_key(fields, F.lit(name)))
-        self.raw = F.element_at(fields, F.lit(name))
-        self.type_name = F.schema_of_variant(self.raw)
+        entry = F.element_at(fields, F.lit(name))
+        self.raw = entry["value"]
+        self.type_name = entry["type"]
 
     @cached_property
     def is_null(self) -> Column:
@@ -155,8 +156,8 @@ class VariantRecord:
 
     def strings(self) -> Column:
         """All string values in key order, as an array."""
-        texts = F.filter(F.map_values(self.fields), lambda v: F.schema_of_variant(v) == "STRING")
-        return F.transform(texts, lambda v: F.try_variant_get(v, "$", "string"))
+        texts = F.filter(F.map_values(self.fields), lambda v: v["type"] == "STRING")
+        return F.transform(texts, lambda v: F.try_variant_get(v["value"], "$", "string"))
 
 
 def _kind(dtype: T.DataType | None) -> str:

@@ -166,8 +166,9 @@ def generate_broken(keys: DataFrame, key: str, entity: Entity, seed: int = 42) -
 def failures(rows: DataFrame, spec: Spec) -> DataFrame:
     """Generated rows with their verdict: zero invalid ones is the property."""
     parsed = rows.withColumn("fields", parse_record(F.col("raw")))
-    errors = schema_errors(VariantRecord(F.col("fields")), spec)
-    return parsed.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
+    record = VariantRecord(F.col("fields"))
+    judged = parsed.withColumn("is_valid", schema_valid(record, spec))
+    return judged.withColumn("errors", schema_errors(record, spec, valid=F.col("is_valid")))
 
 
 def check_examples(pairs: DataFrame, spec: Spec, output: str = "output") -> DataFrame:

@@ -26,6 +26,7 @@ def _no_tags() -> Column:
 
 def _variant_tags(value: Column) -> Column:
     """Tags of a list or a comma string; nothing for other values, no trimming."""
+    type_name = F.schema_of_variant(value)
     listed = F.transform(
         F.filter(
             F.try_variant_get(value, "$", "array<variant>"),
@@ -34,7 +35,7 @@ def _variant_tags(value: Column) -> Column:
         lambda v: F.try_variant_get(v, "$", "string"),
     )
     comma = F.when(
-        F.schema_of_variant(value) == "STRING",
+        type_name == "STRING",
         F.split(F.try_variant_get(value, "$", "string"), ",", -1),
     )
     return F.coalesce(listed, comma, _no_tags())
@@ -113,7 +114,7 @@ def normalized_fields(fields: Column) -> Column:
     return F.map_filter(
         fields,
         lambda key, value: ~key.isin(*VOLATILE_KEYS)
-        & ~((key == "text") & (F.schema_of_variant(value) == "STRING")),
+        & ~((key == "text") & (value["type"] == "STRING")),
     )
 
 

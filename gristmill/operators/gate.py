@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.functions.checks import Record, no_errors, schema_errors
-from gristmill.functions.json_text import parse_record
+from gristmill.functions.checks import Record, no_errors, schema_errors, schema_valid
+from gristmill.functions.json_text import as_record, parse_record
 from gristmill.functions.prompt import format_fields, parse_output
-from gristmill.functions.record import VariantRecord
+from gristmill.functions.record import VariantRecord, is_true
 from gristmill.spec import Spec
 
 
@@ -36,11 +36,11 @@ def gate(
         return df.withColumns(
             {"is_valid": F.lit(True), "errors": no_errors(), "accepted": F.lit(True)}
         )
-    judged = df.withColumn("errors", schema_errors(record, spec))
-    judged = judged.withColumn("is_valid", F.coalesce(F.size("errors") == 0, F.lit(False)))
+    judged = df.withColumn("is_valid", is_true(schema_valid(record, spec)))
+    errors = schema_errors(record, spec, valid=F.col("is_valid"))
     accepted = F.col("is_valid") if config.fail_closed else F.lit(True)
     return judged.withColumns(
-        {"errors": F.slice("errors", 1, config.max_errors), "accepted": accepted}
+        {"errors": F.slice(errors, 1, config.max_errors), "accepted": accepted}
     )
 
 
@@ -97,14 +97,11 @@ def predict(
         .withColumn("generated", answer(F.col("prompt")))
         .withColumn("output", parse_output(F.col("generated")))
     )
-    output = F.when(
-        F.schema_of_variant("output").startswith("OBJECT<"),
-        F.try_variant_get("output", "$", "map<string,variant>"),
-    )
-    errors = schema_errors(VariantRecord(output), spec) if config.enable_validation else no_errors()
-    return answers.withColumn("output_errors", F.slice(errors, 1, config.max_errors)).withColumn(
-        "output_valid", F.size("output_errors") == 0
-    )
+    answers = answers.withColumn("_fields", as_record(F.col("output")))
+    checked = gate(answers, VariantRecord(F.col("_fields")), spec, config)
+    return checked.withColumnsRenamed(
+        {"is_valid": "output_valid", "errors": "output_errors"}
+    ).drop("_fields", "accepted")
 
 
 def quality_report(gated: DataFrame, max_rejected_share: float = 0.0) -> DataFrame:

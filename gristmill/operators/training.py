@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.checks import light_valid
-from gristmill.functions.json_text import parse_record, parse_texts
+from gristmill.functions.json_text import as_record, parse_record, parse_texts
 from gristmill.functions.prompt import format_input, format_output
 from gristmill.functions.record import VariantRecord
 from gristmill.spec import Spec
@@ -38,9 +38,7 @@ def training_text(raw: Column, layout: str = "compact") -> Column:
 
 def output_conforms(fields: Column, spec: Spec) -> Column:
     """The light schema check of ``output``; training keeps the row either way."""
-    output = F.try_variant_get(
-        VariantRecord(fields).value("output").raw, "$", "map<string,variant>"
-    )
+    output = as_record(VariantRecord(fields).value("output").raw)
     return light_valid(VariantRecord(output), spec)
 
 

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions.json_text import parse_record, parse_records
+from gristmill.functions.json_text import RECORD_TYPE, parse_record, parse_records
 from gristmill.functions.text import strip
 
 SCAN_ORDER = ["src_rank", "path", "block", "pos"]
@@ -74,7 +74,7 @@ def read_json_array(
         F.col("_metadata.file_path").alias("path"), "value", parse_records(F.col("value")).alias("items")
     )
     unreadable = F.array(
-        F.struct(F.col("value").alias("raw"), F.lit(None).cast("map<string,variant>").alias("fields"))
+        F.struct(F.col("value").alias("raw"), F.lit(None).cast(RECORD_TYPE).alias("fields"))
     )
     rows = items.select(
         "path", F.posexplode(F.coalesce(F.col("items"), unreadable)).alias("pos", "item")
