@@ -188,7 +188,7 @@ def f2_format_output(spark, sf_dir):
                     || chr(10) || to_json({{'answer': answer}})::VARCHAR END AS text FROM {PAIRS}""")
 def f3_format_example(spark, sf_dir):
     df = pair_records(spark, sf_dir)
-    return df.select("conv_id", "turn", training_text(F.col("raw")).alias("text"))
+    return training_text(df, "raw", keep=["conv_id", "turn"])
 
 
 @query(f"""SELECT conv_id, turn, 'text: ' || question || chr(10) || to_json({{'text': answer}})::VARCHAR

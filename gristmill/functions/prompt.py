@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gristmill.functions.json_text import parse_texts, parse_value
 
@@ -39,24 +35,10 @@ def format_input(value: Column, text: Column) -> Column:
     )
 
 
-def format_output(value: Column, text: Column, layout: str = "compact") -> Column:
-    """JSON text of a value, keys in document order.
-
-    ``compact`` is made on the JVM; ``indented`` is byte for byte Python's two-space layout
-    with escaped non-ASCII characters, and goes through Python.
-    """
+def format_output(value: Column, text: Column) -> Column:
+    """Compact JSON text of a value, keys in document order."""
     is_text = F.schema_of_variant(value) == "STRING"
-    written = F.when(is_text, F.to_json(value)).otherwise(F.coalesce(text, F.lit("null")))
-    if layout == "compact":
-        return written
-    if layout != "indented":
-        raise ValueError("layout must be 'compact' or 'indented'")
-
-    @F.pandas_udf(T.StringType())
-    def indented(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2))
-
-    return indented(written)
+    return F.when(is_text, F.to_json(value)).otherwise(F.coalesce(text, F.lit("null")))
 
 
 def extract_json(text: Column) -> Column:

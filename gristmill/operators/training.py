@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,20 +21,44 @@ MAX_TOKENS = 2048
 Tokenizer = Callable[[str], Sequence[int]]
 
 
-def training_text(raw: Column, layout: str = "compact") -> Column:
-    """Prompt lines, a line end, and the output; or the ready ``text`` of other records.
+def training_text(
+    df: DataFrame, raw: str, *, layout: str = "compact", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``text``: prompt lines, a line end, and the output; or the ready ``text`` of other records.
 
-    ``raw`` is the record's JSON text.
+    ``raw`` names the column with the records' JSON text. The ``compact`` layout of outputs is
+    made on the JVM; ``indented`` is byte for byte Python's two-space layout with escaped
+    non-ASCII characters, and takes only the outputs through Python.
     """
-    record, texts = VariantRecord(parse_record(raw)), parse_texts(raw)
+    source = F.col(raw)
+    record, texts = VariantRecord(F.col("_fields")), F.col("_texts")
     given, wanted, ready = record.value("input"), record.value("output"), record.value("text")
-    pair = F.concat(
-        format_input(given.raw, texts["input"]),
-        F.lit("\n"),
-        format_output(wanted.raw, texts["output"], layout),
-    )
+    is_pair = given.present & wanted.present
     text = F.when(ready.present, format_input(ready.raw, texts["text"])).otherwise(F.lit(""))
-    return F.when(given.present & wanted.present, pair).otherwise(F.concat(text, F.lit("\n")))
+    parts = df.select(
+        *keep, parse_record(source).alias("_fields"), parse_texts(source).alias("_texts")
+    ).select(
+        *keep,
+        F.when(is_pair, format_input(given.raw, texts["input"])).otherwise(text).alias("_prompt"),
+        F.when(is_pair, format_output(wanted.raw, texts["output"])).alias("_answer"),
+    )
+    if layout == "indented":
+        parts = parts.withColumn("_answer", _indented_json()(F.col("_answer")))
+    elif layout != "compact":
+        raise ValueError("layout must be 'compact' or 'indented'")
+    answer = F.coalesce("_answer", F.lit(""))
+    return parts.select(*keep, F.concat("_prompt", F.lit("\n"), answer).alias("text"))
+
+
+def _indented_json() -> Callable[[Column], Column]:
+    def indent(text: str | None) -> str | None:
+        return None if text is None else json.dumps(json.loads(text), indent=2)
+
+    @F.pandas_udf(T.StringType())
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(indent)
+
+    return indented
 
 
 def output_conforms(fields: Column, spec: Spec) -> Column:

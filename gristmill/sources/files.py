@@ -195,7 +195,10 @@ def _any_file(spark: SparkSession, path: str, pattern: str, recursive: bool) ->
 def find_files(
     spark: SparkSession, path: str, pattern: str = "*", *, recursive: bool = False
 ) -> DataFrame:
-    """Paths below a folder that match a pattern; no rows for a missing folder."""
+    """Paths below a folder that match a pattern; no rows for a missing folder.
+
+    Spark's file listing leaves out empty files, here and in the inventory.
+    """
     try:
         files = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
     except AnalysisException as error:
