@@ -18,6 +18,7 @@ from gristmill.operators.curation import (
     row_hash,
     tags_of,
 )
+from gristmill.operators.records import with_record
 from gristmill.operators.split import split_counts, split_rows
 from gristmill.plans.curation import curate_table
 
@@ -49,7 +50,7 @@ def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array("source", F.concat(F.lit("x-"), "lang")).alias("tags")).alias("metadata"),
         "text",
     )
-    return df.select("doc_id", parse_record(F.to_json(record)).alias("fields"))
+    return with_record(df, F.to_json(record), keep=["doc_id"])
 
 
 @query(

@@ -19,7 +19,6 @@ from gristmill.catalog.validation import (
     orders,
 )
 from gristmill.functions import checks
-from gristmill.functions.json_text import parse_record
 from gristmill.operators.conformance import (
     check_examples,
     failures,
@@ -36,6 +35,7 @@ from gristmill.operators.gate import (
     quarantined_rows,
     require_accepted,
 )
+from gristmill.operators.records import with_record
 
 VALID_EVENT = "event_type <> 'error' AND ((NOT typed AND k <= 60)::INT + (k >= 40)::INT) = 1"
 
@@ -168,7 +168,7 @@ def conformance_valid(spark, sf_dir):
 @query("SELECT count(*) AS rows, 0 AS missing, 0 AS null_values FROM documents")
 def c3_required_present(spark, sf_dir):
     keys = table(spark, sf_dir, "documents").select("doc_id")
-    rows = generate(keys, "doc_id", people_spec()).withColumn("fields", parse_record(F.col("raw")))
+    rows = with_record(generate(keys, "doc_id", people_spec()))
     record = fields()
     product = record.value("id").present
     missing = null_values = F.lit(0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gristmill import Spec
 from gristmill.catalog.registry import query, table
 from gristmill.functions import checks
-from gristmill.functions.json_text import parse_record, parse_texts
+from gristmill.functions.json_text import parse_texts
 from gristmill.functions.prompt import (
     extract_json,
     extract_json_text,
@@ -21,6 +21,7 @@ from gristmill.functions.prompt import (
 from gristmill.functions.record import VariantRecord
 from gristmill.operators.candidates import best_of, rejection_log
 from gristmill.operators.gate import predict
+from gristmill.operators.records import with_record
 from gristmill.operators.training import (
     output_conforms,
     pair_columns,
@@ -66,8 +67,7 @@ ATTEMPTS = """(SELECT user_id AS prompt_id, regexp_extract(props, '[0-9]+')::INT
 
 def parsed_attempts(spark, sf_dir):
     """Attempts with the record found in their text, parsed once per attempt."""
-    found = extract_json_text(F.col("text"))
-    return attempts(spark, sf_dir).withColumn("fields", parse_record(found))
+    return with_record(attempts(spark, sf_dir), extract_json_text(F.col("text")))
 
 
 def answer_record():
@@ -173,9 +173,7 @@ def f1_format_input(spark, sf_dir):
            FROM {PAIRS} WHERE NOT contains(question, chr(10))""")
 def f2_format_output(spark, sf_dir):
     spec = Spec.from_dict({"entities": {"Answer": {"fields": {"answer": "string"}}}})
-    df = pair_records(spark, sf_dir).withColumns(
-        {"fields": parse_record(F.col("raw")), "texts": parse_texts(F.col("raw"))}
-    )
+    df = with_record(pair_records(spark, sf_dir)).withColumn("texts", parse_texts(F.col("raw")))
     output = format_output(F.col("fields")["output"]["value"], F.col("texts")["output"])
     return df.where(F.map_contains_key("fields", F.lit("output"))).select(
         "conv_id", "turn", output.alias("output"),

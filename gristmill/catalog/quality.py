@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gristmill import Spec
 from gristmill.catalog.registry import query, table
-from gristmill.functions.json_text import parse_record
 from gristmill.functions.quality import (
     QualityConfig,
     extract_score,
@@ -14,6 +13,7 @@ from gristmill.functions.quality import (
     passes_quality,
 )
 from gristmill.functions.record import TypedRecord, VariantRecord
+from gristmill.operators.records import with_record
 from gristmill.operators.quality import filter_quality, filter_rows, reject_reasons
 
 MAIL = r"[a-zA-Z0-9._]+@[a-z]+\.(com|org|net)"
@@ -61,7 +61,7 @@ def q1_text_keys(spark, sf_dir):
         )
     )
     text = extract_text(VariantRecord(F.col("fields")))
-    parsed = df.select("conv_id", "turn", F.col("text").alias("body"), parse_record(raw).alias("fields"))
+    parsed = with_record(df, raw, keep=["conv_id", "turn", F.col("text").alias("body")])
     return parsed.select(
         "conv_id", "turn",
         F.md5(F.coalesce(F.nullif(text, F.lit("")), F.col("body"))).alias("text_md5"),
@@ -85,9 +85,7 @@ def q2_quality_score(spark, sf_dir):
         .otherwise(F.lit('{"other":5}'))
     )
     score = extract_score(VariantRecord(F.col("fields")))
-    return df.select("event_id", parse_record(raw).alias("fields")).select(
-        "event_id", score.alias("score")
-    )
+    return with_record(df, raw, keep=["event_id"]).select("event_id", score.alias("score"))
 
 
 @query(

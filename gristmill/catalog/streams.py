@@ -8,6 +8,7 @@ from gristmill.catalog.gates import VALID_EVENT
 from gristmill.catalog.registry import query, table
 from gristmill.catalog.validation import EVENTS, event_spec, events, fields
 from gristmill.operators.gate import gate
+from gristmill.operators.records import with_record
 from gristmill.session import scratch_path
 from gristmill.streaming.streams import drop_copies_in_stream, stream_jsonl, write_gate
 
@@ -15,46 +16,30 @@ from gristmill.streaming.streams import drop_copies_in_stream, stream_jsonl, wri
 @query(f"SELECT event_id, CASE WHEN {VALID_EVENT} THEN 'accepted' ELSE 'quarantine' END AS outcome "
        f"FROM {EVENTS}")
 def g4_stream_gate(spark, sf_dir):
-    """JSON lines arriving as files; a line's first key carries the event's id past the gate."""
-    path = scratch_path(spark, "arriving")
-    rows = events(spark, sf_dir)
-    rows.select("event_id", "raw").write.parquet(path)
+    """Events arriving as files, judged and set apart in one pass."""
+    path, out = scratch_path(spark, "arriving"), scratch_path(spark, "gated")
+    events(spark, sf_dir).select("event_id", "raw").write.parquet(path)
     stream = spark.readStream.schema("event_id long, raw string").parquet(path)
 
     def judge(batch):
-        from gristmill.functions.json_text import parse_record
-
-        return gate(batch.withColumn("fields", parse_record(F.col("raw"))), fields(), event_spec()).drop(
-            "fields"
-        )
+        return gate(with_record(batch), fields(), event_spec()).drop("fields")
 
-    out = scratch_path(spark, "gated")
-    write_gate(stream, judge, out, f"{out}/checkpoint", available_now=True).awaitTermination()
-    parts = [
-        spark.read.parquet(f"{out}/{name}").select("event_id", F.lit(name).alias("outcome"))
-        for name in ("accepted", "quarantine")
-    ]
-    return parts[0].unionByName(parts[1])
+    write_gate(stream, judge, out, f"{out}-checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "outcome")
 
 
 @query(f"SELECT count(*) AS rows, count(*) FILTER ({VALID_EVENT}) AS accepted FROM {EVENTS}")
 def g4_stream_jsonl(spark, sf_dir):
-    path = scratch_path(spark, "arriving")
+    path, out = scratch_path(spark, "arriving"), scratch_path(spark, "gated")
     events(spark, sf_dir).select("raw").write.text(path)
+
+    def judge(batch):
+        return gate(batch, fields(), event_spec()).drop("fields")
+
     stream = stream_jsonl(spark, path, pattern="*.txt")
-    out = scratch_path(spark, "gated")
-    query_ = write_gate(
-        stream,
-        lambda batch: gate(batch, fields(), event_spec()).drop("fields"),
-        out,
-        f"{out}/checkpoint",
-        available_now=True,
-    )
-    query_.awaitTermination()
-    seen = spark.read.parquet(f"{out}/accepted").select(F.lit(True).alias("ok")).unionByName(
-        spark.read.parquet(f"{out}/quarantine").select(F.lit(False).alias("ok"))
-    )
-    return seen.agg(F.count("*").alias("rows"), F.count_if("ok").alias("accepted"))
+    write_gate(stream, judge, out, f"{out}-checkpoint", available_now=True).awaitTermination()
+    accepted = F.count_if(F.col("outcome") == "accepted")
+    return spark.read.parquet(out).agg(F.count("*").alias("rows"), accepted.alias("accepted"))
 
 
 @query("SELECT user_id, event_type, props, 1 AS n FROM events GROUP BY user_id, event_type, props")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gristmill import Spec
 from gristmill.catalog.registry import query, table
 from gristmill.functions import checks
-from gristmill.functions.json_text import parse_record
 from gristmill.functions.record import TypedRecord, VariantRecord
+from gristmill.operators.records import with_record
 from gristmill.operators.schema import as_table, fill_defaults, read_as, route
 from gristmill.operators.validation import (
     constraint_violations,
@@ -96,9 +96,7 @@ def events(spark, sf_dir):
         .when(kind == "signup", F.concat(F.lit('{"k":'), number, F.lit(".0}")))
         .otherwise(F.concat(F.lit('{"k":"'), number, F.lit('","x":[1]}')))
     )
-    return df.select("event_id", "event_type", raw.alias("raw")).withColumn(
-        "fields", parse_record(F.col("raw"))
-    )
+    return with_record(df.select("event_id", "event_type", raw.alias("raw")))
 
 
 EVENTS = """(SELECT event_id, event_type, regexp_extract(props, '[0-9]+')::BIGINT AS k,
@@ -217,7 +215,7 @@ def v1_required(spark, sf_dir):
     ).entities[0]
     labels = table(spark, sf_dir, "labels")
     df = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
-    parsed = df.select("doc_id", parse_record(F.to_json(F.struct("doc_id", "quality"))).alias("fields"))
+    parsed = with_record(df, F.to_json(F.struct("doc_id", "quality")), keep=["doc_id"])
     found = checks.join_errors(checks.missing_required(fields(), spec))
     return violations(parsed, found, ["doc_id"]).select("doc_id", "field")
 
@@ -436,7 +434,7 @@ def v13_envelope(spark, sf_dir):
     ).when(F.col("event_type") == "click", F.lit('"Other"')).otherwise(F.lit("1"))
     number = F.regexp_extract("raw", "[0-9]+", 0)
     text = F.concat(F.lit('{"type":'), kind, F.lit(',"data":{"k":'), number, F.lit('},"more":null}'))
-    parsed = df.select("event_id", parse_record(text).alias("fields"))
+    parsed = with_record(df, text, keep=["event_id"])
     return parsed.select("event_id", checks.envelope_valid(F.col("fields"), event_spec()).alias("valid"))
 
 
@@ -498,7 +496,7 @@ def v18_validate_text(spark, sf_dir):
         .when(kind == "signup", F.concat(F.lit("not "), "props"))
     )
     record = VariantRecord(F.col("fields"))
-    parsed = df.select("event_id", parse_record(text).alias("fields"))
+    parsed = with_record(df, text, keep=["event_id"])
     return parsed.select("event_id", checks.schema_valid(record, event_spec()).alias("valid"))
 
 

@@ -17,8 +17,8 @@ from gristmill.functions.checks import (
     schema_errors,
     schema_valid,
 )
-from gristmill.functions.json_text import parse_record
 from gristmill.functions.record import VariantRecord
+from gristmill.operators.records import with_record
 from gristmill.spec import Entity, Field, Spec
 
 # Inputs every validator must answer without failing.
@@ -165,7 +165,7 @@ def generate_broken(keys: DataFrame, key: str, entity: Entity, seed: int = 42) -
 
 def failures(rows: DataFrame, spec: Spec) -> DataFrame:
     """Generated rows with their verdict: zero invalid ones is the property."""
-    parsed = rows.withColumn("fields", parse_record(F.col("raw")))
+    parsed = with_record(rows)
     record = VariantRecord(F.col("fields"))
     judged = parsed.withColumn("is_valid", schema_valid(record, spec))
     return judged.withColumn("errors", schema_errors(record, spec, valid=F.col("is_valid")))
@@ -174,7 +174,7 @@ def failures(rows: DataFrame, spec: Spec) -> DataFrame:
 def check_examples(pairs: DataFrame, spec: Spec, output: str = "output") -> DataFrame:
     """Example pairs with a verdict on their output: the entity it matches, or none."""
     record = VariantRecord(F.col("fields"))
-    parsed = pairs.withColumn("fields", parse_record(F.col(output)))
+    parsed = with_record(pairs, output)
     return parsed.withColumns(
         {
             "matched_entity": matched_entity(record, spec),

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.checks import Record, no_errors, schema_errors, schema_valid
-from gristmill.functions.json_text import as_record, parse_record
+from gristmill.functions.json_text import as_record
 from gristmill.functions.prompt import format_fields, parse_output
 from gristmill.functions.record import VariantRecord, is_true
+from gristmill.operators.records import with_record
 from gristmill.spec import Spec
 
 
@@ -82,7 +83,7 @@ def predict(
     With ``strict`` a refused input fails the job, otherwise it is left out. Outputs are never
     refused; ``output_valid`` and ``output_errors`` tell about them.
     """
-    parsed = df.withColumn("_fields", parse_record(F.col(raw)))
+    parsed = with_record(df, raw, "_fields")
     gated = gate(parsed, VariantRecord(F.col("_fields")), spec, config)
     requests = require_accepted(gated) if strict else accepted_rows(gated)
 

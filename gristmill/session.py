@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# JSON objects with a repeated key keep the last value, as Python's parser does.
 RUNTIME_CONF = {
+    # JSON objects with a repeated key keep the last value, as Python's parser does.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # The JVM never compiles larger methods; long check expressions run faster split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 

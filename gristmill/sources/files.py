@@ -16,8 +16,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions.json_text import RECORD_TYPE, parse_record, parse_records
+from gristmill.functions.json_text import RECORD_TYPE, parse_records
 from gristmill.functions.text import strip
+from gristmill.operators.records import with_record
 
 SCAN_ORDER = ["src_rank", "path", "block", "pos"]
 
@@ -96,14 +97,13 @@ def read_jsonl(
 ) -> DataFrame:
     """One JSON object per line; blank lines are skipped."""
     lines = spark.read.options(**_options(pattern, recursive)).text(path)
-    scan = lines.where(strip(F.col("value")) != "").select(
+    found = lines.where(strip(F.col("value")) != "").select(
         F.col("value").alias("raw"),
-        parse_record(F.col("value")).alias("fields"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
     )
-    return _check(scan, on_bad, "JSON line")
+    return _check(with_record(found), on_bad, "JSON line")
 
 
 def read_yaml_list(
@@ -131,11 +131,8 @@ def read_yaml_list(
     rows = files.select("path", "content").mapInPandas(
         records, "path string, pos long, raw string"
     )
-    scan = rows.select(
-        "raw", parse_record(F.col("raw")).alias("fields"), "path",
-        F.lit(0).cast("long").alias("block"), "pos",
-    )
-    return _check(scan, on_bad, "YAML record")
+    found = rows.select("raw", "path", F.lit(0).cast("long").alias("block"), "pos")
+    return _check(with_record(found), on_bad, "YAML record")
 
 
 READERS = {

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gristmill.functions.json_text import parse_record
 from gristmill.functions.text import strip
-from gristmill.operators.gate import accepted_rows, quarantined_rows
+from gristmill.operators.records import with_record
 
 # Keys of a long watermark outgrow executor memory; this store keeps them on disk.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,9 +23,7 @@ def stream_jsonl(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.text(path)
-    return lines.where(strip(F.col("value")) != "").select(
-        F.col("value").alias("raw"), parse_record(F.col("value")).alias("fields")
-    )
+    return with_record(lines.where(strip(F.col("value")) != "").withColumnRenamed("value", "raw"))
 
 
 def drop_copies_in_stream(
@@ -54,22 +51,17 @@ def write_gate(
     available_now: bool = False,
     interval: str = "30 seconds",
 ) -> StreamingQuery:
-    """Write accepted and quarantined rows of every micro-batch to two Parquet tables.
+    """Write every micro-batch to one Parquet table, accepted and quarantined rows apart.
 
-    Each batch owns one ``batch_id`` folder and overwrites it when it is run again after a
-    failure, so every row arrives exactly once. The gate is evaluated once per batch.
+    The table is partitioned by ``batch_id`` and ``outcome`` (``accepted`` or ``quarantine``).
+    A batch owns its folder and overwrites it when it is run again after a failure, so every
+    row arrives exactly once, and the gate is evaluated in a single pass.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        gated = gate(batch).persist()
-        try:
-            for name, rows in (
-                ("accepted", accepted_rows(gated)),
-                ("quarantine", quarantined_rows(gated)),
-            ):
-                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
-        finally:
-            gated.unpersist()
+        outcome = F.when(F.col("accepted"), "accepted").otherwise("quarantine")
+        gated = gate(batch).withColumn("outcome", outcome).drop("accepted")
+        gated.write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}

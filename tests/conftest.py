@@ -80,13 +80,10 @@ def spec():
 @pytest.fixture
 def records(spark):
     """JSON texts as a table ``n, raw, fields``."""
-    from pyspark.sql import functions as F
-
-    from gristmill.functions.json_text import parse_record
+    from gristmill.operators.records import with_record
 
     def make(texts):
-        rows = spark.createDataFrame(list(enumerate(texts)), "n int, raw string")
-        return rows.withColumn("fields", parse_record(F.col("raw")))
+        return with_record(spark.createDataFrame(list(enumerate(texts)), "n int, raw string"))
 
     return make
 
