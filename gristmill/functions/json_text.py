@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Python's parser refuses single quotes; NaN and Infinity have no VARIANT form.
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+# Put behind a text to see whether the parser reached its end.
+MARK = "gristmill:end"
+
 # A record: its keys in document order, each value with the name of its type. Checks ask for the
 # type many times, so it is worked out once, when the text is parsed.
 RECORD_TYPE = "map<string,struct<value:variant,type:string>>"
@@ -20,18 +23,14 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _wrapped(text: Column) -> Column:
-    return F.concat(F.lit("["), text, F.lit("]"))
-
-
 def _ends_cleanly(text: Column) -> Column:
     """False where something follows the value.
 
-    Spark's parser stops after the first value. Parsing the text inside ``[...]`` exposes what
-    follows, except for a text that closes the bracket itself; only a text holding a ``]``
-    can, and such a text cannot also be well-formed inside ``{"v":...}``.
+    Spark's parser stops after the first value. The parses below put the text into an array
+    with a mark behind it, so whatever follows the value moves or hides the mark. Only a text
+    holding the mark itself could still get by; it is parsed again inside an object.
     """
-    return ~F.contains(text, F.lit("]")) | F.try_parse_json(
+    return ~F.contains(text, F.lit(MARK)) | F.try_parse_json(
         F.concat(F.lit('{"v":'), text, F.lit("}"))
     ).isNotNull()
 
@@ -39,9 +38,9 @@ def _ends_cleanly(text: Column) -> Column:
 def parse_value(text: Column) -> Column:
     """Any JSON value as VARIANT; null when the text is not exactly one JSON value."""
     return _once(
-        F.try_parse_json(_wrapped(text)),
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{MARK}"]'))),
         lambda items: F.when(
-            F.try_variant_get(items, "$[1]", "variant").isNull() & _ends_cleanly(text),
+            (F.try_variant_get(items, "$[1]", "string") == MARK) & _ends_cleanly(text),
             F.try_variant_get(items, "$[0]", "variant"),
         ),
     )
@@ -95,9 +94,12 @@ def _parse_object(
     text: Column, object_type: str, finish: Callable[[Column], Column] = lambda fields: fields
 ) -> Column:
     return _once(
-        F.from_json(_wrapped(text), f"array<{object_type}>", STRICT),
+        F.from_json(
+            F.concat(F.lit("["), text, F.lit(f',{{"{MARK}":0}}]')), f"array<{object_type}>", STRICT
+        ),
         lambda items: F.when(
-            (F.size(items) == 1) & _ends_cleanly(text), finish(last_wins(F.get(items, F.lit(0))))
+            F.map_contains_key(F.get(items, F.lit(1)), F.lit(MARK)) & _ends_cleanly(text),
+            finish(last_wins(F.get(items, F.lit(0)))),
         ),
     )
 
@@ -111,7 +113,8 @@ def parse_records(text: Column) -> Column:
     raws = F.from_json(
         F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v:array<string>>", STRICT
     )["v"]
-    arrays = F.from_json(_wrapped(text), "array<array<map<string,variant>>>", STRICT)
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    arrays = F.from_json(wrapped, "array<array<map<string,variant>>>", STRICT)
     pairs = _once(
         arrays,
         lambda a: F.when(

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from re import _parser as re_parser
 
 from pyspark.sql import Column
@@ -37,8 +40,13 @@ def keyword_tags(text: Column) -> Column:
     )
 
 
-def has_keyword(text: Column, word: str) -> Column:
-    return F.coalesce(F.contains(F.lower(text), F.lit(word)), F.lit(False))
+def has_any_keyword(text: Column, words: Sequence[str]) -> Column:
+    """True where the text contains one of the words; it is lower-cased once for all of them."""
+    found = F.exists(
+        F.array(F.lower(text)),
+        lambda lowered: reduce(or_, [F.contains(lowered, F.lit(word)) for word in words]),
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def required_literal(pattern: str) -> str:

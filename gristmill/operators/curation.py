@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from gristmill.functions.checks import Record, any_of
 from gristmill.functions.json_text import canonical
 from gristmill.functions.record import TypedRecord, VariantRecord, is_true
-from gristmill.functions.text import KEYWORD_TAGS, has_keyword, keyword_tags, normalize_text
+from gristmill.functions.text import KEYWORD_TAGS, has_any_keyword, keyword_tags, normalize_text
 
 # Keys that do not decide whether two records are copies.
 VOLATILE_KEYS = ("id", "created_at", "updated_at", "source", "filename")
@@ -82,8 +82,8 @@ def has_any_tag(record: Record, tags: Sequence[str]) -> Column:
     wanted = F.array(*[F.lit(t) for t in tags])
     declared = [is_true(F.arrays_overlap(found, wanted)) for found in declared_tags(record)]
     text = record.value("text").text
-    keywords = [has_keyword(text, word) for word in tags if word in KEYWORD_TAGS]
-    return any_of([*declared, *keywords])
+    keywords = [word for word in tags if word in KEYWORD_TAGS]
+    return any_of([*declared, *([has_any_keyword(text, keywords)] if keywords else [])])
 
 
 def tag_list(argument: str | Sequence[str] | None) -> list[str]:

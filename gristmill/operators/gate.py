@@ -129,7 +129,7 @@ def quality_report(gated: DataFrame, max_rejected_share: float = 0.0) -> DataFra
             F.when(
                 F.col("counter").startswith("rule:"),
                 F.struct(
-                    F.substring("counter", 6, 1000).alias("rule"), F.col("n").alias("rows")
+                    F.regexp_replace("counter", "^rule:", "").alias("rule"), F.col("n").alias("rows")
                 ),
             )
         )

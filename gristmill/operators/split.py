@@ -6,7 +6,7 @@ have to be found; then every row is placed by comparing its own hash with them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
@@ -70,21 +70,41 @@ def split_rows(
     val_ratio: float = 0.1,
     seed: int = 42,
     keys: DataFrame | None = None,
+    cut: Row | None = None,
 ) -> DataFrame:
     """Add ``split``: int(n * train_ratio) train rows, int(n * val_ratio) val rows, rest test.
 
     ``key`` must identify a row; rows sharing a key share a split. ``keys`` may give the same
-    rows more cheaply than ``df`` for finding the cuts, for instance before a wide join.
+    rows more cheaply than ``df`` for finding the cuts, for instance before a wide join. ``cut``
+    gives cuts already found by ``find_cut``; otherwise they are found as part of the query.
     """
     key = F.col(key) if isinstance(key, str) else key
     row_hash = split_hash(key, seed)
-    hashes = (keys if keys is not None else df).select(row_hash.alias("h"))
-    cut = cut_points(hashes, train_ratio, val_ratio).scalar()
+    if cut is not None:
+        first_val, first_test = F.lit(cut.val), F.lit(cut.test)
+    else:
+        hashes = (keys if keys is not None else df).select(row_hash.alias("h"))
+        found = cut_points(hashes, train_ratio, val_ratio).scalar()
+        first_val, first_test = found["val"], found["test"]
     return df.withColumn(
         "split",
-        F.when(row_hash < cut["val"], "train").when(row_hash < cut["test"], "val").otherwise("test"),
+        F.when(row_hash < first_val, "train").when(row_hash < first_test, "val").otherwise("test"),
     )
 
 
+def find_cut(
+    df: DataFrame,
+    key: Column | str,
+    *,
+    train_ratio: float = 0.8,
+    val_ratio: float = 0.1,
+    seed: int = 42,
+) -> Row:
+    """The two hashes where the split changes, for several queries over the same rows."""
+    key = F.col(key) if isinstance(key, str) else key
+    hashes = df.select(split_hash(key, seed).alias("h"))
+    return cut_points(hashes, train_ratio, val_ratio).first().cut
+
+
 def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n"))

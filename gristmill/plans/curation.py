@@ -16,7 +16,7 @@ from gristmill.operators.curation import (
     record_hash,
     row_hash,
 )
-from gristmill.operators.split import split_rows
+from gristmill.operators.split import find_cut, split_rows
 from gristmill.session import configure, scratch_path
 from gristmill.sources.files import CORPUS_PATTERNS, SCAN_ORDER, find_files, locate, scan_corpus
 from gristmill.sources.sinks import curation_summary, write_jsonl, write_summary
@@ -65,8 +65,9 @@ def curate_corpus(
 ) -> DataFrame:
     """Curate a folder of JSON, JSONL and YAML files into JSONL per split, and a summary.
 
-    The unique records are written to the shared folder once: the split reads them three
-    times, and neither it nor a retry after lost executors scans or parses the corpus again.
+    The unique records are written to the shared folder once: finding the cuts, writing and
+    counting read them there, and neither these nor a retry after lost executors scan or parse
+    the corpus again. Finding the cuts and counting read only the hashes.
     """
     configure(spark)
     scan = scan_corpus(spark, raw_dir, patterns=patterns, recursive=recursive, on_bad=on_bad)
@@ -80,7 +81,8 @@ def curate_corpus(
     drop_copies_in_scan(hashed, F.col("hash"), SCAN_ORDER).select("raw", "hash").write.parquet(stage)
 
     unique = spark.read.parquet(stage)
-    rows = split_rows(unique, "hash", train_ratio=train_ratio, val_ratio=val_ratio, seed=seed)
+    cut = find_cut(unique, "hash", train_ratio=train_ratio, val_ratio=val_ratio, seed=seed)
+    rows = split_rows(unique, "hash", seed=seed, cut=cut)
     write_jsonl(rows, f"{out_dir}/data", mode="overwrite")
 
     summary = curation_summary(

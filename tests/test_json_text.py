@@ -10,7 +10,8 @@ TEXTS = [
     '{"a":1},{"b":2}', '{"a":[1]}', '{"a":[]} ]', "{'a':1}", '{"a":01}', '{"a":+1}', '{"a":.5}',
     '{"a":1.}', '{"a":1,}', '{a:1}', '{"a":"x\ty"}', '{}', "[]", "[1,2]", '""', "5", "true", "null",
     "", "  ", "not json", '{"a":1,"b":[2],"a":3}', '{"a":{"b":1,"b":2}}', "1,null", "[1]]",
-    '{"a":"]"}', '{"a":"é\\u00e9"}', "1] x", '"]"',
+    '{"a":"gristmill:end"}', '{"a":1},{"gristmill:end":0}] x', '1,"gristmill:end"] x', '{"gristmill:end":0}',
+    '{"a":1},{"gristmill:end":0}', '{"a":1},', ',{"a":1}', '{"a":"]"}', '{"a":"é\\u00e9"}', "1] x", '"]"',
 ]
 
 
