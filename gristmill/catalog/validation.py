@@ -414,11 +414,11 @@ def constraint_failures(spark, sf_dir):
 )
 def validate_event_props(spark, sf_dir):
     """V12: exactly one entity; whole floats are integers here, two matches are an error."""
-    df = events(spark, sf_dir)
     record, spec = fields(), event_spec()
-    errors = checks.schema_errors(record, spec)
+    judged = events(spark, sf_dir).withColumn("valid", checks.schema_valid(record, spec))
+    errors = checks.schema_errors(record, spec, valid=F.col("valid"))
     last = F.try_element_at(F.col("errors"), F.lit(-1))["rule"]
-    return df.select("event_id", checks.schema_valid(record, spec).alias("valid"), errors.alias("errors")).select(
+    return judged.select("event_id", "valid", errors.alias("errors")).select(
         "event_id", "valid", last.alias("last_rule")
     )
 

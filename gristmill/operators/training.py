@@ -88,7 +88,7 @@ def tokenize(
     """
     column = F.col(text) if isinstance(text, str) else text
     if tokenizer is None:
-        words = F.filter(F.split(column, r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")
+        words = F.array_remove(F.split(column, r"[\s\x1c-\x1f\x85\p{Z}]+"), "")
         ids = F.slice(words, 1, max_tokens)
     else:
 
