@@ -1,6 +1,7 @@
 """Toxicity by a factorisation machine over hashed terms.
 
-A text is the set of its words, each hashed to one of 2**22 numbers. The machine adds a weight per
+A text is the set of its words and of the stems of longer words, each hashed to one of 2**22
+numbers; stems carry what inflected languages spread over many endings. The machine adds a weight per
 term and, for each pair of terms in a text, the product of their factors: an insult that counts
 only beside the mention of a group gets its weight from the pair. It is fitted on a bounded sample
 of labelled rows; terms whose presence says nothing about the label in that sample are left out,
@@ -12,27 +13,30 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import (
+    Remembered,
     alphanumeric_words,
-    hash_words,
     map_rows,
     starts_of,
     text_bytes,
 )
 
 HASH_BITS = 22
+STEMS = (4, 5)  # bytes of a longer word that make a stem
 TRAIN_ROWS = 16_000  # labelled rows in the sample
-TERMS = 2_048  # terms of the machine, at most
+TERMS = 1_024  # terms of the machine, at most
 LEAST_ROWS = 8  # rows of the sample that hold a term of the machine, at least
 LEAST_CHI2 = 30.0  # and how far its presence and the label depend on each other, at least
 FACTORS = 6
 EPOCHS = 30
 BATCH = 256
 RATE = 0.1
-DECAY = 1e-4
+DECAY = 1e-5
+MISSING = 0.5  # share of a text's terms hidden in each step of the fit
 SEED = 7
 
 
@@ -41,12 +45,29 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def terms_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) of each distinct term of each text."""
+def hashed_terms(word: bytes) -> bytes:
+    """The word and its stems, as so many 32-bit numbers for every word (a lacking stem repeats)."""
+    whole = xxhash.xxh3_64_intdigest(word) >> (64 - HASH_BITS)
+    stems = [
+        xxhash.xxh3_64_intdigest(word[:n], seed=n) >> (64 - HASH_BITS) if len(word) > n else whole
+        for n in STEMS
+    ]
+    return np.array([whole, *stems], dtype=np.uint32).tobytes()
+
+
+WORD_TERMS = Remembered(hashed_terms)
+
+
+def term_places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) of every term in the order of the texts, repeats included."""
     words = [alphanumeric_words(t) for t in texts]
-    hashes = hash_words([w for ws in words for w in ws]) >> np.uint64(64 - HASH_BITS)
-    text = np.repeat(np.arange(len(texts), dtype=np.int64), [len(w) for w in words])
-    both = np.unique((text << HASH_BITS) | hashes.astype(np.int64))
+    terms = b"".join(WORD_TERMS[w] for ws in words for w in ws)
+    each = [len(w) * (1 + len(STEMS)) for w in words]
+    return np.repeat(np.arange(len(texts), dtype=np.int64), each), np.frombuffer(terms, np.uint32)
+
+
+def distinct_terms(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique((text << HASH_BITS) | term.astype(np.int64))
     return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 
 
@@ -68,11 +89,12 @@ class Machine:
         return self.bias + linear + ((sums**2).sum(axis=1) - squares) / 2, sums
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        text, term = terms_of(texts)
-        at = np.searchsorted(self.terms, term)
-        known = np.flatnonzero(at < len(self.terms))
-        known = known[self.terms[at[known]] == term[known]]
-        return logistic(self.raw(text[known], at[known], len(texts))[0])
+        known = np.zeros(1 << HASH_BITS, dtype=bool)
+        known[self.terms] = True
+        text, term = term_places(texts)
+        used = known[term]
+        text, term = distinct_terms(text[used], term[used])
+        return logistic(self.raw(text, np.searchsorted(self.terms, term), len(texts))[0])
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -115,7 +137,9 @@ def fitted(cells: list[np.ndarray], labels: list[int]) -> Machine:
         for batch in np.array_split(order, max(1, len(order) // BATCH)):
             lengths = starts[batch + 1] - starts[batch]
             places = np.repeat(starts[batch] - starts_of(lengths)[:-1], lengths) + np.arange(lengths.sum())
-            text, used = np.repeat(np.arange(len(batch)), lengths), at[places]
+            # Terms missing at random teach each term to speak without its usual company.
+            seen = rng.random(len(places)) >= MISSING
+            text, used = np.repeat(np.arange(len(batch)), lengths)[seen], at[places[seen]]
             raw, sums = machine.raw(text, used, len(batch))
             error = (logistic(raw) - label[batch]) / len(batch)
             slope = error[text]
@@ -147,7 +171,7 @@ def learnt(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     )
 
     def work(held):
-        text, term = terms_of([data for _, _, data in held])
+        text, term = distinct_terms(*term_places([data for _, _, data in held]))
         ends = np.searchsorted(text, np.arange(len(held) + 1))
         for (doc, label, _), i, j in zip(held, ends[:-1], ends[1:], strict=True):
             yield doc, label, term[i:j].astype("<i4").tobytes()
