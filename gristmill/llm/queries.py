@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import exact
 from gristmill.llm.contamination import contamination_report
+from gristmill.llm.nearcopies import near_copies
 from gristmill.llm.packing import pack
+from gristmill.llm.personal import personal_report
+from gristmill.llm.secrets import secret_report
 from gristmill.llm.substring import substring_report
 from gristmill.llm.toxicity import toxicity
 
@@ -26,6 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_report(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -34,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -44,12 +55,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_pii": op2_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 # Queries that SQL can state over whole tables; the others are tested against brute force.
