@@ -1,16 +1,68 @@
-"""A training corpus from raw documents, in stages that each apply one operator."""
+"""A training corpus from raw documents, in stages that each apply one operator.
+
+Toxic documents, exact copies, near copies and documents with benchmark passages go, in this
+order; what is left is packed into training sequences. Each stage judges what its predecessor
+kept, and its result is written to the shared folder before the next one reads it.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.llm.common import staged
+from gristmill.llm.contamination import contaminated
+from gristmill.llm.exact import drop_copies
+from gristmill.llm.nearcopies import near_copies
+from gristmill.llm.packing import pack
+from gristmill.llm.toxicity import toxicity
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose identifier is in ``kept``, with their columns."""
+    ids = kept.select(F.col("doc_id").alias("kept__id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept__id")), "left_semi")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return only(docs, toxicity(docs, labels).where("predicted = 0"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return only(docs, near_copies(docs).where("kept"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return only(docs, contaminated(docs, benchmark).where("n_hit = 0"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
+# The stages learn, sign and tokenise, which SQL does not express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
     return docs

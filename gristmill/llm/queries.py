@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import exact
 from gristmill.llm.contamination import contamination_report
+from gristmill.llm.licenses import license_report
 from gristmill.llm.nearcopies import near_copies
 from gristmill.llm.packing import pack
+from gristmill.llm.pages import extract_pages
 from gristmill.llm.personal import personal_report
 from gristmill.llm.secrets import secret_report
 from gristmill.llm.substring import substring_report
@@ -33,6 +35,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_report(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -59,15 +65,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
+    "op3_html_extraction": op3_html_extraction,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
+    "op10_license_scan": op10_license_scan,
 }
 
 # Queries that SQL can state over whole tables; the others are tested against brute force.
