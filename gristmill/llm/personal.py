@@ -219,11 +219,9 @@ def listed(spans: str, order: tuple[str, ...]) -> F.Column:
 def personal_report(docs: DataFrame) -> DataFrame:
     """The rows of ``op2_pii``; counts and digest are of plain spans, ``spans`` lists all."""
     found = find_personal(docs).withColumn("every", F.concat("plain", "disguised"))
-    counts = [
-        F.size(F.filter("plain", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS
-    ]
+    of = lambda kind: F.filter("plain", lambda s: s["kind"] == kind)
     return found.select(
-        "doc_id", *counts, F.sha2(listed("plain", KINDS), 256).alias("base_sha256"),
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(listed("plain", KINDS), 256).alias("base_sha256"),
         listed("every", KINDS).alias("spans"), F.size("disguised").cast("long").alias("n_disguised"),
     )
 
