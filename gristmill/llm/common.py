@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +107,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this library, wherever the driver has it from; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    # Spark serves the archive to the executors itself.
+    context.addPyFile(str(archive))
+    SHIPPED.add(context.applicationId)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -149,4 +170,5 @@ def map_rows(
             if held and (out := list(work(held))):
                 yield as_batch(out)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, struct)

@@ -29,6 +29,7 @@ from gristmill.llm.common import (
     blank_words,
     hash_words,
     pieces_for,
+    ship_package,
     shuffle_width,
     starts_of,
     text_bytes,
@@ -192,6 +193,7 @@ def repeated_passages(
     """
     spark = docs.sparkSession
     anchor_width(width)
+    ship_package(spark)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
     size = docs.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     chunks = pieces_for(size, CHUNK_BYTES)
