@@ -11,7 +11,6 @@ into more windows.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from bisect import insort
 from collections.abc import Iterable
@@ -22,7 +21,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Remembered, map_rows, pieces_for, staged
+from gristmill.llm.common import map_rows, pieces_for, ship_package, staged
 
 CAPACITY = 1024
 END = 0  # the id that closes every document
@@ -30,14 +29,24 @@ END = 0  # the id that closes every document
 # Short pieces cut from a document's rest of three times their size: they fill what is left open.
 SMALL = (96, 48, 24)
 
-GROUP_PIECES = 6000
+GROUP_PIECES = 800
 
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
 
 
 # How byte-level vocabularies split a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PLAIN = re.compile("[\\n!-~\u00a1-\u024f]+")
+# Plain texts are Latin letters, digits, punctuation, blanks and line ends, in words up to a length.
+PLAIN = bytes([0x0A, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+LONGEST = 1_000
+
+
+def is_plain(text: str) -> bool:
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not data.translate(None, PLAIN) and max(map(len, data.split()), default=0) <= LONGEST
 
 
 def byte_ranks(tokenizer: tokenizers.Tokenizer) -> dict[bytes, int]:
@@ -54,10 +63,9 @@ def byte_ranks(tokenizer: tokenizers.Tokenizer) -> dict[bytes, int]:
 class Encoder:
     """Token ids of texts, as little-endian 32-bit numbers.
 
-    Blank-separated parts of a text are encoded on their own and remembered. That is exact where
-    every blank stands between two visible characters, as a token never holds a blank anywhere
-    but at its front; all other texts are encoded whole. Plain words not met before are encoded by
-    the same vocabulary as byte ranks, which is faster; the ranks are read from the same file.
+    The same vocabulary can be read as merges or as byte ranks. Plain texts are encoded by ranks,
+    which is four times as fast; scripts on whose classes of characters the two libraries might
+    differ, special tokens and overlong words are left to the tokenizer itself.
     """
 
     _made: dict[str, Encoder] = {}
@@ -67,8 +75,6 @@ class Encoder:
         self.ranks = tiktoken.Encoding(
             "ranks", pat_str=SPLIT, mergeable_ranks=byte_ranks(self.tokenizer), special_tokens={}
         )
-        self.first = Remembered(lambda word: self._word("", word))
-        self.later = Remembered(lambda word: self._word(" ", word))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -77,27 +83,10 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _word(self, front: str, word: str) -> bytes | None:
-        """None for a word that touches a blank beside it with white space of its own."""
-        if PLAIN.fullmatch(word) and word[0] != "\n" != word[-1]:
-            return np.array(self.ranks.encode_ordinary(front + word), dtype="<u4").tobytes()
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        return self._whole(front + word)
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        # The start of a special token may be one that goes beyond a blank.
-        if text and "<|" not in text:
-            words = text.split(" ")
-            try:
-                return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
-            except TypeError:  # some word has no ids of its own
-                pass
-        return self._whole(text)
+    def encode(self, text: str) -> np.ndarray:
+        if "<|" not in text and is_plain(text):
+            return self.ranks.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cuts(tokens: int, capacity: int, small: tuple[int, ...]) -> Iterable[tuple[int, int]]:
@@ -174,9 +163,8 @@ def packed_group(sizes: list[int], capacity: int) -> list[list[int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, small: tuple[int, ...]) -> DataFrame:
     def work(rows):
         encoder = Encoder.of(tokenizer)
-        closing = np.array([END], dtype="<u4").tobytes()
         for doc, text in rows:
-            data = encoder.encode(text or "") + closing
+            data = np.append(encoder.encode(text or ""), END).astype("<u4").tobytes()
             tokens = len(data) // 4
             for start, length in cuts(tokens, capacity, small):
                 crc = zlib.crc32(memoryview(data)[4 * start : 4 * (start + length)])
@@ -222,6 +210,7 @@ def pack(
             offset[held] = np.cumsum([0, *sizes[held[:-1]]])
         return rows.assign(sequence_id=sequence, offset=offset).drop(columns="group")
 
+    ship_package(docs.sparkSession)
     placed = dealt.groupBy("group").applyInPandas(place, PIECES + ", sequence_id long, offset long")
     return placed.select(
         "doc_id", "start", F.col("length").cast("long"), "ids_crc32", "doc_tokens", "sequence_id", "offset"
