@@ -7,9 +7,10 @@ errors over ``CHUNKS`` chunks leave some chunk with one error at most. Each chun
 indexed once per symbol, with that symbol left out: pairs within the distance share a key.
 
 A key may hold thousands of texts, so pairs are not listed. Equal sets are one node from the start.
-First every node meets the smallest node of each of its keys, nearest first. Then only nodes that
-are not connected yet meet inside a key, if sizes and signatures allow a link. Every link is
-confirmed on the full shingle sets, and components are found by joins.
+First every node meets the smallest node of each of its keys, nearest first. Nodes of a key that
+are not connected by then, though sizes and signatures allow a link, form families; a family's
+texts are compared with each other exactly. Every link is confirmed on the full shingle sets, and
+components are found by joins.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from gristmill.llm.common import (
     lowered_words,
     map_rows,
     mix,
+    ship_package,
     staged,
     text_bytes,
     window_hashes,
@@ -41,8 +44,12 @@ SYMBOLS = 64
 DISTANCE = 32
 CHUNKS = DISTANCE // 2 + 1
 
-# Members of a key that meet in one task; larger keys are dealt over several.
-BLOCK = 1_000
+# Members of a key, and of a family, that meet at once; larger ones are dealt in blocks.
+BLOCK = 1_500
+FAMILY = 500
+
+# Shingles of fewer sets than this are counted pair by pair; the others so many at a time.
+FEW, COLUMNS = 12, 4_096
 
 ORDERS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1)
 
@@ -163,31 +170,155 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
-def unconnected(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs inside a key that are not connected but near enough by size and signature.
+def dealt(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
+    """Deal the members of each group to pairs of blocks ``i, j``, so that all of them still meet.
+
+    A group of up to ``block`` members is the single pair 0, 0.
+    """
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    both = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
+    return both.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop(
+        "blocks", "own", "other"
+    )
+
+
+def groups_of(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row it is connected with."""
+    first = np.arange(len(linked))
+    while True:
+        reached = np.where(linked, first[None, :], len(first)).min(axis=1, initial=len(first))
+        now = np.minimum(first, reached)
+        now = now[now]
+        if (now == first).all():
+            return first
+        first = now
+
+
+def near_members(component: np.ndarray, n: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Which members of a key may be linked though they are in different components."""
+    found = np.zeros((len(n), len(n)), dtype=bool)
+    for i in range(len(n)):
+        differ = (symbols != symbols[i]).sum(axis=1)
+        fits = np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * SHARE
+        found[i] = fits & (differ <= DISTANCE) & (component != component[i])
+    return found
+
+
+def open_families(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges ``u, v`` between nodes that could be linked by size and signature but are not connected.
 
     Only keys of three and more with several components are looked at, as a key's smallest member
-    has met all others. A large key is dealt into blocks; the left side is dealt, the right side
-    repeated. What does not pass the filter is never written.
+    has met all others. A task reads keys in order and gives, per key, each member's way to the
+    others it could be linked with: at most one row per member, never the pairs themselves.
     """
     of = labels.select(F.col("u").alias("node"), F.col("v").alias("component"))
     named = members.where("size > 2").join(of, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    open_keys = named.join(mixed.where("x <> y").select("key"), "key").where("node <> leader")
-    full = open_keys.join(nodes.select("node", "n", "nibbles"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    side = lambda x, block: full.select(
-        "key", F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"),
-        F.col("nibbles").alias(f"s_{x}"), block.alias("block"),
-    )
-    left = side("a", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    right = side("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = left.join(right, ["key", "block"]).where(
-        (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & linkable("n_a", "n_b")
-        & (distance("s_a", "s_b") <= DISTANCE)
+    open_keys = named.join(mixed.where("x <> y").select("key"), "key")
+    full = dealt(open_keys.join(nodes.select("node", "n", "nibbles"), "node"), "key", "size", BLOCK)
+    together = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def edges(node, component, n, packed):
+        shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+        symbols = ((packed[:, :, None] >> shifts) & np.uint64(15)).astype(np.uint8).reshape(len(node), -1)
+        first = groups_of(near_members(component, n, symbols))
+        hung = np.flatnonzero(first != np.arange(len(first)))
+        return node[hung], node[first[hung]]
+
+    def read(batches):
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None and batch.num_rows:
+                now = [
+                    np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")], axis=1),
+                    *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n")),
+                    np.array(batch.column("nibbles").to_pylist(), dtype=np.int64).view(np.uint64),
+                ]
+                held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if held is None:
+                continue
+            new = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1)) + 1
+            ends = [0, *new.tolist(), *([len(held[0])] if batch is None else [])]
+            out = [edges(*(x[a:b] for x in held[1:])) for a, b in zip(ends[:-1], ends[1:], strict=True) if b - a > 1]
+            # The last key may go on in the next batch.
+            held = None if batch is None else [x[ends[-1] :] for x in held]
+            if out:
+                u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    ship_package(members.sparkSession)
+    narrow = together.select("key", "i", "j", "node", "component", "n", "nibbles")
+    return narrow.mapInArrow(read, "u long, v long").distinct()
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets have in common.
+
+    Shingles of many sets are counted by products of 0/1 matrices, a few thousand shingles at a
+    time; those of few sets by going through their pairs.
+    """
+    n = len(sets)
+    counts = np.zeros((n, n), dtype=np.float32)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    names, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(place, kind="stable")
+    owners, starts = owner[order], np.cumsum(often) - often
+    for c in range(2, FEW):
+        rows = owners[starts[often == c][:, None] + np.arange(c)]
+        for a in range(c):
+            for b in range(a):
+                np.add.at(counts, (rows[:, a], rows[:, b]), 1)
+                np.add.at(counts, (rows[:, b], rows[:, a]), 1)
+    many = np.flatnonzero(often >= FEW)
+    column = np.full(len(names), -1)
+    column[many] = np.arange(len(many))
+    column = column[place]
+    for first in range(0, len(many), COLUMNS):
+        here = (column >= first) & (column < first + COLUMNS)
+        held = np.zeros((n, min(COLUMNS, len(many) - first)), dtype=np.float32)
+        held[owner[here], column[here] - first] = 1
+        counts += held @ held.T
+    return counts
+
+
+def family_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links ``a, b`` inside the families that some edges make, all members compared exactly.
+
+    A family's texts meet in one task, or block by block where it is large; only as many links
+    come out as it takes to connect what is linked.
+    """
+    named = staged(components(edges), "families")
+    all_named = named.unionByName(named.select(F.col("v").alias("u"), "v").distinct())
+    sizes = named.groupBy("v").agg((F.count("*") + 1).alias("size"))
+    members = all_named.join(sizes, "v").select(F.col("u").alias("node"), F.col("v").alias("family"), "size")
+    members = staged(members, "members")
+    texts = docs.select(F.col("doc_id").alias("node"), "data").join(members.select("node"), "node")
+    texts = staged(texts.dropDuplicates(["node"]).select("node", "data"), "texts")
+    placed = dealt(members, "family", "size", FAMILY).join(texts, "node")
+
+    def compare(key, rows):
+        sets = [shingles(data) for data in rows.column("data").to_pylist()]
+        node = rows.column("node").to_numpy()
+        size = np.array([len(s) for s in sets])
+        common = shared_counts(sets).astype(np.int64)
+        both = size[:, None] + size[None, :] - common
+        linked = (common * 100 >= both * SHARE) & (common > 0)
+        first = groups_of(linked)
+        hung = np.flatnonzero(first != np.arange(len(first)))
+        return pa.table({"a": node[first[hung]], "b": node[hung]})
+
+    ship_package(docs.sparkSession)
+    return placed.select("family", "i", "j", "node", "data").groupBy("family", "i", "j").applyInArrow(
+        compare, "a long, b long"
     )
-    return met.select("a", "b", distance("s_a", "s_b").alias("apart")).distinct()
 
 
 def nearest(pairs: DataFrame, node: str) -> DataFrame:
@@ -247,17 +378,17 @@ def component_labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     candidates = staged(near(star.distinct(), nodes), "candidates")
     links = staged(linked(nearest(candidates, "b"), docs, nodes), "links")
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    for further in (
-        lambda: candidates,
-        lambda: nearest(unconnected(members, nodes, labels), "b"),
-        lambda: unconnected(members, nodes, labels),
-    ):
-        pairs = staged(apart(further(), labels), "pairs")
-        links = staged(linked(pairs, docs, nodes), "links")
-        if not links.isEmpty():
-            more = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            labels = components(labels.unionByName(more))
-    return labels
+    pairs = staged(apart(candidates, labels), "pairs")
+    labels = extended(labels, staged(linked(pairs, docs, nodes), "links"))
+    edges = staged(open_families(members, nodes, labels), "edges")
+    return extended(labels, staged(family_links(docs, nodes, edges), "links"))
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links ``a, b``."""
+    if links.isEmpty():
+        return labels
+    return components(labels.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int, bool]]:

@@ -13,9 +13,10 @@ def test_whole_table_against_all_pairs(documents, corpus):
     assert rows(documents) == op.brute_force(corpus)
 
 
-@pytest.mark.parametrize("block", [2, 1_000])
+@pytest.mark.parametrize("block", [2, 1_500])
 def test_odd_rows(nasty, texts, block, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "FAMILY", block)
     assert rows(nasty) == op.brute_force(dict(enumerate(texts)))
 
 
