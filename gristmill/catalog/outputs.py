@@ -12,6 +12,7 @@ from gristmill.catalog.registry import query, table
 from gristmill.functions import checks
 from gristmill.functions.json_text import parse_texts
 from gristmill.functions.prompt import (
+    LAYOUTS,
     extract_json,
     extract_json_text,
     format_fields,
@@ -99,14 +100,15 @@ def r1_extract_json(spark, sf_dir):
 )
 def best_of_n(spark, sf_dir):
     valid = checks.schema_valid(answer_record(), small_spec())
-    return best_of(parsed_attempts(spark, sf_dir), valid)
+    return best_of(parsed_attempts(spark, sf_dir), valid, max_attempts=10)
 
 
 @query(f"SELECT prompt_id, attempt, 'maximum' AS rule FROM {ATTEMPTS} WHERE attempt <= 10 AND k > 12 "
        f"UNION ALL SELECT prompt_id, attempt, 'oneOf' FROM {ATTEMPTS} WHERE attempt <= 10 AND k > 12")
 def r3_rejection_log(spark, sf_dir):
     errors = checks.output_errors(answer_record(), small_spec())
-    return rejection_log(parsed_attempts(spark, sf_dir), errors).select("prompt_id", "attempt", "rule")
+    log = rejection_log(parsed_attempts(spark, sf_dir), errors, max_attempts=10)
+    return log.select("prompt_id", "attempt", "rule")
 
 
 @query(
@@ -186,7 +188,36 @@ def f2_format_output(spark, sf_dir):
                     || chr(10) || to_json({{'answer': answer}})::VARCHAR END AS text FROM {PAIRS}""")
 def f3_format_example(spark, sf_dir):
     df = pair_records(spark, sf_dir)
-    return training_text(df, "raw", keep=["conv_id", "turn"])
+    return training_text(df, "raw", layout="compact", keep=["conv_id", "turn"])
+
+
+@query(
+    """SELECT conv_id, turn, 'turn: ' || turn || chr(10) || 'tags: ["' || role || '", "\\u00e9"]' || chr(10)
+              || 'inner: {"role": "' || role || '", "n": [' || turn || ', {}]}' || chr(10)
+              || 'plain: [1,2]' AS prompt FROM conversations"""
+)
+def f1_nested_input(spark, sf_dir):
+    """Lists and objects in a prompt are laid out as Python does; texts that look like one are not."""
+    inner = F.concat(
+        F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"tags":["'), "role", F.lit('","é"],"inner":{"role":"'),
+        "role", F.lit('","n":['), F.col("turn").cast("string"), F.lit(',{}]},"plain":"[1,2]"}'),
+    )
+    return turns(spark, sf_dir).select("conv_id", "turn", format_fields(inner).alias("prompt"))
+
+
+@query(
+    f"""SELECT conv_id, turn, '{{' || chr(10) || '  "answer": ' || to_json(length(answer)) || ',' || chr(10)
+               || '  "turns": [' || chr(10) || '    ' || turn || ',' || chr(10) || '    ' || (turn + 1) || chr(10)
+               || '  ],' || chr(10) || '  "none": {{}},' || chr(10) || '  "mark": "\\u00e9, [:]"' || chr(10) || '}}'
+               AS output FROM {PAIRS}"""
+)
+def f2_indented_output(spark, sf_dir):
+    raw = F.concat(
+        F.lit('{"answer":'), F.length("answer").cast("string"), F.lit(',"turns":['), F.col("turn").cast("string"),
+        F.lit(","), (F.col("turn") + 1).cast("string"), F.lit('],"none":{},"mark":"é, [:]"}'),
+    )
+    df = pairs(spark, sf_dir)
+    return df.select("conv_id", "turn", LAYOUTS["indented"](raw).alias("output"))
 
 
 @query(f"""SELECT conv_id, turn, 'text: ' || question || chr(10) || to_json({{'text': answer}})::VARCHAR
@@ -198,14 +229,27 @@ def training_text_pairs(spark, sf_dir):
     return df.select("conv_id", "turn", text.alias("text"))
 
 
-@query(
-    """SELECT doc_id, least(len(words), 2048) AS n_tokens, words[1] AS first_token,
-              words[least(len(words), 2048)] AS last_token
-       FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS words
-             FROM documents)"""
-)
+def tokens_sql(count: str) -> str:
+    """Number of tokens, the first and the last one."""
+    return f"""
+        SELECT doc_id, {count} AS n_tokens, words[1] AS first_token, words[{count}] AS last_token
+        FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS words
+              FROM documents)"""
+
+
+@query(tokens_sql("len(words)"))
 def f4_tokenize(spark, sf_dir):
-    tokens = tokenize(table(spark, sf_dir, "documents"), "text", keep=["doc_id"])
+    return token_ends(tokenize(table(spark, sf_dir, "documents"), "text", keep=["doc_id"]))
+
+
+@query(tokens_sql("least(len(words), 2048)"))
+def f4_tokenize_cut(spark, sf_dir):
+    """The cut is the feature here: training input of at most 2048 tokens."""
+    df = table(spark, sf_dir, "documents")
+    return token_ends(tokenize(df, "text", keep=["doc_id"], max_tokens=2048))
+
+
+def token_ends(tokens):
     return tokens.select(
         "doc_id", F.size("input_ids").alias("n_tokens"),
         F.try_element_at("input_ids", F.lit(1)).alias("first_token"),
@@ -213,13 +257,12 @@ def f4_tokenize(spark, sf_dir):
     )
 
 
-@query(
-    """SELECT doc_id, least(strlen(text), 2048) AS n_tokens FROM documents"""
-)
+@query("SELECT doc_id, strlen(text) AS n_tokens FROM documents")
 def u3_tokenizer(spark, sf_dir):
     """A user-supplied tokenizer, here one token per UTF-8 byte."""
     tokens = tokenize(
-        table(spark, sf_dir, "documents"), "text", lambda text: text.encode(), keep=["doc_id"]
+        table(spark, sf_dir, "documents"), "text", lambda texts: [t.encode() for t in texts],
+        keep=["doc_id"],
     )
     return tokens.select("doc_id", F.size("input_ids").alias("n_tokens"))
 

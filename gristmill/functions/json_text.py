@@ -28,11 +28,11 @@ def _ends_cleanly(text: Column) -> Column:
 
     Spark's parser stops after the first value. The parses below put the text into an array
     with a mark behind it, so whatever follows the value moves or hides the mark. Only a text
-    holding the mark itself could still get by; it is parsed again inside an object.
+    holding the mark itself, as it is or spelled with escapes, could still get by; it is parsed
+    again inside an object, where a mark has to be followed by a colon and not by a comma.
     """
-    return ~F.contains(text, F.lit(MARK)) | F.try_parse_json(
-        F.concat(F.lit('{"v":'), text, F.lit("}"))
-    ).isNotNull()
+    unmarked = ~F.contains(text, F.lit(MARK)) & ~F.contains(text, F.lit("\\u"))
+    return unmarked | F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
 
 
 def parse_value(text: Column) -> Column:
@@ -151,6 +151,72 @@ def value_text(value: Column) -> Column:
     )
 
 
+# A string, or what lies between strings and separators. Possessive repeats do not recurse.
+JSON_STRING = r'"(?:[^"\\]++|\\.)*+"'
+BEFORE_SEPARATOR = rf'\G((?:{JSON_STRING}|[^",:]++)*+)([,:])'
+JSON_TOKEN = rf'{JSON_STRING}|[\[\]{{}},:]|[^\[\]{{}},:"\s]++'
+
+
+def _escaped(char: Column) -> Column:
+    """The \\u escape of a character beyond ASCII, a pair of them beyond 16 bits."""
+    code = F.ascii(char)
+
+    def unit(number: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(number), 4, "0")))
+
+    above = code - 0x10000
+    pair = F.concat(
+        unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+    )
+    return F.when(code > 0xFFFF, pair).otherwise(unit(code))
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with everything beyond visible ASCII escaped, in Python's lower-case spelling."""
+    plain = text
+    for letter in "ABCDEF":
+        # Spark's escapes are in upper case; an even number of backslashes in front is text.
+        escape = rf"(?<=(?<!\\)(?:\\\\){{0,99}}\\u[0-9A-Fa-f]{{0,3}}){letter}"
+        plain = F.regexp_replace(plain, escape, letter.lower())
+    plain = F.when(F.rlike(text, F.lit(r"\\u[0-9a-f]{0,3}[A-F]")), plain).otherwise(text)
+    chars = F.transform(
+        F.split(plain, ""),
+        lambda c: F.when((c == "") | c.between(" ", "~"), c).otherwise(_escaped(c)),
+    )
+    return F.when(F.rlike(text, F.lit("[^ -~]")), F.array_join(chars, "")).otherwise(plain)
+
+
+def spaced_json(text: Column) -> Column:
+    """Compact JSON text as Python writes it: a blank behind separators, ASCII only."""
+    return F.regexp_replace(ascii_json(text), BEFORE_SEPARATOR, "$1$2 ")
+
+
+def indented_json(text: Column) -> Column:
+    """JSON text in Python's two-space layout, ASCII only."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"), F.lit("").alias("text"))
+
+    def line(depth: Column) -> Column:
+        return F.concat(F.lit("\n"), F.call_function("repeat", F.lit("  "), depth))
+
+    def add(done: Column, token: Column) -> Column:
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        first = done["last"].isin("{", "[")
+        depth = done["depth"] - closes.cast("int")
+        piece = (
+            F.when(token == ":", F.lit(": "))
+            .when(token == ",", token)
+            .when(F.when(closes, ~first).otherwise(first | (done["last"] == ",")), F.concat(line(depth), token))
+            .otherwise(token)
+        )
+        return F.struct(
+            (depth + opens.cast("int")).alias("depth"), token.alias("last"),
+            F.concat(done["text"], piece).alias("text"),
+        )
+
+    tokens = F.regexp_extract_all(ascii_json(text), F.lit(JSON_TOKEN), F.lit(0))
+    return F.reduce(tokens, start, add)["text"]
+
+
 def python_text(value: Column) -> Column:
     """Python's str() of a JSON scalar; lists and objects stay JSON text."""
     type_name = F.schema_of_variant(value)

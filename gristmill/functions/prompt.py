@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.json_text import parse_texts, parse_value
+from gristmill.functions.json_text import (
+    indented_json,
+    parse_record,
+    parse_texts,
+    parse_value,
+    spaced_json,
+)
 
 # Where a JSON object may sit in a model's text.
 FLAT_OBJECT = r"\{[^{}]*\}"
@@ -13,12 +19,25 @@ WIDEST_OBJECT = r"(?s)\{.*\}"
 
 
 def format_fields(raw: Column) -> Column:
-    """``key: value`` lines of a JSON object, in key order; strings unquoted, others as JSON."""
-    lines = F.transform(
-        F.map_entries(parse_texts(raw)),
-        lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))),
-    )
-    return F.array_join(lines, "\n")
+    """``key: value`` lines of a JSON object, in key order; strings unquoted, others as JSON.
+
+    Lists and objects are laid out as Python's ``json.dumps`` does. Only records that may hold any
+    are parsed for their types.
+    """
+    nested = F.when(F.rlike(raw, F.lit(r"(?s)^\s*\{.*[\[{]")), parse_record(raw))
+
+    def lines(fields: Column) -> Column:
+        def line(entry: Column) -> Column:
+            kind = fields[entry["key"]]["type"]
+            inner = F.coalesce(F.rlike(kind, F.lit("^(OBJECT|ARRAY)<")), F.lit(False))
+            value = F.coalesce(entry["value"], F.lit("null"))
+            return F.concat(
+                entry["key"], F.lit(": "), F.when(inner, spaced_json(value)).otherwise(value)
+            )
+
+        return F.array_join(F.transform(F.map_entries(parse_texts(raw)), line), "\n")
+
+    return F.get(F.transform(F.array(nested), lines), F.lit(0))
 
 
 def format_input(value: Column, text: Column) -> Column:
@@ -41,6 +60,9 @@ def format_output(value: Column, text: Column) -> Column:
     return F.when(is_text, F.to_json(value)).otherwise(F.coalesce(text, F.lit("null")))
 
 
+LAYOUTS = {"indented": indented_json, "compact": lambda text: text}
+
+
 def extract_json(text: Column) -> Column:
     """The JSON value a model meant, as VARIANT; null when there is none.
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ATTEMPTS = 10
+
+
+def _tried(candidates: DataFrame, attempt: str, max_attempts: int | None) -> DataFrame:
+    return candidates if max_attempts is None else candidates.where(F.col(attempt) <= max_attempts)
 
 
 def best_of(
@@ -15,13 +18,14 @@ def best_of(
     prompt: str = "prompt_id",
     attempt: str = "attempt",
     text: str = "text",
-    max_attempts: int = MAX_ATTEMPTS,
+    max_attempts: int | None = None,
 ) -> DataFrame:
     """The first valid attempt of each prompt, or its last attempt when none is valid.
 
-    Every task first reduces its own attempts of a prompt to at most two.
+    All attempts count unless ``max_attempts`` sets a last one. Every task first reduces its own
+    attempts of a prompt to at most two.
     """
-    judged = candidates.where(F.col(attempt) <= max_attempts).select(
+    judged = _tried(candidates, attempt, max_attempts).select(
         prompt,
         F.struct(F.col(attempt).alias("attempt"), F.col(text).alias("text")).alias("answer"),
         F.col(attempt).alias("_order"),
@@ -46,8 +50,7 @@ def rejection_log(
     *,
     prompt: str = "prompt_id",
     attempt: str = "attempt",
-    max_attempts: int = MAX_ATTEMPTS,
+    max_attempts: int | None = None,
 ) -> DataFrame:
-    """One row per error of each rejected attempt within the limit."""
-    tried = candidates.where(F.col(attempt) <= max_attempts)
-    return tried.select(prompt, attempt, F.inline(errors))
+    """One row per error of each rejected attempt, up to ``max_attempts`` if that is set."""
+    return _tried(candidates, attempt, max_attempts).select(prompt, attempt, F.inline(errors))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -12,24 +11,24 @@ from pyspark.sql import types as T
 
 from gristmill.functions.checks import light_valid
 from gristmill.functions.json_text import as_record, parse_record, parse_texts
-from gristmill.functions.prompt import format_input, format_output
+from gristmill.functions.prompt import LAYOUTS, format_input, format_output
 from gristmill.functions.record import VariantRecord
 from gristmill.spec import Spec
 
-MAX_TOKENS = 2048
-
-Tokenizer = Callable[[str], Sequence[int]]
+# Ids of each text of a batch.
+Tokenizer = Callable[[Sequence[str]], Sequence[Sequence[int]]]
 
 
 def training_text(
-    df: DataFrame, raw: str, *, layout: str = "compact", keep: Sequence[str] = ()
+    df: DataFrame, raw: str, *, layout: str = "indented", keep: Sequence[str] = ()
 ) -> DataFrame:
     """``text``: prompt lines, a line end, and the output; or the ready ``text`` of other records.
 
-    ``raw`` names the column with the records' JSON text. The ``compact`` layout of outputs is
-    made on the JVM; ``indented`` is byte for byte Python's two-space layout with escaped
-    non-ASCII characters, and takes only the outputs through Python.
+    ``raw`` names the column with the records' JSON text. Outputs are laid out ``indented``, byte
+    for byte Python's two-space layout with escaped non-ASCII characters, or ``compact``.
     """
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {', '.join(LAYOUTS)}")
     source = F.col(raw)
     record, texts = VariantRecord(F.col("_fields")), F.col("_texts")
     given, wanted, ready = record.value("input"), record.value("output"), record.value("text")
@@ -42,25 +41,10 @@ def training_text(
         F.when(is_pair, format_input(given.raw, texts["input"])).otherwise(text).alias("_prompt"),
         F.when(is_pair, format_output(wanted.raw, texts["output"])).alias("_answer"),
     )
-    if layout == "indented":
-        parts = parts.withColumn("_answer", _indented_json()(F.col("_answer")))
-    elif layout != "compact":
-        raise ValueError("layout must be 'compact' or 'indented'")
-    answer = F.coalesce("_answer", F.lit(""))
+    answer = F.coalesce(LAYOUTS[layout](F.col("_answer")), F.lit(""))
     return parts.select(*keep, F.concat("_prompt", F.lit("\n"), answer).alias("text"))
 
 
-def _indented_json() -> Callable[[Column], Column]:
-    def indent(text: str | None) -> str | None:
-        return None if text is None else json.dumps(json.loads(text), indent=2)
-
-    @F.pandas_udf(T.StringType())
-    def indented(texts: pd.Series) -> pd.Series:
-        return texts.map(indent)
-
-    return indented
-
-
 def output_conforms(fields: Column, spec: Spec) -> Column:
     """The light schema check of ``output``; training keeps the row either way."""
     output = as_record(VariantRecord(fields).value("output").raw)
@@ -79,23 +63,27 @@ def tokenize(
     tokenizer: Tokenizer | None = None,
     *,
     keep: Sequence[str] = (),
-    max_tokens: int = MAX_TOKENS,
+    max_tokens: int | None = None,
 ) -> DataFrame:
-    """``input_ids`` cut at ``max_tokens``, and ``labels`` equal to them; no padding.
+    """``input_ids``, cut only if ``max_tokens`` is set, and ``labels`` equal to them; no padding.
 
-    Without a tokenizer the tokens are the words between white space. A tokenizer runs batch
-    by batch in Python.
+    Without a tokenizer the tokens are the words between white space. A tokenizer is called in
+    Python with the texts of a whole batch.
     """
     column = F.col(text) if isinstance(text, str) else text
     if tokenizer is None:
         words = F.array_remove(F.split(column, r"[\s\x1c-\x1f\x85\p{Z}]+"), "")
-        ids = F.slice(words, 1, max_tokens)
+        ids = words if max_tokens is None else F.slice(words, 1, max_tokens)
     else:
 
         @F.pandas_udf(T.ArrayType(T.LongType()))
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield batch.map(lambda t: None if t is None else list(tokenizer(t))[:max_tokens])
+                known = batch.notna()
+                ids = iter(tokenizer(batch[known].tolist()) if known.any() else ())
+                yield pd.Series(
+                    [list(next(ids))[:max_tokens] if k else None for k in known], dtype="object"
+                )
 
         ids = encode(column)
     return df.select(*keep, ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))
