@@ -1,4 +1,4 @@
-"""The gate, its reports, and conformance jobs."""
+"""The gate, its reports, broken records and example pairs."""
 
 from __future__ import annotations
 
@@ -19,12 +19,8 @@ from gristmill.catalog.validation import (
     orders,
 )
 from gristmill.functions import checks
-from gristmill.operators.conformance import (
-    check_examples,
-    failures,
-    generate,
-    generate_broken,
-)
+from gristmill.functions.record import TypedRecord
+from gristmill.operators.conformance import check_examples
 from gristmill.operators.gate import (
     GateConfig,
     accepted_rows,
@@ -34,6 +30,7 @@ from gristmill.operators.gate import (
     quality_report,
     quarantined_rows,
     require_accepted,
+    shorten_errors,
 )
 from gristmill.operators.records import with_record
 
@@ -53,7 +50,7 @@ def gate_accepted(spark, sf_dir):
 @query(f"SELECT o_orderkey, least({ORDER_ERRORS} + 1, 2) AS n_errors FROM orders WHERE {ORDER_ERRORS} > 0")
 def gate_quarantine(spark, sf_dir):
     """Each refused row has its errors, and one saying that no entity matched, cut at two."""
-    refused = quarantined_rows(gated_orders(spark, sf_dir, max_errors=2))
+    refused = shorten_errors(quarantined_rows(gated_orders(spark, sf_dir)), 2)
     return refused.select("o_orderkey", F.size("errors").alias("n_errors"))
 
 
@@ -102,6 +99,27 @@ def quality_report_orders(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT count(*) AS rows, 0 AS accepted, count(*) FILTER (l_returnflag <> 'N') AS enum_rows,
+              count(*) FILTER (l_quantity > 25) AS maximum_rows, count(*) AS oneof_rows,
+              count(*) AS required_rows FROM lineitem"""
+)
+def g6_report_many_errors(spark, sf_dir):
+    """Rows with more than a dozen broken rules each; the report counts them all."""
+    columns = ["l_orderkey", "l_quantity", "l_returnflag"]
+    absent = {f"absent_{i:02}": "string" for i in range(12)}
+    declared = {"l_orderkey": "int", "l_quantity": {"type": "float", "range": [0, 25]},
+                "l_returnflag": {"type": "string", "enum": ["N"]}}
+    spec = Spec.from_dict({"entities": {"Line": {"fields": absent | declared}}})
+    df = table(spark, sf_dir, "lineitem").select(*columns)
+    report = quality_report(gate(df, TypedRecord(df, columns), spec))
+    rules = F.map_from_entries("rules")
+    return report.select(
+        "rows", "accepted", rules["enum"].alias("enum_rows"), rules["maximum"].alias("maximum_rows"),
+        rules["oneOf"].alias("oneof_rows"), rules["required"].alias("required_rows"),
+    )
+
+
 @query(f"SELECT count(*) AS rows, count(*) FILTER ({VALID_EVENT}) AS accepted, "
        f"count(*) FILTER (NOT ({VALID_EVENT})) AS rejected FROM {EVENTS}")
 def g7_observed_metrics(spark, sf_dir):
@@ -116,90 +134,53 @@ def g7_observed_metrics(spark, sf_dir):
     )
 
 
-# --- conformance -----------------------------------------------------------------------
-
-
-def people_spec() -> Spec:
-    return Spec.from_dict(
-        {
-            "entities": {
-                "Person": {
-                    "fields": {
-                        "name": "string",
-                        "age": {"type": "int", "range": [0, 150]},
-                        "email": {"type": "string", "required": False},
-                        "status": {"type": "string", "enum": ["active", "inactive", "pending"]},
-                    }
-                },
-                "Product": {
-                    "fields": {
-                        "id": "string",
-                        "price": {"type": "float", "range": [0.0, 1000000.0]},
-                        "sizes": "list[int]",
-                        "new": "bool",
-                    }
-                },
-            }
-        }
-    )
-
-
-def drawn(label: str) -> str:
-    """SQL of the number drawn for a row and label."""
-    return f"('0x' || substr(md5('42:{label}:' || doc_id), 1, 8))::BIGINT"
+# --- records broken on purpose, and example pairs ----------------------------------------
+
+# Each event's record as it is and broken in one way each; SQL of whether the result conforms.
+MUTATIONS = {
+    "as_is": (lambda k, props: props, "(k <= 60)::INT + (k >= 40)::INT = 1"),
+    "dropped_key": (lambda k, props: F.lit('{"type":"Large"}'), "false"),
+    "escaped_mark": (
+        lambda k, props: F.concat(props, F.lit(',{"gristmill\\u003aend":0}')), "false"
+    ),
+    "half": (lambda k, props: F.expr("left(props, length(props) - 1)"), "false"),
+    "in_a_list": (lambda k, props: F.concat(F.lit("["), props, F.lit("]")), "false"),
+    "no_value": (lambda k, props: F.lit('{"k":null}'), "false"),
+    "number_as_text": (lambda k, props: F.concat(F.lit('{"k":"'), k, F.lit('"}')), "false"),
+    "plus_50": (
+        lambda k, props: F.concat(F.lit('{"k":'), (k + 50).cast("string"), F.lit("}")),
+        "(k + 50 <= 60)::INT + (k + 50 >= 40)::INT = 1",
+    ),
+    "tail": (lambda k, props: F.concat(props, F.lit(" ,")), "false"),
+    "undeclared_key": (
+        lambda k, props: F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"beside":[]}')), "false"
+    ),
+}
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN {drawn('entity')} % 2 = 0 THEN
-            concat('{{"name":"', md5('42:Person.name:' || doc_id), '","age":', {drawn('Person.age')} % 151,
-                   CASE WHEN {drawn('Person.email?')} % 2 = 0
-                        THEN concat(',"email":"', md5('42:Person.email:' || doc_id), '"') END,
-                   ',"status":"', ['active', 'inactive', 'pending'][1 + {drawn('Person.status')} % 3],
-                   '"}}') END AS person, true AS is_valid
-        FROM documents"""
-)
-def conformance_valid(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").select("doc_id")
-    judged = failures(generate(keys, "doc_id", people_spec()), people_spec())
-    person = F.when(F.col("raw").startswith('{"name"'), F.col("raw"))
-    return judged.select("doc_id", person.alias("person"), "is_valid")
-
-
-@query("SELECT count(*) AS rows, 0 AS missing, 0 AS null_values FROM documents")
-def c3_required_present(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").select("doc_id")
-    rows = with_record(generate(keys, "doc_id", people_spec()))
-    record = fields()
-    product = record.value("id").present
-    missing = null_values = F.lit(0)
-    for entity, is_it in zip(people_spec().entities, (~product, product), strict=True):
-        for name in entity.required_names:
-            value = record.value(name)
-            missing = missing + (is_it & ~value.present).cast("int")
-            null_values = null_values + (is_it & value.is_null).cast("int")
-    return rows.agg(
-        F.count("*").alias("rows"), F.sum(missing).alias("missing"),
-        F.sum(null_values).alias("null_values"),
+    "SELECT mutation, count(*) AS rows, count(*) FILTER (valid) AS conforming FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS mutation, {sql} AS valid FROM "
+        "(SELECT regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events)"
+        for name, (_, sql) in MUTATIONS.items()
     )
-
-
-BROKEN = (
-    "extra_field drop:name retype:name drop:age retype:age below:age above:age retype:email "
-    "drop:status retype:status enum:status empty random_dict random_text malformed:0 malformed:1 "
-    "malformed:2 malformed:3"
-).split()
-
-
-@query(
-    "SELECT mutation, count(*) AS rows, count(*) AS invalid FROM documents, "
-    f"(SELECT unnest({BROKEN}) AS mutation) GROUP BY mutation"
+    + ") GROUP BY mutation"
 )
-def conformance_negative(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").select("doc_id")
-    spec = people_spec()
-    judged = failures(generate_broken(keys, "doc_id", spec.entity("Person")), spec)
-    return judged.groupBy("mutation").agg(
-        F.count("*").alias("rows"), F.count_if(~F.col("is_valid")).alias("invalid")
+def v18_mutated_events(spark, sf_dir):
+    """Broken forms of every event's record, judged as texts."""
+    df = table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("mutation"), make(k, F.col("props")).alias("raw"))
+            for name, (make, _) in MUTATIONS.items()
+        ]
+    )
+    judged = with_record(df.select(F.inline(rows)), keep=["mutation"])
+    valid = checks.schema_valid(fields(), event_spec())
+    return judged.select("mutation", valid.alias("valid")).groupBy("mutation").agg(
+        F.count("*").alias("rows"), F.count_if("valid").alias("conforming")
     )
 
 

@@ -514,14 +514,16 @@ def v19_severity(spark, sf_dir):
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN event_type = 'error' THEN 'Custom validation error'
-                              WHEN k % 3 <> 0 THEN 'Custom validation failed' END AS message
+    f"""SELECT event_id, CASE WHEN event_type = 'error' THEN 'the check gave no answer'
+                              ELSE 'the check said no' END AS message,
+               CASE WHEN event_type = 'error' THEN 'TypeError' END AS problem
         FROM {EVENTS} WHERE event_type = 'error' OR k % 3 <> 0"""
 )
 def u2_custom_validator(spark, sf_dir):
-    """A Python check per record; where it raises, the record has an error."""
+    """A Python check of batches; a record on which it raises has an error that tells why."""
     df = events(spark, sf_dir)
-    divisible = python_validator(lambda record: int(record["k"] / 1) % 3 == 0)
-    found = checks.custom_errors({"divisible": F.col("verdict")})
+    divisible = python_validator(lambda records: [int(r["k"] / 1) % 3 == 0 for r in records])
+    found = checks.custom_errors({"divisible": F.col("verdict.ok")})
     judged = df.withColumn("verdict", divisible(F.col("raw")))
-    return violations(judged, found, ["event_id"]).select("event_id", "message")
+    told = judged.withColumn("problem", F.substring_index("verdict.problem", ":", 1))
+    return violations(told, found, ["event_id", "problem"]).select("event_id", "message", "problem")

@@ -94,7 +94,7 @@ def missing_required(record: Record, entity: Entity) -> list[Column]:
     return [
         error_if(
             ~record.value(name).present,
-            "required", entity.name, name, f"Missing required field: {name}",
+            "required", entity.name, name, f"{name} is required but absent",
         )
         for name in entity.required_names
     ]
@@ -105,7 +105,7 @@ def unknown_fields(record: Record, entity: Entity) -> Column:
     unknown = F.transform(
         record.unknown_keys(entity.field_names),
         lambda key: error(
-            "unknown", entity.name, key, F.concat(F.lit("Unknown field: "), key)
+            "unknown", entity.name, key, F.concat(F.lit("not declared: "), key)
         ),
     )
     return F.when(record.has_unknown_keys(entity.field_names), unknown).otherwise(no_errors())
@@ -134,7 +134,7 @@ def field_errors(record: Record, entity: Entity, field: Field) -> list[Column]:
     found = [
         error_if(
             value.present & ~type_matches(value, field.type),
-            "type", entity.name, field.name, f"Field '{field.name}': Expected {field.type}",
+            "type", entity.name, field.name, f"{field.name} is not of type {field.type}",
         )
     ]
     if field.enum is not None:
@@ -142,7 +142,7 @@ def field_errors(record: Record, entity: Entity, field: Field) -> list[Column]:
             error_if(
                 value.present & ~in_enum(value, field.enum),
                 "enum", entity.name, field.name,
-                f"Field '{field.name}': Value not in enum {list(field.enum)}",
+                f"{field.name} is none of {', '.join(field.enum)}",
             )
         )
     if field.range is not None:
@@ -151,14 +151,14 @@ def field_errors(record: Record, entity: Entity, field: Field) -> list[Column]:
             error_if(
                 value.present & value.is_numeric & (_below(value, low) | _above(value, high)),
                 "range", entity.name, field.name,
-                f"Field '{field.name}': Value not in range [{low}, {high}]",
+                f"{field.name} lies outside {low} to {high}",
             )
         )
         found.append(
             error_if(
                 value.present & ~value.is_numeric,
                 "range_type", entity.name, field.name,
-                f"Field '{field.name}': Value cannot be compared with a range",
+                f"{field.name} is no number, its range cannot be judged",
             )
         )
     return found
@@ -201,12 +201,12 @@ def simple_constraint_errors(record: Record, constraint: Constraint) -> Column:
     except ValueError:
         return error_if(
             applies, "constraint_error", None, rule.field,
-            f"Constraint evaluation error: {constraint.expr}",
+            f"cannot be evaluated: {constraint.expr}",
         )
     holds = OPERATORS[rule.op](F.length(value.text), F.lit(limit))
     return error_if(
         applies & ~is_true(holds),
-        "constraint", None, rule.field, f"Constraint failed: {constraint.expr}",
+        "constraint", None, rule.field, f"does not hold: {constraint.expr}",
     )
 
 
@@ -220,7 +220,7 @@ def matched_entity(record: Record, spec: Spec) -> Column:
 
 def ontology_errors(record: Record, spec: Spec) -> Column:
     """Errors of the entities tried up to the first match, then of the constraints."""
-    tried = error_if(true(), "no_entity", None, None, "Data doesn't match any defined entity")
+    tried = error_if(true(), "no_entity", None, None, "no entity of the spec fits")
     for entity in reversed(spec.entities):
         found = entity_errors(record, entity)
         tried = F.when(entity_clean(record, entity), no_errors()).otherwise(
@@ -395,7 +395,7 @@ def schema_errors(record: Record, spec: Spec, valid: Column | None = None) -> Co
         valid = record.is_object & _exactly_one(matches)
     return (
         F.when(valid, no_errors())
-        .when(~record.is_object, F.array(error("object", None, None, "Not a JSON object")))
+        .when(~record.is_object, F.array(error("object", None, None, "the record is no object")))
         .when(any_of(matches), several)
         .otherwise(F.concat(per_entity, none))
     )
@@ -439,27 +439,23 @@ def field_constraint_errors(record: Record, entity: Entity) -> Column:
     """Enum, string length and numeric range of the entity's fields."""
     parts = []
     for field in entity.fields:
-        value = record.value(field.name)
-        name = field.name
-        if field.enum:
-            parts.append(
-                error_if(value.present & ~in_enum(value, field.enum),
-                         "enum", entity.name, name, f"Value not in allowed enum: {list(field.enum)}")
-            )
-        if field.json_type == "string" and field.min_length:
-            short = is_true(F.length(value.text) < field.min_length)
-            parts.append(error_if(short, "minLength", entity.name, name,
-                                  f"String too short: < {field.min_length}"))
-        if field.json_type == "string" and field.max_length:
-            long = is_true(F.length(value.text) > field.max_length)
-            parts.append(error_if(long, "maxLength", entity.name, name,
-                                  f"String too long: > {field.max_length}"))
-        if field.json_range:
-            low, high = field.json_range
-            parts.append(error_if(value.is_numeric & _below(value, low), "minimum", entity.name,
-                                  name, f"Value too small: < {low}"))
-            parts.append(error_if(value.is_numeric & _above(value, high), "maximum", entity.name,
-                                  name, f"Value too large: > {high}"))
+        name, value = field.name, record.value(field.name)
+        low, high = field.json_range or (None, None)
+        text = field.json_type == "string"
+        # (rule, what the spec bounds, when it is broken, what is said then)
+        table = [
+            ("maximum", high, lambda b, v=value: v.is_numeric & _above(v, b), f"{name} is above {high}"),
+            ("minimum", low, lambda b, v=value: v.is_numeric & _below(v, b), f"{name} is below {low}"),
+            ("maxLength", text and field.max_length, lambda b, v=value: is_true(F.length(v.text) > b),
+             f"{name} has more than {field.max_length} characters"),
+            ("minLength", text and field.min_length, lambda b, v=value: is_true(F.length(v.text) < b),
+             f"{name} has fewer than {field.min_length} characters"),
+            ("enum", field.enum, lambda b, v=value: v.present & ~in_enum(v, b),
+             f"{name} is none of {', '.join(field.enum or ())}"),
+        ]
+        for rule, bound, broken, message in table:
+            if bound or rule in ("minimum", "maximum") and bound is not None:
+                parts.append(error_if(broken(bound), rule, entity.name, name, message))
     return join_errors(parts)
 
 
@@ -474,7 +470,7 @@ def typed_constraint_errors(record: Record, spec: Spec) -> Column:
 
 def custom_errors(validators: dict[str, Column]) -> Column:
     """User rules: a false result is an error, and so is null, the result of a failed check."""
-    message = {False: "Custom validation failed", True: "Custom validation error"}
+    message = {False: "the check said no", True: "the check gave no answer"}
     return join_errors(
         error_if(
             ~is_true(check), "custom", None, name,
@@ -500,7 +496,7 @@ def output_errors(
         parts.append(typed_required_errors(record, spec))
         parts.append(typed_constraint_errors(record, spec))
         if not schema:
-            parts.append(error_if(~record.is_object, "object", None, None, "Not a JSON object"))
+            parts.append(error_if(~record.is_object, "object", None, None, "the record is no object"))
     if custom:
         parts.append(custom_errors(custom))
     return join_errors(parts)

@@ -21,9 +21,9 @@ from gristmill.functions.record import VariantRecord
 from gristmill.operators.records import with_record
 from gristmill.spec import Entity, Field, Spec
 
-# Inputs every validator must answer without failing.
-MALFORMED = ("null", '""', "[]", '{"invalid":"data"}')
-EXTRA_KEY = '"extra_field":"value"'
+# Texts that are no record of any spec, and a pair no spec declares.
+MALFORMED = ("17", '["k"]', '{"half":', '{"unheard_of":[]}')
+EXTRA_KEY = '"beside_the_spec":{}'
 
 
 def draw(key: Column, label: str, seed: int) -> Column:
@@ -125,7 +125,7 @@ def nonconforming(pairs: dict[str, Column], key: Column, entity: Entity, seed: i
     def replaced(name: str, value: str) -> Column:
         return _object({**pairs, name: F.lit(f"{json.dumps(name)}:{value}")})
 
-    broken = {"extra_field": _object([*pairs.values(), F.lit(EXTRA_KEY)])}
+    broken = {"extra_key": _object([*pairs.values(), F.lit(EXTRA_KEY)])}
     for field in entity.fields:
         name = field.name
         if field.required:

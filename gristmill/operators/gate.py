@@ -22,7 +22,6 @@ from gristmill.spec import Spec
 class GateConfig:
     enable_validation: bool = True
     fail_closed: bool = True
-    max_errors: int = 10
 
 
 def gate(
@@ -40,9 +39,12 @@ def gate(
     judged = df.withColumn("is_valid", is_true(schema_valid(record, spec)))
     errors = schema_errors(record, spec, valid=F.col("is_valid"))
     accepted = F.col("is_valid") if config.fail_closed else F.lit(True)
-    return judged.withColumns(
-        {"errors": F.slice(errors, 1, config.max_errors), "accepted": accepted}
-    )
+    return judged.withColumns({"errors": errors, "accepted": accepted})
+
+
+def shorten_errors(gated: DataFrame, limit: int) -> DataFrame:
+    """For showing: at most ``limit`` errors of each row. Reports count the whole lists before."""
+    return gated.withColumn("errors", F.slice("errors", 1, limit))
 
 
 def accepted_rows(gated: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def quarantined_rows(gated: DataFrame) -> DataFrame:
 
 def require_accepted(gated: DataFrame) -> DataFrame:
     """Pass the rows on, failing the job at the first one the gate refused."""
-    message = F.concat(F.lit("Request validation failed: "), F.to_json("errors"))
+    message = F.concat(F.lit("the gate refused a row: "), F.to_json("errors"))
     return gated.where(
         F.when(F.col("accepted"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     )

@@ -44,17 +44,37 @@ def constraint_violations(
     return df.select(*keep, F.inline(F.array_compact(F.array(*broken))))
 
 
-def python_validator(check: Callable[[Mapping[str, Any]], bool]) -> Callable[[Column], Column]:
-    """A Python check of one record as a Column over JSON text; null where it raised."""
+BatchCheck = Callable[[Sequence[Mapping[str, Any]]], Sequence[bool]]
 
-    def judge(text: str | None) -> bool | None:
+
+def python_validator(check: BatchCheck) -> Callable[[Column], Column]:
+    """A Python check of a batch of records as a Column over their JSON text.
+
+    Gives ``STRUCT<ok, problem>``. Where the check of a batch raises, its records are checked one
+    by one, so that only those it fails on have no answer (``ok`` is null) and the reason in
+    ``problem``.
+    """
+
+    def answer(records: list) -> list[tuple]:
         try:
-            return bool(check(json.loads(text)))
-        except Exception:
-            return None
+            return [(bool(ok), None) for ok in check(records)]
+        except Exception as error:
+            if len(records) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            return [row for record in records for row in answer([record])]
 
-    @F.pandas_udf(T.BooleanType())
-    def judged(texts: pd.Series) -> pd.Series:
-        return texts.map(judge).astype("boolean")
+    @F.pandas_udf("ok boolean, problem string")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        records, unread = [], {}
+        for place, text in enumerate(texts):
+            try:
+                records.append(json.loads(text))
+            except (TypeError, ValueError) as error:
+                unread[place] = (None, f"{type(error).__name__}: {error}")
+        rows = iter(answer(records) if records else ())
+        return pd.DataFrame(
+            [unread[i] if i in unread else next(rows) for i in range(len(texts))],
+            columns=["ok", "problem"],
+        ).astype({"ok": "boolean", "problem": "object"})
 
     return judged

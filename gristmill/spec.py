@@ -27,7 +27,14 @@ JSON_TYPES = {
 # The constraint language is defined by these two patterns.
 LENGTH_RULE = re.compile(r"len\((\w+)\)\s*([<>=]+)\s*(\d+)")
 COMPARE_RULE = re.compile(r"(\w+)\s*([<>=!]+)\s*([^<>=!]+)")
-COMPARE_OPERATORS = ("<=", ">=", "<", ">", "==", "!=")
+# A text is about a length if it calls len somewhere; it compares if it has an operator but "=".
+CALLS_LEN = re.compile(r"(?s)(?=.*len\()(?=.*\))")
+COMPARES = re.compile(r"[<>]|[=!]=")
+# Which field's length is bounded, and by what; an upper bound goes before a lower one.
+BOUNDED_LENGTH = re.compile(
+    r"(?s)(?=.*?len\((?P<field>[^)]*)\))"
+    r"(?:(?=.*?<=(?P<most>.*?)(?:<=|\Z))|(?=.*?>=(?P<least>.*?)(?:>=|\Z)))"
+)
 SEVERITIES = ("error", "warning", "info")
 
 
@@ -143,22 +150,26 @@ class Constraint:
     @cached_property
     def rule(self) -> LengthRule | CompareRule | None:
         """What a row has to satisfy; None when the text constrains nothing."""
-        if "len(" in self.expr and ")" in self.expr:
-            found = LENGTH_RULE.search(self.expr)
-            return LengthRule(*found.groups()) if found else None
-        if any(op in self.expr for op in COMPARE_OPERATORS):
-            found = COMPARE_RULE.search(self.expr)
-            return CompareRule(*found.groups()) if found else None
-        return None
+        kind, pattern = (
+            (LengthRule, LENGTH_RULE) if CALLS_LEN.match(self.expr) else (CompareRule, COMPARE_RULE)
+        )
+        found = pattern.search(self.expr)
+        if not found or kind is CompareRule and not COMPARES.search(self.expr):
+            return None
+        return kind(*found.groups())
 
     @cached_property
     def simple_length(self) -> LengthRule | None:
-        """The narrower reading used by record validation: only ``<=`` and ``>=``."""
-        if "len(" not in self.expr or ")" not in self.expr:
+        """The narrower reading used by record validation: only ``<=`` and ``>=``.
+
+        The limit is the text between the operator and its next occurrence.
+        """
+        found = BOUNDED_LENGTH.match(self.expr)
+        if not found:
             return None
-        name = self.expr.split("len(", 1)[1].split(")", 1)[0]
-        op = next((o for o in ("<=", ">=") if o in self.expr), None)
-        return LengthRule(name, op, self.expr.split(op)[1].strip()) if op else None
+        if found["most"] is not None:
+            return LengthRule(found["field"], "<=", found["most"].strip())
+        return LengthRule(found["field"], ">=", found["least"].strip())
 
 
 @dataclass(frozen=True)

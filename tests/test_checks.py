@@ -9,24 +9,24 @@ from gristmill.functions.json_text import parse_record
 from gristmill.functions.record import TypedRecord, VariantRecord
 from gristmill.spec import Constraint, SpecError
 
-ANN = '{"name":"Ann","age":30,"status":"active"}'
-PEN = '{"id":"p1","name":"Pen","price":2.5,"category":"other"}'
+BERTH = '{"number":7,"pier":"north","crane":true}'
+CARGO = '{"tons":2.5,"kind":"ore","sealed":false}'
 
 # text, exactly one entity, light match, matched entity, constraints
 GOLDEN = [
-    (ANN, True, True, "Person", True),
-    (PEN, True, True, "Product", True),
-    ('{"name":"Ann","age":true,"status":"active"}', False, True, "Person", True),
-    ('{"name":"Ann","age":30.0,"status":"active"}', True, False, None, True),
-    ('{"name":"Ann","age":30.5,"status":"active"}', False, False, None, True),
-    ('{"name":"Ann","age":200,"status":"active"}', False, True, None, True),
-    ('{"name":"Ann","age":30,"status":"gone"}', False, True, None, True),
-    ('{"name":"Ann","age":30}', False, False, None, True),
-    ('{"name":"Ann","age":30,"status":"active","x":1}', False, True, None, True),
-    ('{"type":"Person","name":"Ann","age":30,"status":"active"}', False, True, None, True),
-    ('{"name":"A","age":30,"status":"active"}', True, True, "Person", False),
-    ('{"id":"p1","name":"Pen","price":0,"category":"other"}', True, True, "Product", False),
-    ('{"name":"Ann","age":30,"status":null}', False, False, None, True),
+    (BERTH, True, True, "Berth", True),
+    (CARGO, True, True, "Cargo", True),
+    ('{"number":true,"pier":"north","crane":true}', False, True, "Berth", True),
+    ('{"number":7.0,"pier":"north","crane":true}', True, False, None, True),
+    ('{"number":7.5,"pier":"north","crane":true}', False, False, None, True),
+    ('{"number":99,"pier":"north","crane":true}', False, True, None, True),
+    ('{"number":7,"pier":"upper","crane":true}', False, True, None, True),
+    ('{"number":7,"pier":"north"}', False, False, None, True),
+    ('{"number":7,"pier":"north","crane":true,"x":1}', False, True, None, True),
+    ('{"type":"Berth","number":7,"pier":"north","crane":true}', False, True, None, True),
+    ('{"number":7,"pier":"east","crane":true}', True, True, "Berth", False),
+    ('{"tons":36,"kind":"ore","sealed":false}', True, True, "Cargo", False),
+    ('{"number":7,"pier":null,"crane":true}', False, False, None, True),
     ("{}", False, False, None, True),
 ]
 
@@ -71,7 +71,7 @@ def test_clean_agrees_with_errors(golden, record, spec, answers):
 def test_errors_of_entities_tried_before_the_match_are_kept(golden, record, spec, answers):
     found = answers(golden, checks.ontology_errors(record, spec))
     assert found[0] == []
-    assert {e.entity for e in found[1]} == {"Person"}
+    assert {e.entity for e in found[1]} == {"Berth"}
     assert found[13][-1].rule == "no_entity"
     assert [e.rule for e in found[10]] == ["constraint"]
     # the comparison is not part of record validation
@@ -81,8 +81,8 @@ def test_errors_of_entities_tried_before_the_match_are_kept(golden, record, spec
 
 
 def test_error_rules(golden, record, spec, answers):
-    person = spec.entity("Person")
-    rules = [[e.rule for e in found] for found in answers(golden, checks.entity_errors(record, person))]
+    berth = spec.entity("Berth")
+    rules = [[e.rule for e in found] for found in answers(golden, checks.entity_errors(record, berth))]
     assert rules[5] == ["range"]
     assert rules[6] == ["enum"]
     assert rules[7] == ["required"]
@@ -113,14 +113,14 @@ def test_text_that_is_no_record_is_invalid_not_null(spark, spec, answers):
 def test_envelope(records, spec, answers):
     rows = records(
         [
-            '{"type":"Person","data":%s}' % ANN,
-            '{"type":"Product","data":%s}' % ANN,
-            '{"type":"Other","data":%s}' % ANN,
-            '{"type":"Person"}',
-            '{"type":"Person","data":[]}',
-            '{"type":"Person","data":{"name":"Ann"}}',
-            '{"data":%s}' % ANN,
-            '{"type":"Person","data":%s,"more":1}' % PEN,
+            '{"type":"Berth","data":%s}' % BERTH,
+            '{"type":"Cargo","data":%s}' % BERTH,
+            '{"type":"Crew","data":%s}' % BERTH,
+            '{"type":"Berth"}',
+            '{"type":"Berth","data":[]}',
+            '{"type":"Berth","data":{"number":7}}',
+            '{"data":%s}' % BERTH,
+            '{"type":"Berth","data":%s,"more":1}' % CARGO,
         ]
     )
     got = answers(rows, checks.envelope_valid(F.col("fields"), spec))
@@ -211,9 +211,8 @@ def test_simple_length_reading(records, record, answers):
 
 
 def test_output_checks_and_switches(records, record, spec, answers):
-    rows = records(
-        [ANN, '{"type":"Person","name":"Ann"}', '{"type":"Person","name":"Ann","age":200,"status":"x"}', "[]"]
-    )
+    bad = '{"type":"Berth","number":99,"pier":"upper","crane":true}'
+    rows = records([BERTH, '{"type":"Berth","number":7}', bad, "[]"])
 
     def rules(**switches):
         return [
@@ -224,7 +223,7 @@ def test_output_checks_and_switches(records, record, spec, answers):
     assert rules(schema=False) == [[], ["required"], ["enum", "maximum"], ["object"]]
     assert rules(schema=False, grammar=False) == [[], [], [], []]
     assert rules(grammar=False)[0] == [] and all(rules(grammar=False)[1:])
-    custom = {"adult": record.value("age").number > 40}
+    custom = {"high": record.value("number").number > 40}
     assert rules(schema=False, grammar=False, custom=custom) == [["custom"], ["custom"], [], ["custom"]]
 
 
@@ -238,13 +237,13 @@ def test_field_lengths(records, record, answers):
 
 
 def test_typed_columns_agree_with_open_keys(spark, spec, answers):
-    schema = "n int, name string, age bigint, email string, status string"
+    schema = "n int, number bigint, pier string, crane boolean, remark string"
     data = [
-        (0, "Ann", 30, "e", "active"), (1, "Ann", 200, "e", "active"), (2, "Ann", 30, "e", "gone"),
-        (3, None, 30, "e", "active"), (4, "A", -1, "e", None), (5, "Ann", 0, None, "pending"),
+        (0, 7, "north", True, "r"), (1, 99, "north", True, "r"), (2, 7, "upper", False, "r"),
+        (3, None, "north", True, "r"), (4, -1, None, True, "r"), (5, 1, "east", False, None),
     ]
     df = spark.createDataFrame(data, schema)
-    names = ["name", "age", "email", "status"]
+    names = ["number", "pier", "crane", "remark"]
     typed = TypedRecord(df, names)
     text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     open_keys = df.withColumn("fields", parse_record(text))
