@@ -218,6 +218,48 @@ def reject_reasons_report(spark, sf_dir):
     return reject_reasons(df, TypedRecord(df), config)
 
 
+def document_records(spark, sf_dir):
+    """Labelled documents as JSON records, the label as a score where there is one."""
+    raw = F.to_json(F.struct("doc_id", "text", "lang", "source", F.col("quality").alias("score")))
+    return with_record(labelled(spark, sf_dir), raw, keep=["doc_id"])
+
+
+JSON_QUALITY = QualityConfig(
+    min_length=200,
+    max_length=8000,
+    required_fields=("source", "text"),
+    forbidden_patterns=(MAIL,),
+    allowed_patterns=(r"[a-z]+\.",),
+    min_quality_score=0.5,
+)
+
+
+@query(
+    f"""SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id)
+        WHERE source IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 200 AND 8000
+          AND NOT regexp_matches(text, '{MAIL}') AND regexp_matches(text, '[a-z]+\\.')
+          AND coalesce(quality, 1) >= 0.5"""
+)
+def q8_json_quality_filter(spark, sf_dir):
+    df = document_records(spark, sf_dir)
+    return filter_quality(df, VariantRecord(F.col("fields")), JSON_QUALITY).select("doc_id")
+
+
+@query(
+    f"""SELECT reason, count(*) AS n FROM (
+            SELECT CASE WHEN source IS NULL OR text IS NULL THEN 'required_fields'
+                        WHEN text <> '' AND NOT length(text) BETWEEN 200 AND 8000 THEN 'length'
+                        WHEN text <> '' AND regexp_matches(text, '{MAIL}') THEN 'forbidden_pattern'
+                        WHEN text = '' OR NOT regexp_matches(text, '[a-z]+\\.') THEN 'allowed_pattern'
+                        WHEN quality < 0.5 THEN 'quality_score' END AS reason
+            FROM documents LEFT JOIN labels USING (doc_id))
+        WHERE reason IS NOT NULL GROUP BY reason"""
+)
+def q11_json_reject_reasons(spark, sf_dir):
+    df = document_records(spark, sf_dir)
+    return reject_reasons(df, VariantRecord(F.col("fields")), JSON_QUALITY)
+
+
 @query("SELECT doc_id FROM documents WHERE n_chars > 1000 AND lang = 'en'")
 def u1_row_predicate(spark, sf_dir):
     df = table(spark, sf_dir, "documents")

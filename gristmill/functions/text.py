@@ -6,11 +6,16 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
-from re import _parser as re_parser
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:
+    from re import _parser as re_parser
+except ImportError:  # it is private; without it no pattern is told by its literal first
+    re_parser = None
+
 # The characters Python's str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -51,6 +56,8 @@ def has_any_keyword(text: Column, words: Sequence[str]) -> Column:
 
 def required_literal(pattern: str) -> str:
     """The longest run of plain characters every match of the pattern contains, or ''."""
+    if re_parser is None:
+        return ""
     tree = re_parser.parse(pattern)
     if tree.state.flags & re.IGNORECASE:
         return ""
@@ -63,6 +70,67 @@ def required_literal(pattern: str) -> str:
     return max(runs, key=len)
 
 
+# Groups and flags that Java's expressions lack or read otherwise.
+PYTHON_ONLY = re.compile(r"\(\?(?:P|#|\(|[a-z]*[aLux])|\\[ZN]")
+QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
+CODE = re.compile(r"\\(?:U([0-9a-fA-F]{8})|(0[0-7]{0,2}|[0-3][0-7]{2}))")
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern of Python's ``re`` as Java reads it; refused where the two cannot agree.
+
+    Inside a class Java nests on ``[`` and intersects on ``&&``; outside, it takes every brace for
+    a quantifier and knows no ``{,n}``. Some escapes differ as well.
+    """
+    re.compile(pattern)
+    if PYTHON_ONLY.search(re.sub(r"\\\\", "", pattern)):
+        raise ValueError(f"pattern uses syntax only Python's re knows: {pattern}")
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            number = None if pattern[at : at + 2] == "\\\\" else CODE.match(pattern, at)
+            if number:
+                code = int(number[1], 16) if number[1] else int(number[2], 8)
+                out.append(f"\\x{{{code:x}}}")
+                at = number.end()
+                continue
+            pair = pattern[at : at + 2]
+            out.append({"\\v": "\\x0b", "\\b": "\\x08" if inside else "\\b"}.get(pair, pair))
+            at += 2
+            continue
+        if inside:
+            out.append(f"\\{c}" if c in "[&" else c)
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            start = re.compile(r"\[\^?\]?").match(pattern, at)[0]
+            out.append(start.replace("]", "\\]"))
+            at += len(start)
+            continue
+        elif c == "{":
+            count = QUANTIFIER.match(pattern, at)
+            if count and (count[1] or count[2]):
+                out.append(f"{{{count[1] or 0}{count[2]}{count[3]}}}")
+                at = count.end()
+                continue
+            out.append("\\{")
+        else:
+            out.append("\\}" if c == "}" else c)
+        at += 1
+    return "".join(out)
+
+
+def _check_by_jvm(pattern: str) -> None:
+    """Refuse at once what would fail the job later."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as error:
+            raise ValueError(f"pattern cannot be carried over to Java: {pattern}") from error
+
+
 def matches(text: Column, pattern: str) -> Column:
     """True where the regular expression is found anywhere in the text.
 
@@ -71,12 +139,11 @@ def matches(text: Column, pattern: str) -> Column:
     class, of Unicode classes. Texts lacking a character run the pattern needs are told by
     substring search alone, which is many times faster than the expression.
     """
-    re.compile(pattern)
-    if re.search(r"\(\?[P(#]|\\Z", pattern):
-        raise ValueError(f"pattern uses syntax only Python's re knows: {pattern}")
+    carried = java_pattern(pattern)
     literal = required_literal(pattern)
     if literal and literal == re.sub(r"\\([^\w\s])", r"\1", pattern):
         return F.contains(text, F.lit(literal))
     flags = "(?dU)" if re.search(r"\\[wWdDsSbB]|\(\?i", pattern) else "(?d)"
-    found = F.rlike(text, F.lit(flags + pattern))
+    _check_by_jvm(flags + carried)
+    found = F.rlike(text, F.lit(flags + carried))
     return F.contains(text, F.lit(literal)) & found if literal else found

@@ -2,6 +2,8 @@ import json
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gristmill.functions.json_text import parse_record
@@ -233,8 +235,8 @@ def test_quality_conditions(records, record, answers):
 
 def test_config_from_spec(spec):
     config = QualityConfig.from_spec(spec)
-    assert (config.min_length, config.max_length) == (2, None)
-    assert sorted(set(config.required_fields)) == ["age", "category", "id", "name", "price", "status"]
+    assert (config.min_length, config.max_length) == (5, None)
+    assert sorted(set(config.required_fields)) == ["crane", "kind", "number", "pier", "sealed", "tons"]
 
 
 PATTERNS = [
@@ -280,3 +282,33 @@ def test_null_text_does_not_break_hashing(records, answers):
     rows = records(['{"text":null}', '{"text":5}', "{}"])
     assert len(set(answers(rows, record_hash(F.col("fields"))))) == 3
     assert answers(rows, record_hash(parse_record(F.col("raw")))) == answers(rows, record_hash(F.col("fields")))
+
+
+PARTS = [
+    "a", "b", "ab", "é", ".", r"\.", r"\d", r"\w", r"\s", "[ab]", "[^a]", "[[a]", "[a&&b]", "[]a]", "[^]a]", "[a-c]",
+    r"[\]&[]", "{", "}", "{x}", "a{2}", "a{,2}", "b{1,}", "a*", "b+?", "(ab|b)", "(?:a|é)", "|", "^", "$", r"\b", "&", " ",
+]
+SEARCHED = ["", "a", "b", "ab", "aab", "abab", "é", "a b", "[", "]", "a[b]", "&", "a&b", "a{2}", "{x}", "}", "1.5", "a\nb", "ccc"]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), min_size=1, max_size=4).map("".join), min_size=20, max_size=40, unique=True))
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_patterns_find_what_python_finds(spark, patterns):
+    carried = {}
+    for p in patterns:
+        try:
+            carried[p] = matches(F.col("t"), p)
+        except (ValueError, re.error):
+            continue
+    rows = spark.createDataFrame([(t,) for t in SEARCHED], "t string")
+    columns = [c.alias(f"c{i}") for i, c in enumerate(carried.values())]
+    for row in rows.select("t", *columns).collect():
+        for i, p in enumerate(carried):
+            assert row[f"c{i}"] == bool(re.search(p, row.t)), (p, row.t)
+
+
+@pytest.mark.parametrize("pattern", [r"(?P<x>a)", r"a\Z", "(?a)b", "(?x) a", "(?#c)a"])
+def test_patterns_that_cannot_be_carried_over_are_refused_at_once(spark, pattern):
+    with pytest.raises(ValueError, match="only Python"):
+        matches(F.col("t"), pattern)
