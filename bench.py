@@ -43,8 +43,9 @@ HEADLINE = [
     "gate_accepted",
     "gate_quarantine",
     "quality_report_orders",
-    "conformance_valid",
-    "conformance_negative",
+    "v18_mutated_events",
+    "g6_report_many_errors",
+    "q8_json_quality_filter",
     "s2_jsonl_scan",
     "curate_corpus_files",
     "g4_stream_gate",

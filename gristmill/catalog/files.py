@@ -214,6 +214,29 @@ def d3_scan_dedup(spark, sf_dir):
     )
 
 
+KEPT_TEXTS = f"""SELECT DISTINCT md5('{{}}[]' || chr(10) || {NORMAL_TEXT}) AS doc_id,
+                        md5({NORMAL_TEXT}) AS text_hash
+                 FROM documents WHERE NOT contains(lower(text), 'public')"""
+
+
+def curated(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Curation from end to end over files in four formats: where to, and the summary."""
+    path, patterns = write_corpus(spark, sf_dir, ["id", "text"])
+    out = scratch_path(spark, "clean")
+    return out, curate_corpus(spark, path, out, exclude="public,pii", patterns=patterns)
+
+
+@query(f"SELECT split, text_hash FROM ({split_sql(KEPT_TEXTS)})")
+def curate_corpus_files(spark, sf_dir):
+    """What the job wrote, read back from the files of each split."""
+    out, _ = curated(spark, sf_dir)
+    written = read_jsonl(spark, f"{out}/data", pattern="*.txt", recursive=True)
+    return written.select(
+        F.regexp_extract("path", "split=([a-z]+)", 1).alias("split"),
+        F.md5(normalize_text(text("text"))).alias("text_hash"),
+    )
+
+
 @query(
     f"""SELECT n AS total_samples, floor(n * 0.8::DOUBLE)::BIGINT AS train_samples,
                floor(n * 0.1::DOUBLE)::BIGINT AS val_samples,
@@ -221,10 +244,6 @@ def d3_scan_dedup(spark, sf_dir):
         FROM (SELECT count(DISTINCT {NORMAL_TEXT}) AS n FROM documents
               WHERE NOT contains(lower(text), 'public'))"""
 )
-def curate_corpus_files(spark, sf_dir):
-    """Curation from end to end over files in four formats."""
-    path, patterns = write_corpus(spark, sf_dir, ["id", "text"])
-    summary = curate_corpus(
-        spark, path, scratch_path(spark, "clean"), exclude="public,pii", patterns=patterns
-    )
+def curate_corpus_summary(spark, sf_dir):
+    _, summary = curated(spark, sf_dir)
     return summary.select("total_samples", "train_samples", "val_samples", "test_samples")

@@ -97,12 +97,18 @@ def filter_tags(
     record: Record,
     include: str | Sequence[str] | None = None,
     exclude: str | Sequence[str] | None = None,
+    *,
+    or_else: Column | None = None,
 ) -> DataFrame:
-    """Keep rows with an included and without an excluded tag; an empty list restricts nothing."""
+    """Keep rows with an included and without an excluded tag; an empty list restricts nothing.
+
+    Rows for which ``or_else`` holds are kept whatever their tags.
+    """
+    also = F.lit(False) if or_else is None else or_else
     if wanted := tag_list(include):
-        df = df.where(has_any_tag(record, wanted))
+        df = df.where(also | has_any_tag(record, wanted))
     if unwanted := tag_list(exclude):
-        df = df.where(~has_any_tag(record, unwanted))
+        df = df.where(also | ~has_any_tag(record, unwanted))
     return df
 
 
@@ -164,6 +170,18 @@ def drop_copies(df: DataFrame, copies_of: Column, key: str) -> DataFrame:
     return df.join(first_keys(df, copies_of, key), key, "left_semi")
 
 
+def drop_copies_in_table(df: DataFrame, copies_of: Column, order: Sequence[str]) -> DataFrame:
+    """As ``drop_copies`` for rows identified by several columns, in their order.
+
+    The first row of a group is found on hash and position alone; whole rows move once.
+    """
+    place = F.struct(*order).alias("_first")
+    first = df.select(copies_of.alias("_copies_of"), place).groupBy("_copies_of").agg(
+        F.min("_first").alias("_first")
+    )
+    return df.join(first.select("_first.*"), list(order), "left_semi")
+
+
 def drop_copies_in_scan(df: DataFrame, copies_of: Column, order: Sequence[str]) -> DataFrame:
     """As ``drop_copies`` for file scans, whose position is only stable within one pass.
 

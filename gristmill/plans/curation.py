@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.record import TypedRecord, VariantRecord
 from gristmill.operators.curation import (
-    drop_copies_in_scan,
+    drop_copies_in_table,
     filter_tags,
     first_keys,
     record_hash,
     row_hash,
 )
 from gristmill.operators.split import find_cut, split_rows
-from gristmill.session import configure, scratch_path
+from gristmill.session import configure, free_scratch, scratch_path
 from gristmill.sources.files import CORPUS_PATTERNS, SCAN_ORDER, find_files, locate, scan_corpus
 from gristmill.sources.sinks import curation_summary, write_jsonl, write_summary
 
@@ -65,26 +65,31 @@ def curate_corpus(
 ) -> DataFrame:
     """Curate a folder of JSON, JSONL and YAML files into JSONL per split, and a summary.
 
-    The unique records are written to the shared folder once: finding the cuts, writing and
-    counting read them there, and neither these nor a retry after lost executors scan or parse
-    the corpus again. Finding the cuts and counting read only the hashes.
+    The corpus is scanned and parsed once, in either mode: readable and unreadable records go to
+    a table in the shared folder, with their position and hash. First copies and cuts are found
+    there on hashes and positions alone, and whole records move once, to be written. Neither this
+    nor a retry after lost executors reads the corpus again. The table is deleted at the end.
     """
     configure(spark)
     scan = scan_corpus(spark, raw_dir, patterns=patterns, recursive=recursive, on_bad=on_bad)
+    readable = F.col("fields").isNotNull()
+    kept = filter_tags(scan, VariantRecord(F.col("fields")), include, exclude, or_else=~readable)
+    stage = scratch_path(spark, "curated")
+    kept.select(
+        "raw", record_hash(F.col("fields")).alias("hash"), *SCAN_ORDER, readable.cast("int").alias("readable")
+    ).write.partitionBy("readable").parquet(stage)
+    staged = spark.read.parquet(stage)
     if on_bad == "quarantine":
-        bad = scan.where(F.col("fields").isNull()).select(F.col("raw").alias("value"))
+        bad = staged.where("readable = 0").select(F.col("raw").alias("value"))
         bad.write.mode("overwrite").text(f"{out_dir}/quarantine")
-        scan = scan.where(F.col("fields").isNotNull())
-    kept = filter_tags(scan, VariantRecord(F.col("fields")), include, exclude)
-    hashed = kept.select("raw", record_hash(F.col("fields")).alias("hash"), *SCAN_ORDER)
-    stage = scratch_path(spark, "curated")
-    drop_copies_in_scan(hashed, F.col("hash"), SCAN_ORDER).select("raw", "hash").write.parquet(stage)
 
-    unique = spark.read.parquet(stage)
-    cut = find_cut(unique, "hash", train_ratio=train_ratio, val_ratio=val_ratio, seed=seed)
-    rows = split_rows(unique, "hash", seed=seed, cut=cut)
-    write_jsonl(rows, f"{out_dir}/data", mode="overwrite")
+    records = staged.where("readable = 1").drop("readable")
+    hashes = records.select("hash").distinct()
+    cut = find_cut(hashes, "hash", train_ratio=train_ratio, val_ratio=val_ratio, seed=seed)
+    unique = drop_copies_in_table(records, F.col("hash"), SCAN_ORDER)
+    write_jsonl(split_rows(unique, "hash", seed=seed, cut=cut), f"{out_dir}/data", mode="overwrite")
 
+    rows = split_rows(hashes, "hash", seed=seed, cut=cut)
     summary = curation_summary(
         rows.select("split"), _tag_names(include), _tag_names(exclude)
     )
@@ -93,6 +98,7 @@ def curate_corpus(
         for pattern in (patterns or CORPUS_PATTERNS).values()
     ]
     write_summary(summary, reduce(DataFrame.unionByName, listings), out_dir)
+    free_scratch(spark, stage)
     return spark.read.schema(summary.schema).json(f"{out_dir}/metadata")
 
 

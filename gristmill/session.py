@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,19 +24,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder on this machine: executors on
-    other hosts could not read it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else the session's warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return base.rstrip("/")
+
+
+def free_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``scratch_path`` named, once nothing reads it any more."""
+    if not path.startswith(f"{shared_dir(spark)}/gristmill/"):
+        raise ValueError(f"not a scratch table: {path}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -12,7 +12,6 @@ import json
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +31,6 @@ CORPUS_PATTERNS = {
 TEXT_EXTENSIONS = (
     ".txt", ".md", ".py", ".js", ".ts", ".json", ".yaml", ".yml", ".xml", ".html", ".css",
 )
-BINARY_PROBE_BYTES = 1024
 
 
 def _options(pattern: str | None, recursive: bool) -> dict[str, str]:
@@ -122,7 +120,13 @@ def read_yaml_list(
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                items = yaml.load(content, Loader=loader)
+                try:
+                    items = yaml.load(content, Loader=loader)
+                except (yaml.YAMLError, UnicodeDecodeError):
+                    # One unreadable record: its text is no JSON object.
+                    text = "!unreadable " + bytes(content).decode(errors="replace")
+                    yield pd.DataFrame({"path": name, "pos": [0], "raw": [text]})
+                    continue
                 items = items if isinstance(items, list) else [items]
                 texts = [json.dumps(item, ensure_ascii=False, default=str) for item in items]
                 yield pd.DataFrame({"path": name, "pos": range(len(texts)), "raw": texts})
@@ -153,8 +157,8 @@ def scan_corpus(
 ) -> DataFrame:
     """All records of a folder: JSON files first, then JSONL, YAML and YML.
 
-    ``patterns`` may name other file names per format, also below a subfolder. A missing folder
-    and a folder without data files are errors.
+    ``patterns`` may name other file names per format, also below a subfolder. A missing folder,
+    a folder without data files and files that Spark would skip for their names are errors.
     """
     patterns = patterns or CORPUS_PATTERNS
     scans = []
@@ -179,30 +183,51 @@ def locate(raw_dir: str, pattern: str) -> tuple[str, str]:
     return (f"{raw_dir}/{below}" if below else raw_dir), name
 
 
+def list_files(
+    spark: SparkSession, path: str, pattern: str | None = None, *, recursive: bool = False
+) -> list[tuple[str, int]] | None:
+    """(path, size) of all files below a folder, hidden and empty ones too; None without a folder.
+
+    Listed by the file system on the driver, as Spark lists the files it reads.
+    """
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    wanted = jvm.org.apache.hadoop.fs.GlobFilter(pattern) if pattern else None
+    found, waiting = [], [folder]
+    while waiting:
+        for status in system.listStatus(waiting.pop()):
+            if status.isDirectory():
+                if recursive:
+                    waiting.append(status.getPath())
+            elif wanted is None or wanted.accept(status.getPath()):
+                found.append((status.getPath().toString(), status.getLen()))
+    return sorted(found)
+
+
+def is_hidden(name: str) -> bool:
+    """Whether Spark's readers skip a file of this name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
 def _any_file(spark: SparkSession, path: str, pattern: str, recursive: bool) -> bool:
-    try:
-        files = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
-        return not files.select("path").isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"raw data folder not found: {path}") from error
-        raise
+    files = list_files(spark, path, pattern, recursive=recursive)
+    if files is None:
+        raise FileNotFoundError(f"raw data folder not found: {path}")
+    skipped = [name for name, size in files if size and is_hidden(name.rpartition("/")[2])]
+    if skipped:
+        raise ValueError(f"files whose names Spark's readers skip: {', '.join(skipped)}")
+    return any(size for _, size in files)
 
 
 def find_files(
     spark: SparkSession, path: str, pattern: str = "*", *, recursive: bool = False
 ) -> DataFrame:
-    """Paths below a folder that match a pattern; no rows for a missing folder.
-
-    Spark's file listing leaves out empty files, here and in the inventory.
-    """
-    try:
-        files = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "path string, size long")
-    return files.select("path", F.col("length").alias("size"))
+    """Files below a folder that match a pattern, hidden and empty ones too; none without a folder."""
+    files = list_files(spark, path, pattern, recursive=recursive)
+    return spark.createDataFrame(files or [], "path string, size long")
 
 
 def read_lines(
@@ -230,13 +255,29 @@ def file_inventory(
     pattern: str | None = None,
     recursive: bool = True,
     algorithm: str = "md5",
+    binary_probe: int | None = None,
 ) -> DataFrame:
-    """One row per file: size, hash, line count, extension, binary and text tests."""
-    files = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
+    """One row per file: size, hash, line count, extension, binary and text tests.
+
+    A file is binary if it holds a NUL anywhere, or in its first ``binary_probe`` bytes if that is
+    set. Empty files are listed; files that Spark hides (names starting with ``_`` or ``.``) are
+    listed with their size, without what only their content tells.
+    """
+    read = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
+    empty = F.when(F.col("size") == 0, F.lit(b""))
+    # Spark's listing leaves these out.
+    left_out = [
+        f for f in list_files(spark, path, pattern, recursive=recursive) or []
+        if not f[1] or is_hidden(f[0].rpartition("/")[2])
+    ]
+    unread = spark.createDataFrame(left_out, "path string, size long").select(
+        "path", F.col("size").alias("length"), empty.alias("content")
+    )
+    files = read.select("path", "length", "content").unionByName(unread)
     root = path.split("://", 1)[-1].rstrip("/") + "/"
     name = F.substring_index(F.col("path"), "/", -1)
     chars = F.decode(F.col("content"), "ISO-8859-1")
-    start = F.decode(F.substring(F.col("content"), 1, BINARY_PROBE_BYTES), "ISO-8859-1")
+    start = chars if binary_probe is None else F.substring(chars, 1, binary_probe)
     line_ends = F.regexp_count(chars, F.lit("\r\n|\r|\n"))
     open_line = (F.length(chars) > 0) & ~F.rlike(chars, F.lit("[\r\n]\\z"))
     listed = files.select(

@@ -31,7 +31,9 @@ def drop_copies_in_stream(
 ) -> DataFrame:
     """Keep the first arriving row of every group of copies within the watermark delay.
 
-    State holds one hash per group and is freed as the watermark passes.
+    State holds one hash per group and is freed as the watermark passes. Rows that arrive behind
+    the watermark are left out, first ones too, as their group may have been forgotten;
+    ``late_rows`` tells how many, and a delay as long as sources may lag keeps them.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
@@ -42,6 +44,15 @@ def drop_copies_in_stream(
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's recent batches left out for arriving behind the watermark."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
 def write_gate(
     stream: DataFrame,
     gate: Callable[[DataFrame], DataFrame],

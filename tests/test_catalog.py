@@ -4,9 +4,10 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as contract
+from gristmill.catalog import load
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = load().QUERIES
+SQL = load().ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,8 @@ def duck(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -124,8 +124,6 @@ def test_inventory(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(content)
-    # Spark's listing leaves out empty files
-    del files["d.md"]
     for algorithm in ("md5", "sha1", "sha256", "sha512"):
         rows = file_inventory(spark, str(tmp_path), algorithm=algorithm).collect()
         assert {r.relative_path for r in rows} == set(files)
@@ -135,16 +133,30 @@ def test_inventory(spark, tmp_path):
                 assert r.line_count == sum(1 for _ in text)
             assert r.size == len(content)
             assert r.hash == hashlib.new(algorithm, content).hexdigest()
-            assert r.is_binary == (b"\x00" in content[:1024])
+            assert r.is_binary == (b"\x00" in content)
     by_name = {r.relative_path: r for r in rows}
     assert by_name["a.TXT"].extension == ".txt" and by_name["a.TXT"].is_text
     assert by_name["noext"].extension == "" and not by_name["noext"].is_text
     assert by_name["sub/f.tar.gz"].extension == ".gz"
-    assert not by_name["e.json"].is_text and by_name["late.txt"].is_text
+    assert not by_name["e.json"].is_text and not by_name["late.txt"].is_text and by_name["d.md"].is_text
+    probed = file_inventory(spark, str(tmp_path), binary_probe=1024).where("relative_path = 'late.txt'")
+    assert probed.first().is_text
     with pytest.raises(ValueError):
         file_inventory(spark, str(tmp_path), algorithm="crc")
 
 
+def test_hidden_and_empty_files(spark, tmp_path):
+    """They are listed; a scan that would skip one with content fails and names it."""
+    for name, text in {"a.jsonl": '{"id":1}', "_b.jsonl": '{"id":2}', ".c.jsonl": '{"id":3}', "e.jsonl": ""}.items():
+        (tmp_path / name).write_text(text)
+    listed = {r.path.rsplit("/", 1)[1]: r.size for r in find_files(spark, str(tmp_path), "*.jsonl").collect()}
+    assert listed == {"a.jsonl": 8, "_b.jsonl": 8, ".c.jsonl": 8, "e.jsonl": 0}
+    rows = {r.relative_path: r for r in file_inventory(spark, str(tmp_path), pattern="*.jsonl").collect()}
+    assert set(rows) == set(listed) and rows["_b.jsonl"].hash is None and rows["e.jsonl"].line_count == 0
+    with pytest.raises(ValueError, match="_b.jsonl"):
+        scan_corpus(spark, str(tmp_path))
+
+
 def test_line_sinks(spark, tmp_path):
     path = str(tmp_path / "lines")
     rows = spark.createDataFrame([(" a ",), ("",), ("b ",)], "value string")
