@@ -21,6 +21,7 @@ from gristmill.llm.common import (
     Remembered,
     alphanumeric_words,
     map_rows,
+    staged,
     starts_of,
     text_bytes,
 )
@@ -71,6 +72,13 @@ def distinct_terms(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.n
     return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 
 
+def known_terms(names: np.ndarray) -> np.ndarray:
+    """Whether a term is one of some, by term."""
+    known = np.zeros(1 << HASH_BITS, dtype=bool)
+    known[names] = True
+    return known
+
+
 @dataclass
 class Machine:
     """Terms in ascending order, with their weights and factors."""
@@ -89,10 +97,8 @@ class Machine:
         return self.bias + linear + ((sums**2).sum(axis=1) - squares) / 2, sums
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        known = np.zeros(1 << HASH_BITS, dtype=bool)
-        known[self.terms] = True
         text, term = term_places(texts)
-        used = known[term]
+        used = known_terms(self.terms)[term]
         text, term = distinct_terms(text[used], term[used])
         return logistic(self.raw(text, np.searchsorted(self.terms, term), len(texts))[0])
 
@@ -101,36 +107,21 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def chosen_terms(row: np.ndarray, term: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Terms whose presence depends on the label (chi-squared), the strongest first, then sorted."""
-    names, at = np.unique(term, return_inverse=True)
-    n, positive = len(label), label.sum()
-    seen = np.bincount(at, minlength=len(names)).astype(float)
-    both = np.bincount(at, label[row], minlength=len(names))
-    spread = seen * (n - seen) * positive * (n - positive)
-    chi2 = n * (both * n - seen * positive) ** 2 / np.maximum(spread, 1)
-    chi2[(seen < LEAST_ROWS) | (spread == 0)] = 0
-    best = np.argsort(-chi2, kind="stable")[:TERMS]
-    return np.sort(names[best[chi2[best] >= LEAST_CHI2]])
+def fitted(names: np.ndarray, cells: list[np.ndarray], labels: list[int]) -> Machine:
+    """Fit by AdaGrad on small batches; ``cells`` are each row's terms as places in ``names``.
 
-
-def fitted(cells: list[np.ndarray], labels: list[int]) -> Machine:
-    """Fit by AdaGrad on small batches. Without labels of both kinds the score is the label's share."""
+    Without labels of both kinds, or terms that tell them apart, the score is the label's share.
+    """
     label = np.array(labels, dtype=float)
     share = label.mean() if len(label) else 0.0
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-    term = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-    names = chosen_terms(row, term, label) if len(term) else np.zeros(0, np.int64)
     rng = np.random.default_rng(SEED)
     factors = rng.normal(0, 0.05, (len(names), FACTORS))
     machine = Machine(names, bias, np.zeros(len(names)), factors)
     if not len(names):
         return machine
-    at = np.searchsorted(names, term)
-    known = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == term)
-    row, at = row[known], at[known]
-    starts = np.searchsorted(row, np.arange(len(label) + 1))
+    at = np.concatenate(cells)
+    starts = starts_of(np.array([len(c) for c in cells]))
     past_w, past_v, past_b = np.full(len(names), 1e-6), np.full(factors.shape, 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(label))
@@ -157,29 +148,58 @@ def fitted(cells: list[np.ndarray], labels: list[int]) -> Machine:
     return machine
 
 
+def chosen_terms(sample: DataFrame) -> np.ndarray:
+    """Terms of a sample whose presence depends on the label, the strongest by chi-squared; sorted.
+
+    Tasks count terms block by block; what reaches the driver is the chosen terms alone.
+    """
+
+    def count(held):
+        text, term = distinct_terms(*term_places([data for _, _, data in held]))
+        names, at = np.unique(term, return_inverse=True)
+        labels = np.array([label for _, label, _ in held], dtype=float)[text]
+        return zip(names.tolist(), np.bincount(at).tolist(), np.bincount(at, labels).tolist(), strict=True)
+
+    n, positive = sample.agg(F.count("*"), F.sum("label")).first()
+    if not positive or positive == n:
+        return np.zeros(0, np.int64)
+    counted = map_rows(sample, "term long, seen double, both double", count, 1 << 22)
+    seen, both = F.sum("seen").alias("seen"), F.sum("both").alias("both")
+    counted = counted.groupBy("term").agg(seen, both).where(F.col("seen") >= LEAST_ROWS)
+    apart = F.pow(F.col("both") * n - F.col("seen") * positive, 2) * n
+    spread = F.col("seen") * (F.lit(n) - F.col("seen")) * (positive * (n - positive))
+    chi2 = F.when(spread > 0, apart / spread)
+    best = counted.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    best = best.orderBy(F.desc("chi2"), "term").limit(TERMS)
+    return np.array(sorted(r["term"] for r in best.select("term").collect()), dtype=np.int64)
+
+
 def learnt(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
     """Fit on at most ``train_rows`` labelled rows, those with the smallest hashed identifiers.
 
-    Held-out rows, rows without a label and labels without a document teach nothing.
+    Held-out rows, rows without a label and labels without a document teach nothing. The driver
+    gets the chosen terms of each row of the sample, never its text.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select(
         F.col("doc_id").alias("label_id"), (F.col("toxic") > 0).cast("int").alias("label")
     )
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(train_rows)
-    rows = docs.select("doc_id", text_bytes().alias("data")).join(
-        F.broadcast(sample), F.col("doc_id") == F.col("label_id")
-    )
-
-    def work(held):
-        text, term = distinct_terms(*term_places([data for _, _, data in held]))
+    wanted = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(train_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
+    rows = texts.join(F.broadcast(wanted), F.col("doc_id") == F.col("label_id"))
+    sample = staged(rows.select("doc_id", "label", "data"), "sample")
+    names = chosen_terms(sample)
+
+    def use(held):
+        text, term = term_places([data for _, _, data in held])
+        used = known_terms(names)[term]
+        text, term = distinct_terms(text[used], term[used])
+        at = np.searchsorted(names, term).astype("<i4")
         ends = np.searchsorted(text, np.arange(len(held) + 1))
         for (doc, label, _), i, j in zip(held, ends[:-1], ends[1:], strict=True):
-            yield doc, label, term[i:j].astype("<i4").tobytes()
+            yield doc, label, at[i:j].tobytes()
 
-    found = map_rows(rows.select("doc_id", "label", "data"), "doc_id long, label int, terms binary", work)
-    taught = sorted(tuple(r) for r in found.collect())
-    cells = [np.frombuffer(t, "<i4").astype(np.int64) for _, _, t in taught]
-    return fitted(cells, [label for _, label, _ in taught])
+    taught = sorted(tuple(r) for r in map_rows(sample, "doc_id long, label int, terms binary", use).collect())
+    return fitted(names, [np.frombuffer(t, "<i4") for _, _, t in taught], [label for _, label, _ in taught])
 
 
 def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,18 +22,17 @@ def test_held_out_labels_teach_nothing(spark, nasty):
     assert not len(machine.terms)
 
 
-def test_pairs_are_learnt():
+def test_pairs_are_learnt(spark):
     """Neither word alone is toxic, both together are."""
     rng = np.random.default_rng(0)
-    texts, labels = [], []
-    for _ in range(3_000):
+    rows, labels = [], []
+    for i in range(4_000):
         words = [f"w{i}" for i in rng.integers(0, 200, 10)]
         a, b = rng.random(2) < 0.5
-        texts.append(" ".join(words + ["insult"] * int(a) + ["group"] * int(b)).encode())
-        labels.append(int(a and b))
-    text, term = op.distinct_terms(*op.term_places(texts))
-    ends = np.searchsorted(text, np.arange(len(texts) + 1))
-    machine = op.fitted([term[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], labels)
+        rows.append((i, " ".join(words + ["insult"] * int(a) + ["group"] * int(b))))
+        labels.append((i, int(a and b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = op.learnt(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     score = machine.scores([b"insult w1 w2", b"group w1 w2", b"insult w1 group w2", b"w1 w2"])
     assert score[2] > 0.5 and max(score[[0, 1, 3]]) < 0.5
 
