@@ -10,7 +10,12 @@ from gristmill.catalog.validation import EVENTS, event_spec, events, fields
 from gristmill.operators.gate import gate
 from gristmill.operators.records import with_record
 from gristmill.session import scratch_path
-from gristmill.streaming.streams import drop_copies_in_stream, stream_jsonl, write_gate
+from gristmill.streaming.streams import (
+    drop_copies_in_stream,
+    read_gated,
+    stream_jsonl,
+    write_gate,
+)
 
 
 @query(f"SELECT event_id, CASE WHEN {VALID_EVENT} THEN 'accepted' ELSE 'quarantine' END AS outcome "
@@ -25,7 +30,7 @@ def g4_stream_gate(spark, sf_dir):
         return gate(with_record(batch), fields(), event_spec()).drop("fields")
 
     write_gate(stream, judge, out, f"{out}-checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(out).select("event_id", "outcome")
+    return read_gated(spark, out).select("event_id", "outcome")
 
 
 @query(f"SELECT count(*) AS rows, count(*) FILTER ({VALID_EVENT}) AS accepted FROM {EVENTS}")
@@ -39,7 +44,7 @@ def g4_stream_jsonl(spark, sf_dir):
     stream = stream_jsonl(spark, path, pattern="*.txt")
     write_gate(stream, judge, out, f"{out}-checkpoint", available_now=True).awaitTermination()
     accepted = F.count_if(F.col("outcome") == "accepted")
-    return spark.read.parquet(out).agg(F.count("*").alias("rows"), accepted.alias("accepted"))
+    return read_gated(spark, out).agg(F.count("*").alias("rows"), accepted.alias("accepted"))
 
 
 @query("SELECT user_id, event_type, props, 1 AS n FROM events GROUP BY user_id, event_type, props")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gristmill import Spec
 from gristmill.catalog.registry import query, table
 from gristmill.functions import checks
-from gristmill.functions.record import TypedRecord, VariantRecord
+from gristmill.functions.record import TypedRecord, VariantRecord, look_up
 from gristmill.operators.records import with_record
 from gristmill.operators.schema import as_table, fill_defaults, read_as, route
 from gristmill.operators.validation import (
@@ -414,8 +414,9 @@ def constraint_failures(spark, sf_dir):
 )
 def validate_event_props(spark, sf_dir):
     """V12: exactly one entity; whole floats are integers here, two matches are an error."""
-    record, spec = fields(), event_spec()
-    judged = events(spark, sf_dir).withColumn("valid", checks.schema_valid(record, spec))
+    spec = event_spec()
+    df, record = look_up(events(spark, sf_dir), fields(), spec.field_names)
+    judged = df.withColumn("valid", checks.schema_valid(record, spec))
     errors = checks.schema_errors(record, spec, valid=F.col("valid"))
     last = F.try_element_at(F.col("errors"), F.lit(-1))["rule"]
     return judged.select("event_id", "valid", errors.alias("errors")).select(

@@ -7,7 +7,7 @@ On typed columns most of them are literals that the optimizer folds away.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -160,6 +160,49 @@ class VariantRecord:
         return F.transform(texts, lambda v: F.try_variant_get(v["value"], "$", "string"))
 
 
+class _FlatValue(_VariantValue):
+    """A value whose type, text and number were taken out of the map once per row."""
+
+    def __init__(self, entry: Column):
+        self.present = entry["present"]
+        self.type_name = entry["type"]
+        self.raw = entry["value"]
+        self.text = entry["text"]
+        self.number = entry["number"]
+
+
+class FlatRecord(VariantRecord):
+    """A record with open keys, some of which were looked up beforehand by ``look_up``."""
+
+    def __init__(self, fields: Column, looked_up: Mapping[str, Column]):
+        super().__init__(fields)
+        self._values = {name: _FlatValue(entry) for name, entry in looked_up.items()}
+
+
+LOOKED_UP = "_looked_up"
+
+
+def look_up(df: DataFrame, record: VariantRecord, names: Iterable[str]) -> tuple[DataFrame, FlatRecord]:
+    """Look the given keys up once per row; drop the column ``LOOKED_UP`` when done.
+
+    Checks mention a key many times, and a look-up in the map is interpreted each time, while the
+    members of a struct are read by compiled code. The struct comes out of a one-row generator, as
+    the optimizer would otherwise put the look-ups back into every mention.
+    """
+    entries = {}
+    for i, name in enumerate(dict.fromkeys(names)):
+        value = _VariantValue(record.fields, name)
+        entries[name] = F.struct(
+            value.present.alias("present"), value.type_name.alias("type"), value.raw.alias("value"),
+            value.text.alias("text"), value.number.alias("number"),
+        ).alias(f"k{i}")
+    if not entries:
+        return df, FlatRecord(record.fields, {})
+    row = F.struct(F.struct(*entries.values()).alias(LOOKED_UP))
+    found = {name: F.col(LOOKED_UP)[f"k{i}"] for i, name in enumerate(entries)}
+    return df.select("*", F.inline(F.array(row))), FlatRecord(record.fields, found)
+
+
 def _kind(dtype: T.DataType | None) -> str:
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         return "text"

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from gristmill.functions.checks import Record, no_errors, schema_errors, schema_valid
 from gristmill.functions.json_text import as_record
 from gristmill.functions.prompt import format_fields, parse_output
-from gristmill.functions.record import VariantRecord, is_true
+from gristmill.functions.record import LOOKED_UP, VariantRecord, is_true, look_up
 from gristmill.operators.records import with_record
 from gristmill.spec import Spec
 
@@ -36,10 +36,12 @@ def gate(
         return df.withColumns(
             {"is_valid": F.lit(True), "errors": no_errors(), "accepted": F.lit(True)}
         )
+    if isinstance(record, VariantRecord):
+        df, record = look_up(df, record, spec.field_names)
     judged = df.withColumn("is_valid", is_true(schema_valid(record, spec)))
     errors = schema_errors(record, spec, valid=F.col("is_valid"))
     accepted = F.col("is_valid") if config.fail_closed else F.lit(True)
-    return judged.withColumns({"errors": errors, "accepted": accepted})
+    return judged.withColumns({"errors": errors, "accepted": accepted}).drop(LOOKED_UP)
 
 
 def shorten_errors(gated: DataFrame, limit: int) -> DataFrame:

@@ -191,6 +191,11 @@ class Spec:
     def entity_names(self) -> list[str]:
         return [e.name for e in self.entities]
 
+    @property
+    def field_names(self) -> list[str]:
+        """All declared keys, each once."""
+        return list(dict.fromkeys(f.name for e in self.entities for f in e.fields))
+
     @classmethod
     def from_dict(cls, body: Mapping[str, Any]) -> Spec:
         """Build a spec, rejecting a malformed one before any job is planned."""

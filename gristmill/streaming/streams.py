@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gristmill.functions.text import strip
 from gristmill.operators.records import with_record
+from gristmill.sources.files import list_files
 
 # Keys of a long watermark outgrow executor memory; this store keeps them on disk.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,6 +54,17 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
+def read_gated(spark: SparkSession, path: str) -> DataFrame | None:
+    """The batches that ``write_gate`` has finished; None before the first.
+
+    Spark marks a batch's folder once all its files are in place. A batch that is being written,
+    or was left half written, has no mark and is not read.
+    """
+    marks = list_files(spark, path, "_SUCCESS", recursive=True) or []
+    folders = [name.rpartition("/")[0] for name, _ in marks]
+    return spark.read.option("basePath", path).parquet(*folders) if folders else None
+
+
 def write_gate(
     stream: DataFrame,
     gate: Callable[[DataFrame], DataFrame],
@@ -66,7 +78,8 @@ def write_gate(
 
     The table is partitioned by ``batch_id`` and ``outcome`` (``accepted`` or ``quarantine``).
     A batch owns its folder and overwrites it when it is run again after a failure, so every
-    row arrives exactly once, and the gate is evaluated in a single pass.
+    row arrives exactly once, and the gate is evaluated in a single pass. ``read_gated`` reads the
+    batches that are complete.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -4,7 +4,13 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.record import VariantRecord
 from gristmill.operators.gate import gate
-from gristmill.streaming.streams import drop_copies_in_stream, stream_jsonl, write_gate
+from gristmill.streaming.streams import (
+    drop_copies_in_stream,
+    late_rows,
+    read_gated,
+    stream_jsonl,
+    write_gate,
+)
 
 GOOD = {"number": 7, "pier": "north", "crane": True}
 
@@ -75,3 +81,33 @@ def test_stream_dedup(spark, tmp_path):
     df.write.mode("append").parquet(source)
     assert run() == ["a", "b"]
     assert spark.read.parquet(out).columns == ["ts", "text"]
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts timestamp, k string"
+    # One batch per file; the last one brings a new key two days late.
+    for ts, k in [("2024-01-03 10:00", "a"), ("2024-01-03 12:00", "b"), ("2024-01-01 12:00", "new"), ("2024-01-03 13:00", "b")]:
+        spark.sql(f"SELECT timestamp '{ts}' AS ts, '{k}' AS k").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        unique = drop_copies_in_stream(stream, F.md5("k"), "ts", "1 hour")
+        writer = unique.writeStream.format("parquet").option("path", out)
+        query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        late = late_rows(query)
+        assert late == (1 if k == "new" else 0)
+    assert sorted(r.k for r in spark.read.parquet(out).collect()) in (["a", "b"], ["a", "b", "b"])
+
+
+def test_a_batch_being_written_is_not_read(spark, spec, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    write(inbox, "a.jsonl", [GOOD, "bad"])
+    stream = stream_jsonl(spark, str(inbox))
+    write_gate(stream, judge(spec), out, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    half = spark.read.parquet(out).where("outcome = 'accepted'").drop("batch_id")
+    half.write.partitionBy("outcome").parquet(f"{out}/batch_id=7")
+    assert read_gated(spark, out).count() == 3
+    (tmp_path / "out" / "batch_id=7" / "_SUCCESS").unlink()
+    assert read_gated(spark, out).count() == 2
+    assert read_gated(spark, str(tmp_path / "none")) is None
