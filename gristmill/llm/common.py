@@ -19,7 +19,10 @@ from pyspark.sql.types import StructType
 from gristmill.session import scratch_path
 
 # Words remembered per Python worker; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+
+# Rows of an Arrow batch that become Python objects at a time.
+SLICE = 256
 
 # Odd constants of a 64-bit mixing step.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -140,7 +143,7 @@ def text_bytes(text: str = "text") -> F.Column:
 
 
 def map_rows(
-    df: DataFrame, schema: str, work: Callable[[list], Iterable[tuple]], batch_bytes: int = 1 << 24
+    df: DataFrame, schema: str, work: Callable[[list], Iterable[tuple]], batch_bytes: int = 1 << 22
 ) -> DataFrame:
     """Apply ``work`` to lists of rows (tuples), in blocks that hold a bounded amount of text.
 
@@ -158,17 +161,19 @@ def map_rows(
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            held, size = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                size += 64 + sum(len(row[i]) for i in wide if row[i] is not None)
-                if size >= batch_bytes:
-                    if out := list(work(held)):
-                        yield as_batch(out)
-                    held, size = [], 0
-            if held and (out := list(work(held))):
-                yield as_batch(out)
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    held.append(row)
+                    size += 64 + sum(len(row[i]) for i in wide if row[i] is not None)
+                    if size >= batch_bytes:
+                        if out := list(work(held)):
+                            yield as_batch(out)
+                        held, size = [], 0
+        if held and (out := list(work(held))):
+            yield as_batch(out)
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, struct)
