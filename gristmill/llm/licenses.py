@@ -1,28 +1,36 @@
 """Licences in texts, by sentence rules.
 
-A text is cut into sentences. A sentence that mentions licensing at all is normalised and matched
-with known licence sentences, which gives it an identifier. The identifiers, in the order of the
-text, are then matched with ordered rules: full licence texts before notices, notices before bare
-mentions. A rule's sentences may be parted by a few others; each sentence serves one match.
+A text is cut into sentences, which run over single line ends up to a mark or a blank line. A
+sentence that mentions licensing at all is normalised line by line, which also takes comment
+prefixes away, and known licence sentences are looked for from each of its lines to the end of the
+same or a later line; that gives them identifiers. The identifiers, in the order of the text, are
+then matched with ordered rules: full licence texts before notices, notices before bare mentions.
+A rule's sentences may be parted by a few others; each sentence serves one match.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import map_rows
 
-# A sentence ends at a line end, or at a mark with white space or nothing behind it.
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?;](?=\s|\Z)|(?=\n)|\Z)")
+# A sentence ends before a line without words, or at a mark with white space or nothing behind it.
+SENTENCE = re.compile(
+    r"(?=\S)(?:[^\n.!?;]++|[.!?;](?!\s|\Z)|\n(?![^\w\n+]*+(?:\n|\Z)))*+[.!?;]?"
+)
 MENTIONS = re.compile(
-    r"licen[cs]|copyright|\brights reserved|permission|warrant|redistribut|spdx|public domain|\bcc[ -]by|merchantab",
+    r"licen[cs]|copyright|\brights\W+reserved|permission|warrant|redistribut|spdx|public\W+domain|\bcc\W+by|merchantab",
     re.I,
 )
 NOT_WORD = re.compile(r"[^\w.+]+|\.(?!\d)")
+WORD_PREFIX = re.compile(r"\s*(?:dnl|rem)\s", re.I)  # comment prefixes that are words
 
 # Known sentences in normalised form (lower case, words parted by one blank, British
 # spelling of the noun folded), with the identifier each stands for.
@@ -50,7 +58,9 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("lgpl-2.1-notice", _VIA + _BY + r"gnu lesser general public license (?:version |v)?2\.1"),
     ("lgpl-3.0-notice", _VIA + _BY + r"gnu lesser general public license (?:version |v)?3(?:\.0)?"),
     ("agpl-3.0-notice", _VIA + _BY + r"gnu affero general public license (?:version |v)?3(?:\.0)?"),
-    ("gpl-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*"),
+    ("gpl-free-2", r"(?:this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license.* either version 2 of the license.*"),
+    ("gpl-free-3", r"(?:this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license.* either version 3 of the license.*"),
+    ("gpl-free", r"(?:this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license.*"),
     ("gpl-version-2", r"either version 2 of the license.*"),
     ("gpl-version-3", r"either version 3 of the license.*"),
     ("gpl-hope", r"this program is distributed in the hope that it will be useful.*"),
@@ -59,7 +69,8 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("cc0-notice", _VIA + _BY + r"(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?"),
     ("unlicense-free", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:this work is |released |dedicated )*(?:in|into|to) the public domain"),
-    ("all-rights-reserved", r"(?:copyright.* )?all rights reserved"),
+    ("all-rights-reserved", r"all rights reserved"),
+    ("all-rights-reserved", r"copyright.* all rights reserved"),
 )
 # Sentences whose licence is a part of them: (identifier, pattern, how the licence is named).
 NAMED: tuple[tuple[str, str, str], ...] = (
@@ -76,6 +87,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-keep")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("GPL-2.0-or-later", ("gpl-free-2",)),
+    ("GPL-3.0-or-later", ("gpl-free-3",)),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-version-2")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-version-3")),
     ("ISC", ("isc-grant", "as-is")),
@@ -99,28 +112,100 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 GAP = 3  # sentences between two of a rule's, at most
 
-KNOWN = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
-KNOWN_NAMED = tuple((name, re.compile(pattern), form) for name, pattern, form in NAMED)
+BLANK = re.compile(r" (?![^\[]*\])")  # not inside a character class
+
+
+def wrapped(pattern: str, end: str = "") -> re.Pattern:
+    """A known sentence's pattern with a line end wherever it has a blank."""
+    return re.compile(BLANK.sub(r"[ \\n]", pattern) + end)
+
+
+LINE_END = r"(?=\n|\Z)"
+
+
+@dataclass(frozen=True)
+class Known:
+    """A known sentence: its beginning, what has to follow anywhere behind, and whether it then goes on."""
+
+    name: str
+    head: re.Pattern
+    tail: re.Pattern | None
+    goes_on: bool
+    form: str | None = None
+
+    @classmethod
+    def of(cls, name: str, pattern: str, form: str | None = None) -> Known:
+        goes_on = pattern.endswith(".*")
+        head, _, tail = pattern.removesuffix(".*").partition(".*")
+        end = "" if goes_on else LINE_END
+        return cls(name, wrapped(head, "" if tail else end), wrapped(tail, end) if tail else None, goes_on, form)
+
+    def identifier(self, m: re.Match) -> str:
+        """Sentences that name a licence carry it behind a colon."""
+        if not self.form:
+            return self.name
+        return f"{self.name}:{self.form.format(*('-'.join(g.upper().split()) for g in m.groups()))}"
+
+
+KNOWN = tuple(Known.of(*sentence) for sentence in (*SENTENCES, *NAMED))
+KNOWN_WHOLE = tuple(k for k in KNOWN if not k.tail)
+KNOWN_PARTED = tuple(k for k in KNOWN if k.tail)
 FIRST_OF = {name: [r for r in RULES if r[1][0] == name] for name, _ in SENTENCES}
 
 Sentence = tuple[int, int, int, str]  # number, start, end, identifier
 
 
-def normal(sentence: str) -> str:
-    words = NOT_WORD.sub(" ", sentence.lower()).split()
+def normal(line: str) -> str:
+    words = NOT_WORD.sub(" ", WORD_PREFIX.sub(" ", line.lower(), count=1)).split()
     return " ".join("license" if w == "licence" else "licensed" if w == "licenced" else w for w in words)
 
 
-def identifier(sentence: str) -> str | None:
-    """The known sentence it is; sentences that name a licence carry it behind a colon."""
-    text = normal(sentence)
-    for name, pattern in KNOWN:
-        if pattern.fullmatch(text):
-            return name
-    for name, pattern, form in KNOWN_NAMED:
-        if m := pattern.fullmatch(text):
-            return f"{name}:{form.format(*(g.upper().replace(' ', '-') for g in m.groups()))}"
-    return None
+def known_parts(sentence: str) -> list[tuple[int, int, str]]:
+    """The known sentences in one, each from the beginning of a line to the end of one: (start, end, identifier).
+
+    A sentence without a full stop may be several lines that stand for themselves, so no known
+    sentence runs on over a line with which another begins.
+    """
+    lines, at = [], 0  # normalised, start, end
+    for line in sentence.split("\n"):
+        if words := normal(line):
+            lines.append((words, at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
+        at += len(line) + 1
+    text = "\n".join(line[0] for line in lines)
+    starts = list(accumulate((len(line[0]) + 1 for line in lines[:-1]), initial=0))
+    hits: list[tuple[int, Known, str] | None] = []  # per line, where the known sentence's own words end
+    for start in starts:
+        found = ((k, m) for k in KNOWN_WHOLE if (m := k.head.match(text, start)))
+        hit = next(found, None)
+        hits.append(hit and (hit[1].end(), hit[0], hit[0].identifier(hit[1])))
+    following = [len(starts)] * len(starts)  # the next line with which a known sentence begins
+    for i in reversed(range(len(starts) - 1)):
+        following[i] = i + 1 if hits[i + 1] else following[i + 1]
+    tails: dict[re.Pattern, re.Match | None] = {}
+    for i, start in enumerate(starts):
+        for k in KNOWN_PARTED:
+            if not (m := k.head.match(text, start)):
+                continue
+            # Lines come in order, so a tail found ahead of an earlier line still is the next one.
+            last = tails.get(k.tail, m)
+            if last and (last is m or last.start() < m.end()):
+                last = tails[k.tail] = k.tail.search(text, m.end())
+            if last and bisect_right(starts, last.end() - 1) - 1 < following[i]:
+                hits[i] = last.end(), k, k.name
+                break
+    begins = [i for i, hit in enumerate(hits) if hit]
+    parts, i = [], 0
+    for place, begin in enumerate(begins):
+        if begin < i:
+            continue
+        end, k, name = hits[begin]
+        last = bisect_right(starts, end - 1) - 1
+        if k.goes_on:
+            later = bisect_right(begins, last, lo=place)
+            last = (begins[later] if later < len(begins) else len(starts)) - 1
+        parts.append((lines[begin][1], lines[last][2], name))
+        i = last + 1
+    return parts
 
 
 def recognised(text: str) -> tuple[int, list[Sentence]]:
@@ -128,10 +213,14 @@ def recognised(text: str) -> tuple[int, list[Sentence]]:
     if not MENTIONS.search(text):
         return sum(1 for _ in SENTENCE.finditer(text)), []
     n, found = 0, []
-    for n, m in enumerate(SENTENCE.finditer(text), 1):  # noqa: B007
-        if MENTIONS.search(m.group()) and (name := identifier(m.group())):
-            start = m.start() + len(m.group()) - len(m.group().lstrip())
-            found.append((n - 1, start, m.start() + len(m.group().rstrip()), name))
+    for m in SENTENCE.finditer(text):
+        parts = known_parts(m.group()) if MENTIONS.search(m.group()) else []
+        at = 0
+        for start, end, name in parts:
+            n += bool(NOT_WORD.sub("", m.group()[at:start]))  # what stands before counts as one
+            found.append((n, m.start() + start, m.start() + end, name))
+            n, at = n + 1, end
+        n += not parts or bool(NOT_WORD.sub("", m.group()[at:]))
     return n, found
 
 
