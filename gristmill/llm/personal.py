@@ -137,14 +137,17 @@ SPELLED = dict(zip("zero one two three four five six seven eight nine".split(),
 DIGIT = "|".join(SPELLED)
 SPELLED_RUN = re.compile(rf"\b(?:{DIGIT})\b(?:[ ,-]{{1,3}}(?:{DIGIT})\b)+", re.I)
 PLUS = re.compile(r"\bplus[ -]?(?=[0-9])", re.I)
-OPEN, CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
-AT = re.compile(rf"{OPEN}(?:at|@){CLOSE}", re.I)
-DOT = re.compile(rf"{OPEN}(?:dot|\.){CLOSE}", re.I)
+# Blanks before a bracket are only read from their first one, which keeps long runs linear.
+BEFORE, OPEN, CLOSE = r"(?:(?<![ \t])[ \t]++)?", r"[(\[{<][ \t]*", r"[ \t]*[)\]}>]"
+BARE_AT, BARE_DOT = rf"{OPEN}(?:at|@){CLOSE}", rf"{OPEN}(?:dot|\.){CLOSE}"
+AT = re.compile(rf"{BEFORE}{BARE_AT}[ \t]*", re.I)
+DOT = re.compile(rf"{BEFORE}{BARE_DOT}[ \t]*", re.I)
 WORDED_IP = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
 WORDED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: at |@)[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I
 )
-DISGUISE = re.compile(rf"[(\[{{<][ \t]*(?:at|dot|[@.])[ \t]*[)\]}}>]| dot |\b(?:{DIGIT})\b[ ,-]{{1,3}}(?:{DIGIT})\b", re.I)
+# What makes any of the rewriting steps change a text first; ``unworded`` changes only what has " dot ".
+DISGUISE = re.compile("|".join([SPELLED_RUN.pattern, PLUS.pattern, BARE_AT, BARE_DOT, WORDED_IP.pattern, " dot "]), re.I)
 WORD_AT, WORD_DOT = re.compile(" at ", re.I), re.compile(" dot ", re.I)
 
 
@@ -153,10 +156,10 @@ def unworded(m: re.Match) -> str:
     return WORD_DOT.sub(".", WORD_AT.sub("@", text)) if " dot " in text.lower() else text
 
 
-def normalised(text: str) -> Tape | None:
-    """The text without its disguises; None where it has no sign of any."""
+def normalised(text: str, gate: bool = True) -> Tape | None:
+    """The text without its disguises; None where it has no sign of any, unless there is no gate."""
     foreign = not text.isascii() and FOREIGN.search(text)
-    if not foreign and not DISGUISE.search(text):
+    if gate and not foreign and not DISGUISE.search(text):
         return None
     tape = Tape(text)
     if foreign:

@@ -28,6 +28,10 @@ def test_plain_spans_are_those_of_the_patterns(text):
         ("card ４１１１ 1111 1111 １１１１.", "card", "４１１１ 1111 1111 １１１１"),
         ("four " + "one " * 14 + "one", "card", "four " + "one " * 14 + "one"),
         ("at 10 dot 0 dot 0 dot 1 x", "ip", "10 dot 0 dot 0 dot 1"),
+        ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+        ("PLUS-44 20 7946 0958", "phone", "PLUS-44 20 7946 0958"),
+        ("10\tdot\t0\tdot\t0\tdot\t1", "ip", "10\tdot\t0\tdot\t0\tdot\t1"),
+        ("10  dot  0  dot  0  dot  1", "ip", "10  dot  0  dot  0  dot  1"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, found):
@@ -48,6 +52,22 @@ def test_plain_spans_stay_beside_disguised_ones():
     assert plain == [("email", 0, 6)] and [text[i:j] for _, i, j in added] == ["c (at) d (dot) org"]
 
 
+signs = ["plus", " ", "  ", "-", "\t", "4", "44 20 7946 0958", "10", "dot", "at", "one", "two", "(", ")", "[at]", ".", "@", "a", "b.co", ",", "é"]
+
+
+@settings(max_examples=2_000, deadline=None)
+@given(st.lists(st.sampled_from(signs), max_size=25).map("".join))
+def test_the_gate_skips_only_what_stays_the_same(text):
+    gated, free = op.normalised(text), op.normalised(text, gate=False)
+    assert (free.text if gated is None else gated.text) == free.text
+    assert gated is not None or free.text == text
+
+
+def test_long_runs_of_blanks_take_linear_time():
+    for text in (" " * 200_000, "plus 4" + " " * 200_000, "( " * 100_000, "1 " + "\t" * 200_000 + "dot 1"):
+        op.personal_spans(text)
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 200_000 + "@" * 500, "1" * 200_000, "1 " * 100_000, "a." * 100_000, "+1" + "." * 100_000):
         op.personal_spans(text)
