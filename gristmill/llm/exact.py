@@ -63,20 +63,8 @@ def next_slot(level: int, fan: int, slots: int) -> Column:
     return (F.col("slot") + (digit(home) - digit(F.col("slot"))) * step).cast("long")
 
 
-def exact_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fan: int = FAN
-) -> DataFrame:
-    """Per row the copy of its text that stays and the size of its group.
-
-    Texts are equal when they are the same after removing ASCII white space; null counts as the
-    empty text. Of equal texts the row with the most code points in the original text stays, then
-    the smallest identifier; a null identifier comes last. Rows that repeat both identifier and
-    text are counted and judged alike. Other columns are ignored, whatever their names. An empty
-    table gives an empty result.
-
-    Returns ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (of the text
-    without white space).
-    """
+def judged(docs: DataFrame, doc_id: str, text: str, fan: int = FAN) -> DataFrame:
+    """``exact_copies`` with each row's number of code points, ``chars``."""
     if fan < 2:
         raise ValueError("runs merge at least in pairs")
     rounds = 1
@@ -102,20 +90,46 @@ def exact_copies(
             "kept"
         ),
         F.col("digest").alias("text_sha256"),
+        "chars",
     )
 
 
+def exact_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fan: int = FAN
+) -> DataFrame:
+    """Per row the copy of its text that stays and the size of its group.
+
+    Texts are equal when they are the same after removing ASCII white space; null counts as the
+    empty text. Of equal texts the row with the most code points in the original text stays, then
+    the smallest identifier; a null identifier comes last. Rows that repeat both identifier and
+    text are counted and judged alike. Other columns are ignored, whatever their names. An empty
+    table gives an empty result.
+
+    Returns ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (of the text
+    without white space).
+    """
+    return judged(docs, doc_id, text, fan).drop("chars")
+
+
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, once each, with all their columns."""
-    verdict = staged(exact_copies(docs, doc_id, text), "copies")
-    kept = verdict.where("kept").groupBy("doc_id", "text_sha256").count()
-    same = F.col(doc_id).eqNullSafe(F.col("kept__id")) & (
-        F.sha2(squeezed(F.col(text)), 256) == F.col("kept__digest")
+    """The rows that stay, with all their columns: one of each text.
+
+    Rows may share an identifier, or have none, and differ in their texts; each is judged by its own.
+    """
+    verdict = staged(judged(docs, doc_id, text), "copies")
+    kept = verdict.where("kept").groupBy("doc_id", "text_sha256", "chars").count()
+    rows = docs.withColumn("kept__digest", F.sha2(squeezed(F.col(text)), 256))
+    same = (
+        F.col(doc_id).eqNullSafe(F.col("kept__id"))
+        & (F.col("kept__digest") == F.col("kept__sha256"))
+        & (F.coalesce(F.length(text), F.lit(0)) == F.col("kept__chars"))
     )
-    named = kept.select(F.col("doc_id").alias("kept__id"), F.col("text_sha256").alias("kept__digest"))
-    rows = docs.join(named, same, "left_semi")
+    rows = rows.join(kept.select(
+        F.col("doc_id").alias("kept__id"), F.col("text_sha256").alias("kept__sha256"), F.col("chars").alias("kept__chars")
+    ), same, "left_semi")
     # Whole rows move a second time only where some identifier and text are repeated.
-    return rows if kept.where("count > 1").isEmpty() else rows.dropDuplicates([doc_id])
+    once = rows if kept.where("count > 1").isEmpty() else rows.dropDuplicates([doc_id, "kept__digest"])
+    return once.drop("kept__digest")
 
 
 SQL = r"""

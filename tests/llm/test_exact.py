@@ -43,3 +43,15 @@ def test_repeated_rows_stay_once(repeated):
     verdict = op.exact_copies(repeated).collect()
     assert sum(r["doc_id"] is None and r["text_sha256"] == hashlib.sha256(b"").hexdigest() for r in verdict) == 1
     assert all(r["keep_id"] is not None for r in verdict if r["group_size"] > 1)
+
+
+def test_rows_that_share_an_identifier_are_not_copies(spark):
+    """Texts without an identifier and under one identifier all stay beside a row that comes twice."""
+    rows = [(None, "one"), (None, "two"), (7, "three"), (7, "four"), (8, "again"), (8, "again")]
+    rows += [(9, "sp aced"), (9, "spaced"), (9, "s paced"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], squeezed(r["text"]), len(r["text"] or "")) for r in op.drop_copies(df).collect()]
+    assert sorted(kept, key=str) == sorted(
+        [(None, "one", 3), (None, "two", 3), (7, "three", 5), (7, "four", 4), (8, "again", 5),
+         (9, "spaced", 7), (None, "", 0)], key=str
+    )
