@@ -54,3 +54,29 @@ def test_stages_on_odd_rows(spark, sf_dir, repeated):
         for _, stage in pipeline.STAGES:
             now = stage(spark, now, sf_dir)
         assert now.count() == 0 if rows is not docs else now.count() > 0
+
+
+def test_a_row_is_judged_by_its_own_text(spark, sf_dir, documents, corpus):
+    """Rows without an identifier, or all with the same one, fare as the same texts do with their own."""
+    kept = {"decontamination": [], "near_dedup": []}
+    for identifier in ("doc_id", "CAST(NULL AS LONG) AS doc_id", "7L AS doc_id"):
+        rows = documents.selectExpr(identifier, "text")
+        for name, found in kept.items():
+            stays = dict(pipeline.STAGES)[name](spark, rows, sf_dir).select("text").collect()
+            found.append(Counter(r["text"] for r in stays))
+    first, *others = kept["decontamination"]
+    assert 0 < first.total() < len(corpus) and others == [first, first]
+    # Which row of a component stays depends on identifiers, how many stay does not.
+    first, *others = (x.total() for x in kept["near_dedup"])
+    assert 0 < first < len(corpus) and others == [first, first]
+
+
+def test_toxic_rows_without_identifiers_go(spark, tmp_path):
+    """One clean text without an identifier, or under a repeated one, does not save the toxic ones."""
+    said = [(i, f"vile insult number w{i}" if i % 2 else f"kind word number w{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in said], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    said += [(None, "kind word"), (None, "vile insult"), (None, "insult vile"), (300, "word kind"), (300, "vile insult")]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    kept = {tuple(r) for r in pipeline.without_toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == {(i, t) for i, t in said if "kind" in t}
