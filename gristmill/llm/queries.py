@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import exact
+from gristmill.llm import exact, mixing, phrases
 from gristmill.llm.contamination import contamination_report
 from gristmill.llm.licenses import license_report
 from gristmill.llm.nearcopies import near_copies
@@ -69,6 +69,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
@@ -80,7 +88,13 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
+    "op11_mixing": op11_mixing,
+    "op13_collocations": op13_collocations,
 }
 
 # Queries that SQL can state over whole tables; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact.SQL}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact.SQL,
+    "op11_mixing": mixing.SQL,
+    "op13_collocations": phrases.SQL,
+}
