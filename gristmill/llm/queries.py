@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import exact, mixing, phrases
+from gristmill.llm import exact, mixing, phrases, trie
 from gristmill.llm.contamination import contamination_report
 from gristmill.llm.licenses import license_report
 from gristmill.llm.nearcopies import near_copies
@@ -73,6 +73,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
     "op11_mixing": op11_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_collocations": op13_collocations,
 }
 
@@ -96,5 +101,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.SQL,
     "op11_mixing": mixing.SQL,
+    "op12_prefix_trie": trie.SQL,
     "op13_collocations": phrases.SQL,
 }
