@@ -316,6 +316,18 @@ def json_type_matches(value: Value, json_type: str, item_type: str | None) -> Co
     return value.is_list & value.items_are(item_type)
 
 
+def _value_tests(value: Value, field: Field, number: Column) -> list[tuple[str, Column]]:
+    """(rule, ok) for what a field's declaration says of a value that is there."""
+    tests = []
+    if field.enum:
+        tests.append(("enum", ~value.present | in_enum(value, field.enum)))
+    if field.json_range:
+        low, high = field.json_range
+        tests.append(("minimum", ~(value.present & number & _below(value, low))))
+        tests.append(("maximum", ~(value.present & number & _above(value, high))))
+    return tests
+
+
 def _schema_tests(record: Record, entity: Entity) -> list[tuple[str, str, Column]]:
     """(rule, field, ok) for every condition the entity's JSON schema states."""
     tests = []
@@ -325,13 +337,8 @@ def _schema_tests(record: Record, entity: Entity) -> list[tuple[str, str, Column
             tests.append(("required", field.name, value.present))
         typed = json_type_matches(value, field.json_type, field.item_type)
         tests.append(("type", field.name, ~value.present | typed))
-        if field.enum:
-            tests.append(("enum", field.name, ~value.present | in_enum(value, field.enum)))
-        if field.json_range:
-            low, high = field.json_range
-            number = value.is_int | value.is_float
-            tests.append(("minimum", field.name, ~(value.present & number & _below(value, low))))
-            tests.append(("maximum", field.name, ~(value.present & number & _above(value, high))))
+        stated = _value_tests(value, field, value.is_int | value.is_float)
+        tests += [(rule, field.name, ok) for rule, ok in stated]
     return tests
 
 
@@ -435,27 +442,26 @@ def typed_required_errors(record: Record, spec: Spec) -> Column:
     )
 
 
+def length_tests(value: Value, field: Field) -> list[tuple[str, Column]]:
+    """(rule, ok) for the length bounds of a string field; a bound of zero bounds nothing."""
+    if field.json_type != "string":
+        return []
+    n = F.length(value.text)
+    bounds = {"minLength": (field.min_length, n < F.lit(field.min_length)),
+              "maxLength": (field.max_length, n > F.lit(field.max_length))}
+    return [(rule, ~is_true(broken)) for rule, (bound, broken) in bounds.items() if bound]
+
+
 def field_constraint_errors(record: Record, entity: Entity) -> Column:
-    """Enum, string length and numeric range of the entity's fields."""
+    """Enum, numeric range and string length of the entity's fields, in the order of the spec.
+
+    The same tests as the entity's schema states, but a bool counts as a number here.
+    """
     parts = []
     for field in entity.fields:
-        name, value = field.name, record.value(field.name)
-        low, high = field.json_range or (None, None)
-        text = field.json_type == "string"
-        # (rule, what the spec bounds, when it is broken, what is said then)
-        table = [
-            ("maximum", high, lambda b, v=value: v.is_numeric & _above(v, b), f"{name} is above {high}"),
-            ("minimum", low, lambda b, v=value: v.is_numeric & _below(v, b), f"{name} is below {low}"),
-            ("maxLength", text and field.max_length, lambda b, v=value: is_true(F.length(v.text) > b),
-             f"{name} has more than {field.max_length} characters"),
-            ("minLength", text and field.min_length, lambda b, v=value: is_true(F.length(v.text) < b),
-             f"{name} has fewer than {field.min_length} characters"),
-            ("enum", field.enum, lambda b, v=value: v.present & ~in_enum(v, b),
-             f"{name} is none of {', '.join(field.enum or ())}"),
-        ]
-        for rule, bound, broken, message in table:
-            if bound or rule in ("minimum", "maximum") and bound is not None:
-                parts.append(error_if(broken(bound), rule, entity.name, name, message))
+        value = record.value(field.name)
+        for rule, ok in _value_tests(value, field, value.is_numeric) + length_tests(value, field):
+            parts.append(error_if(~ok, rule, entity.name, field.name, f"{field.name} breaks its {rule}"))
     return join_errors(parts)
 
 

@@ -24,17 +24,8 @@ JSON_TYPES = {
     "list[bool]": "array",
 }
 
-# The constraint language is defined by these two patterns.
-LENGTH_RULE = re.compile(r"len\((\w+)\)\s*([<>=]+)\s*(\d+)")
-COMPARE_RULE = re.compile(r"(\w+)\s*([<>=!]+)\s*([^<>=!]+)")
-# A text is about a length if it calls len somewhere; it compares if it has an operator but "=".
-CALLS_LEN = re.compile(r"(?s)(?=.*len\()(?=.*\))")
-COMPARES = re.compile(r"[<>]|[=!]=")
-# Which field's length is bounded, and by what; an upper bound goes before a lower one.
-BOUNDED_LENGTH = re.compile(
-    r"(?s)(?=.*?len\((?P<field>[^)]*)\))"
-    r"(?:(?=.*?<=(?P<most>.*?)(?:<=|\Z))|(?=.*?>=(?P<least>.*?)(?:>=|\Z)))"
-)
+# Words, runs of operator signs and single other signs of a constraint's text.
+TOKEN = re.compile(r"(?P<word>\w+)|(?P<operator>[<>=!]+)|(?P<sign>\S)")
 SEVERITIES = ("error", "warning", "info")
 
 
@@ -141,6 +132,31 @@ class CompareRule:
     value: str
 
 
+def comparisons(text: str) -> list[LengthRule | CompareRule]:
+    """The comparisons in a constraint's text, in order.
+
+    A comparison is a field's name or ``len(name)``, an operator, and all text up to the next
+    operator. Anything else between them is passed over.
+    """
+    tokens = list(TOKEN.finditer(text))
+    operators = [i for i, t in enumerate(tokens) if t.lastgroup == "operator"]
+    found = []
+    for nth, at in enumerate(operators):
+        follows = operators[nth + 1 : nth + 2]
+        right = text[tokens[at].end() : tokens[follows[0]].start() if follows else len(text)].lstrip()
+        left, op = tokens[max(0, at - 4) : at], tokens[at].group()
+        if not right or not left:
+            continue
+        if left[-1].lastgroup == "word":
+            found.append(CompareRule(left[-1].group(), op, right))
+        elif len(left) == 4 and left[2].lastgroup == "word":
+            # A call is written without blanks.
+            call = text[left[0].start() : left[-1].end()]
+            if call == f"len({left[2].group()})":
+                found.append(LengthRule(left[2].group(), op, right))
+    return found
+
+
 @dataclass(frozen=True)
 class Constraint:
     expr: str
@@ -148,28 +164,38 @@ class Constraint:
     severity: str = "error"
 
     @cached_property
-    def rule(self) -> LengthRule | CompareRule | None:
-        """What a row has to satisfy; None when the text constrains nothing."""
-        kind, pattern = (
-            (LengthRule, LENGTH_RULE) if CALLS_LEN.match(self.expr) else (CompareRule, COMPARE_RULE)
-        )
-        found = pattern.search(self.expr)
-        if not found or kind is CompareRule and not COMPARES.search(self.expr):
-            return None
-        return kind(*found.groups())
+    def parsed(self) -> list[LengthRule | CompareRule]:
+        return comparisons(self.expr)
 
     @cached_property
-    def simple_length(self) -> LengthRule | None:
-        """The narrower reading used by record validation: only ``<=`` and ``>=``.
+    def lengths(self) -> list[LengthRule]:
+        return [c for c in self.parsed if isinstance(c, LengthRule)]
+
+    @cached_property
+    def calls_len(self) -> bool:
+        words = [t.group() for t in TOKEN.finditer(self.expr)]
+        return any(pair == ("len", "(") for pair in zip(words, words[1:], strict=False))
 
-        The limit is the text between the operator and its next occurrence.
+    @cached_property
+    def rule(self) -> LengthRule | CompareRule | None:
+        """What a row has to satisfy; None when the text constrains nothing.
+
+        A text that calls ``len`` is about a length only, whose limit is the digits it starts with.
         """
-        found = BOUNDED_LENGTH.match(self.expr)
-        if not found:
-            return None
-        if found["most"] is not None:
-            return LengthRule(found["field"], "<=", found["most"].strip())
-        return LengthRule(found["field"], ">=", found["least"].strip())
+        if not self.calls_len:
+            return next((c for c in self.parsed if isinstance(c, CompareRule)), None)
+        for length in self.lengths:
+            if digits := re.match(r"\d+", length.number):
+                return LengthRule(length.field, length.op, digits.group())
+        return None
+
+    @cached_property
+    def simple_length(self) -> LengthRule | None:
+        """The narrower reading used by record validation: one bound, ``<=`` or ``>=``, in full."""
+        for length in self.lengths:
+            if length.op in ("<=", ">="):
+                return LengthRule(length.field, length.op, length.number.strip())
+        return None
 
 
 @dataclass(frozen=True)

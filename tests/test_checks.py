@@ -197,6 +197,21 @@ def test_length_rules(records, record, answers):
         assert answers(rows, checks.constraint_holds(record, Constraint(expr))) == wanted, expr
 
 
+def test_constraint_texts():
+    """One reading of a text serves every validator."""
+    from gristmill.spec import CompareRule, LengthRule, comparisons
+
+    assert comparisons("len(name) <= 5 and age>= 3 ") == [
+        LengthRule("name", "<=", "5 and age"), CompareRule("age", ">=", "3 "),
+    ]
+    assert comparisons("status in ['a']") == comparisons("") == comparisons("<= 5") == comparisons("f >=") == []
+    both = Constraint("len(name) > 1, len(name) <= 7 letters")
+    assert both.rule == LengthRule("name", ">", "1")
+    assert both.simple_length == LengthRule("name", "<=", "7 letters")
+    assert Constraint("len(name) is fine, age < 3").rule is None
+    assert Constraint("age == 3").simple_length is None
+
+
 def test_simple_length_reading(records, record, answers):
     rows = records(['{"f":"abc"}', '{"f":5}', "{}"])
 
