@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("curation", "quality", "validation", "outputs", "gates", "files", "streams")
+MODULES = ("curation", "quality", "validation", "outputs", "gates", "files", "streams", "runs")
 
 
 def load() -> ModuleType:

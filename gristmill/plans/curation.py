@@ -16,6 +16,7 @@ from gristmill.operators.curation import (
     record_hash,
     row_hash,
 )
+from gristmill.operators.seen import SeenIndex, new_keys
 from gristmill.operators.split import find_cut, split_rows
 from gristmill.session import configure, free_scratch, scratch_path
 from gristmill.sources.files import CORPUS_PATTERNS, SCAN_ORDER, find_files, locate, scan_corpus
@@ -33,16 +34,22 @@ def curate_table(
     train_ratio: float = 0.8,
     val_ratio: float = 0.1,
     seed: int = 42,
+    seen: SeenIndex | None = None,
+    run: str | None = None,
 ) -> DataFrame:
     """Tag filter, exact deduplication and split of a table with a unique key.
 
     ``columns`` are the ones that make up the record. Survivors and cut points are found on
-    keys and hashes alone; whole rows move once, to meet the surviving keys.
+    keys and hashes alone; whole rows move once, to meet the surviving keys. With an index of ``seen``
+    hashes, copies of what earlier runs kept go as well, and this ``run`` is added to it.
     """
+    if (seen is None) != (run is None):
+        raise ValueError("an index of seen hashes needs the name of this run, and the other way round")
     names = columns if isinstance(columns, Mapping) else list(columns)
     record = TypedRecord(df, names)
     kept = filter_tags(df, record, include, exclude)
-    survivors = first_keys(kept, copies_of if copies_of is not None else row_hash(record), key)
+    digest = copies_of if copies_of is not None else row_hash(record)
+    survivors = first_keys(kept, digest, key) if seen is None else new_keys(kept, digest, key, seen, run)
     unique = kept.join(survivors, key, "left_semi")
     return split_rows(
         unique, key, train_ratio=train_ratio, val_ratio=val_ratio, seed=seed, keys=survivors
