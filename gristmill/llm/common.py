@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gristmill.session import scratch_path
+from gristmill.session import free_scratch, scratch_path
 
 # Words remembered per Python worker; beyond it the memory starts anew, which changes no result.
 REMEMBERED = 300_000
@@ -106,10 +106,44 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     Whatever executors are lost later, the rows need not be worked out again.
     """
     path = scratch_path(df.sparkSession, label)
+    STAGED.append((df.sparkSession.sparkContext.applicationId, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Tables written by ``staged`` and not yet freed, with the application they belong to.
+STAGED: list[tuple[str, str]] = []
+
+
+def free_staged(needed_by: DataFrame) -> None:
+    """Delete all tables staged so far but those that a table still reads.
+
+    For the start of a step whose input is all that is left to do with what was staged before.
+    """
+    spark = needed_by.sparkSession
+    own = [x for x in STAGED if x[0] == spark.sparkContext.applicationId]
+    read = "\n".join(needed_by.inputFiles()) if own else ""
+    for app, path in own:
+        if path.rpartition("/")[2] not in read:
+            free_scratch(spark, path)
+            STAGED.remove((app, path))
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """The rows with a number of their own; identifiers may be missing or repeated.
+
+    Numbers depend on how rows are read, so they are written down before anything is judged by them.
+    """
+    if key in docs.columns:
+        raise ValueError(f"a column is named {key} already")
+    return staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
+def only(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose own number is among those in the only column of ``kept``, without it."""
+    return docs.join(kept.toDF("kept__key"), F.col(key) == F.col("kept__key"), "left_semi").drop(key)
+
+
 SHIPPED: set[str] = set()
 
 
@@ -177,3 +211,29 @@ def map_rows(
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, struct)
+
+
+def kept_rows(
+    df: DataFrame, keep: Callable[[list[bytes | None]], np.ndarray], text: str = "text", batch_bytes: int = 1 << 22
+) -> DataFrame:
+    """Rows whose text ``keep`` says yes to, with all their columns; judged and dropped in one pass.
+
+    ``keep`` gets lists of texts with a bounded number of bytes. Nothing is shuffled.
+    """
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, size = 0, [], 0
+            for i, value in enumerate(batch.column(place)):
+                data = value.as_buffer()
+                held.append(None if data is None else data.to_pybytes())
+                size += 64 + len(held[-1] or b"")
+                if size >= batch_bytes or i == batch.num_rows - 1:
+                    found = batch.slice(first, len(held)).filter(pa.array(keep(held), type=pa.bool_()))
+                    if found.num_rows:
+                        yield found
+                    first, held, size = i + 1, [], 0
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, df.schema)

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import (
     alphanumeric_words,
     hash_words,
+    kept_rows,
+    keyed,
     map_rows,
+    only,
     starts_of,
     text_bytes,
     window_hashes,
@@ -210,6 +213,17 @@ def judged_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def item_texts(
+    benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text"
+) -> tuple[DataFrame, int]:
+    """Identifiers and texts of a benchmark's items, and their bytes."""
+    items = benchmark.where(F.col(item_id).isNotNull()).select(
+        F.col(item_id).cast("string").alias("item"), text_bytes(item_text).alias("data")
+    )
+    size = items.agg(F.sum(F.octet_length("data") + F.octet_length("item") + 64).alias("n")).first()["n"]
+    return items, size or 0
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -233,15 +247,37 @@ def contaminated(
     Returns ``doc_id``, ``n_words``, ``n_hit``, ``items`` (identifiers as sorted strings).
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("data"))
-    items = benchmark.where(F.col(item_id).isNotNull()).select(
-        F.col(item_id).cast("string").alias("item"), text_bytes(item_text).alias("data")
-    )
-    size = items.agg(F.sum(F.octet_length("data") + F.octet_length("item") + 64).alias("n")).first()["n"]
-    if (size or 0) > index_bytes:
+    items, size = item_texts(benchmark, item_id, item_text)
+    if size > index_bytes:
         return judged_by_join(slim, items)
     return judged_by_index(slim, Index([tuple(r) for r in items.collect()]))
 
 
+def clean_rows(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", index_bytes: int = INDEX_BYTES
+) -> DataFrame:
+    """The rows without a word in a benchmark window, with all their columns.
+
+    Each row is judged by its own text, as ``contaminated`` does. With a benchmark of up to
+    ``index_bytes`` documents are judged and dropped in one pass.
+    """
+    items, size = item_texts(benchmark)
+    if size > index_bytes:
+        rows = keyed(docs, "row__key")
+        verdict = contaminated(rows, benchmark, "row__key", text, index_bytes=index_bytes)
+        return only(rows, "row__key", verdict.where("n_hit = 0").select("doc_id"))
+    sent = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))
+
+    def clean(held):
+        hit = np.zeros(len(held), dtype=bool)
+        texts = Texts(held)
+        for place, _, _ in sent.value.hits(texts):
+            hit[texts.text[place]] = True
+        return ~hit
+
+    return kept_rows(docs, clean, text)
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``op7_decontamination``."""
     return contaminated(docs, benchmark).select(

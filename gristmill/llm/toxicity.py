@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import (
     Remembered,
     alphanumeric_words,
+    kept_rows,
     map_rows,
     staged,
     starts_of,
@@ -214,6 +215,12 @@ def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str
     return map_rows(slim, "doc_id long, score double", work)
 
 
+def without_toxic(docs: DataFrame, machine: Machine, limit: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose text scores below a limit, with all their columns; scored and dropped in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    return kept_rows(docs, lambda texts: sent.value.scores(texts) < limit, text)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Score every document; labels, language, source and identifier are no inputs of a score.
 

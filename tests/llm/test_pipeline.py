@@ -11,7 +11,7 @@ from gristmill.llm.packing import END, Encoder
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
@@ -56,6 +56,32 @@ def test_stages_on_odd_rows(spark, sf_dir, repeated):
         assert now.count() == 0 if rows is not docs else now.count() > 0
 
 
+def test_stages_free_what_is_no_longer_read(spark, sf_dir, documents):
+    """Tables of a stage go once its result is written; what a lazy result still reads stays."""
+    from pathlib import Path
+
+    from gristmill.llm.common import STAGED, free_staged, staged
+
+    left = staged(documents, "left")
+    free_staged(left)
+    assert len(STAGED) == 1 and left.count() == documents.count()
+    free_staged(left.limit(1).union(documents))
+    assert len(STAGED) == 1
+    free_staged(documents)
+    assert not STAGED
+    docs = documents
+    for name, stage in pipeline.STAGES[:4]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    assert docs.count() and len(STAGED) < 8
+    assert all(Path(path.removeprefix("file:")).exists() for _, path in STAGED)
+
+
+def test_columns_with_names_of_ours(spark, sf_dir, documents):
+    docs = documents.withColumn("kept__id", documents.doc_id).withColumn("score", documents.text)
+    for name in ("toxicity", "decontamination", "near_dedup"):
+        assert dict(pipeline.STAGES)[name](spark, docs, sf_dir).columns == docs.columns
+
+
 def test_a_row_is_judged_by_its_own_text(spark, sf_dir, documents, corpus):
     """Rows without an identifier, or all with the same one, fare as the same texts do with their own."""
     kept = {"decontamination": [], "near_dedup": []}
