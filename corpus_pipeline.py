@@ -2,8 +2,9 @@
 
 Toxic documents, exact copies, near copies and documents with benchmark passages go, in this
 order; what is left is packed into training sequences. Each stage judges what its predecessor
-kept, and its result is written to the shared folder before the next one reads it. Rows are told
-apart by a number of their own, as identifiers may be missing or repeated.
+kept, and its result is written to the shared folder before the next one reads it. Each row is judged
+by its own text, as identifiers may be missing or repeated. A stage frees what its predecessors have
+staged, but for what its input still reads.
 """
 
 from __future__ import annotations
@@ -12,56 +13,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import staged
-from gristmill.llm.contamination import contaminated
+from gristmill.llm import toxicity
+from gristmill.llm.common import free_staged, keyed, only, staged
+from gristmill.llm.contamination import clean_rows
 from gristmill.llm.exact import drop_copies
 from gristmill.llm.nearcopies import near_copies
 from gristmill.llm.packing import pack
-from gristmill.llm.toxicity import learnt, scored
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, ``row__key``; identifiers may be missing or repeated.
-
-    Numbers depend on how rows are read, so they are written down before anything is judged by them.
-    """
-    return staged(docs.withColumn("row__key", F.monotonically_increasing_id()), "keyed")
-
-
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose own number is among those in ``kept``, with their columns."""
-    keys = kept.select(F.col("doc_id").alias("kept__key"))
-    return docs.join(keys, F.col("row__key") == F.col("kept__key"), "left_semi").drop("row__key")
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = keyed(docs)
-    return only(rows, scored(rows, learnt(rows, labels), "row__key").where("score < 0.5"))
+    return toxicity.without_toxic(docs, toxicity.learnt(docs, labels))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_staged(docs)
     return drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest identifier stays; one without any comes last."""
-    rows = keyed(docs)
+    free_staged(docs)
+    rows = keyed(docs, "row__key")
     verdict = near_copies(rows, "row__key").select(F.col("doc_id").alias("row__key"), "component_id")
     named = verdict.join(rows.select("row__key", "doc_id"), "row__key")
     best = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "row__key")).alias("best")
-    return only(rows, named.groupBy("component_id").agg(best).select(F.col("best.row__key").alias("doc_id")))
+    return only(rows, "row__key", named.groupBy("component_id").agg(best).select("best.row__key"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = keyed(docs)
-    return only(rows, contaminated(rows, benchmark, "row__key").where("n_hit = 0"))
+    free_staged(docs)
+    return clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_staged(docs)
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
