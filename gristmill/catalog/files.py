@@ -72,7 +72,19 @@ def s1_json_array_scan(spark, sf_dir):
     scan = read_json_array(spark, path, pattern="*.txt")
     return scan.select(
         number("doc_id").cast("long").alias("doc_id"), F.md5(text("text")).alias("text_md5"),
-        text("lang").alias("lang"), "pos",
+        text("lang").alias("lang"), F.col("offset").alias("pos"),
+    )
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, lang, doc_id % 1000 AS pos FROM documents")
+def s1_array_in_ranges(spark, sf_dir):
+    """The same arrays, each read in ranges of bytes that several tasks share."""
+    path = scratch_path(spark, "arrays")
+    write_array_files(documents(spark, sf_dir), "doc_id", path, ["doc_id", "text", "lang"])
+    scan = read_json_array(spark, path, pattern="*.txt", whole_bytes=0)
+    return scan.select(
+        number("doc_id").cast("long").alias("doc_id"), F.md5(text("text")).alias("text_md5"),
+        text("lang").alias("lang"), F.col("offset").alias("pos"),
     )
 
 
@@ -214,6 +226,18 @@ def d3_scan_dedup(spark, sf_dir):
     )
 
 
+@query(f"SELECT md5({NORMAL_TEXT}) AS text_hash, 1::BIGINT AS n FROM documents GROUP BY 1")
+def d3_addressed_lines(spark, sf_dir):
+    """First copies among JSON lines, found by hash and byte address in one pass and read in another."""
+    path = scratch_path(spark, "lines")
+    df = documents(spark, sf_dir).withColumn("id", F.col("doc_id"))
+    write_jsonl_files(df, path, ["id", "text"])
+    scan = read_jsonl(spark, path, pattern="*.txt", addressed=True).withColumn("src_rank", F.lit(0))
+    unique = drop_copies_in_scan(scan, record_hash(F.col("fields")), SCAN_ORDER)
+    digest = F.md5(normalize_text(text("text"))).alias("text_hash")
+    return unique.groupBy(digest).agg(F.count("*").alias("n"))
+
+
 KEPT_TEXTS = f"""SELECT DISTINCT md5('{{}}[]' || chr(10) || {NORMAL_TEXT}) AS doc_id,
                         md5({NORMAL_TEXT}) AS text_hash
                  FROM documents WHERE NOT contains(lower(text), 'public')"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,14 +183,9 @@ def drop_copies_in_table(df: DataFrame, copies_of: Column, order: Sequence[str])
 
 
 def drop_copies_in_scan(df: DataFrame, copies_of: Column, order: Sequence[str]) -> DataFrame:
-    """As ``drop_copies`` for file scans, whose position is only stable within one pass.
+    """As ``drop_copies`` for file scans, whose records have an address that every pass agrees on.
 
-    Each task keeps the first row per hash before the shuffle, so large groups stay small.
+    Only hash and address are grouped, so large groups stay small; whole records of a second pass meet the
+    addresses of first copies.
     """
-    first = Window.partitionBy("_copies_of").orderBy(*order)
-    return (
-        df.withColumn("_copies_of", copies_of)
-        .withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") == 1)
-        .drop("_rank", "_copies_of")
-    )
+    return drop_copies_in_table(df, copies_of, order)

@@ -1,9 +1,9 @@
 """Scans of JSON, JSONL, YAML and text files, and the file inventory.
 
 Record scans share one shape: ``raw`` (the record's JSON text), ``fields`` (the parsed record),
-``path`` and the scan position ``block``, ``pos``. Records of one file sort by the position;
-``SCAN_ORDER`` sorts a whole corpus. The position is stable within one query. To refer to it
-from a second query, write the scan to a table first.
+``path`` and ``offset``: the number of an element in its array or list, the byte at which a line
+begins. ``path, offset`` is a record's address, the same in every pass and for every way a file may
+be split; ``SCAN_ORDER`` sorts a whole corpus.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from gristmill.functions.json_text import RECORD_TYPE, parse_records
 from gristmill.functions.text import strip
 from gristmill.operators.records import with_record
+from gristmill.sources.ranges import addressed_lines, array_elements
 
-SCAN_ORDER = ["src_rank", "path", "block", "pos"]
+SCAN_ORDER = ["src_rank", "path", "offset"]
 
 # The corpus formats in scan order, and the extensions of text files.
 CORPUS_PATTERNS = {
@@ -55,6 +56,11 @@ def split_unreadable(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scan.where(F.col("fields").isNotNull()), scan.where(F.col("fields").isNull())
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """Bytes of a file that one task reads."""
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
 def read_json_array(
     spark: SparkSession,
     path: str,
@@ -62,13 +68,18 @@ def read_json_array(
     pattern: str | None = "*.json",
     recursive: bool = False,
     on_bad: str = "fail",
+    whole_bytes: int | None = None,
 ) -> DataFrame:
     """Files that each hold one JSON array of objects.
 
-    A file is read whole, so it has to fit one cell (2 GB); larger data belongs in JSONL. An
-    unreadable file counts as one bad record.
+    A file of up to ``whole_bytes`` (by default what one task reads) is parsed whole; a larger one is read
+    in ranges by several tasks, with the same result. An unreadable file counts as one bad record:
+    its text, or the first part of it that cannot be, if it is read in ranges.
     """
-    files = spark.read.options(**_options(pattern, recursive)).text(path, wholetext=True)
+    options = _options(pattern, recursive)
+    limit = split_bytes(spark) if whole_bytes is None else whole_bytes
+    size = F.col("_metadata.file_size")
+    files = spark.read.options(**options).text(path, wholetext=True).where(size <= limit)
     items = files.select(
         F.col("_metadata.file_path").alias("path"), "value", parse_records(F.col("value")).alias("items")
     )
@@ -76,13 +87,28 @@ def read_json_array(
         F.struct(F.col("value").alias("raw"), F.lit(None).cast(RECORD_TYPE).alias("fields"))
     )
     rows = items.select(
-        "path", F.posexplode(F.coalesce(F.col("items"), unreadable)).alias("pos", "item")
+        "path", F.posexplode(F.coalesce(F.col("items"), unreadable)).alias("offset", "item")
     )
-    scan = rows.select(
-        "item.raw", "item.fields", "path", F.lit(0).cast("long").alias("block"),
-        F.col("pos").cast("long").alias("pos"),
+    scan = _check(rows.select("item.raw", "item.fields", "path", F.col("offset").cast("long").alias("offset")),
+                  on_bad, "JSON array")
+    listed = spark.read.format("binaryFile").options(**options).load(path)
+    if listed.where(F.col("length") > limit).select("path").isEmpty():
+        return scan
+    return scan.unionByName(_ranged_array(spark, path, options, limit, on_bad))
+
+
+def _ranged_array(spark: SparkSession, path: str, options: dict, limit: int, on_bad: str) -> DataFrame:
+    """The records of JSON arrays larger than ``limit``."""
+    elements = with_record(array_elements(spark, path, options, limit))
+    fields = F.when(F.col("sound"), F.col("fields"))
+    rows = elements.select("raw", fields.alias("fields"), "path", F.col("pos").alias("offset"))
+    if on_bad != "quarantine":
+        return _check(rows, on_bad, "JSON array")
+    first = F.min_by(F.struct("raw", "fields", "offset"), "offset").alias("first")
+    bad = rows.where(F.col("fields").isNull()).groupBy("path").agg(first)
+    return rows.join(bad.select("path"), "path", "left_anti").unionByName(
+        bad.select("first.raw", "first.fields", "path", "first.offset")
     )
-    return _check(scan, on_bad, "JSON array")
 
 
 def read_jsonl(
@@ -92,16 +118,20 @@ def read_jsonl(
     pattern: str | None = "*.jsonl",
     recursive: bool = False,
     on_bad: str = "fail",
+    addressed: bool = False,
 ) -> DataFrame:
-    """One JSON object per line; blank lines are skipped."""
-    lines = spark.read.options(**_options(pattern, recursive)).text(path)
-    found = lines.where(strip(F.col("value")) != "").select(
-        F.col("value").alias("raw"),
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-    return _check(with_record(found), on_bad, "JSON line")
+    """One JSON object per line; blank lines are skipped.
+
+    With ``addressed``, records have their ``offset``, for which one more pass goes over the lines' lengths.
+    """
+    options = _options(pattern, recursive)
+    if addressed:
+        lines = addressed_lines(spark, path, options)
+    else:
+        lines = spark.read.options(**options).text(path).select(
+            F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path")
+        )
+    return _check(with_record(lines.where(strip(F.col("raw")) != "")), on_bad, "JSON line")
 
 
 def read_yaml_list(
@@ -135,7 +165,7 @@ def read_yaml_list(
     rows = files.select("path", "content").mapInPandas(
         records, "path string, pos long, raw string"
     )
-    found = rows.select("raw", "path", F.lit(0).cast("long").alias("block"), "pos")
+    found = rows.select("raw", "path", F.col("pos").alias("offset"))
     return _check(with_record(found), on_bad, "YAML record")
 
 
@@ -167,7 +197,8 @@ def scan_corpus(
             continue
         folder, pattern = locate(raw_dir, patterns[kind])
         if _any_file(spark, folder, pattern, recursive):
-            scan = reader(spark, folder, pattern=pattern, recursive=recursive, on_bad=on_bad)
+            more = {"addressed": True} if reader is read_jsonl else {}
+            scan = reader(spark, folder, pattern=pattern, recursive=recursive, on_bad=on_bad, **more)
             scans.append(scan.withColumn("src_rank", F.lit(rank)))
     if not scans:
         raise ValueError(f"no data files found in {raw_dir}")

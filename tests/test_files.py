@@ -1,10 +1,12 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions.record import VariantRecord
+from gristmill.operators.curation import drop_copies_in_scan
 from gristmill.plans.curation import curate_corpus
 from gristmill.session import scratch_path, shared_dir
 from gristmill.sources.files import (
@@ -94,6 +96,99 @@ def test_empty_array_and_file(spark, tmp_path):
     assert read_jsonl(spark, str(tmp_path)).count() == 0
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in ranges of so many bytes; call it with a number."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = spark.conf.get(names[0])
+
+    def split(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+
+    yield split
+    spark.conf.set(names[0], before)
+    spark.conf.unset(names[1])
+
+
+def nasty_records(n):
+    rng = random.Random(n)
+    bits = ['"', "\\", "}", "{", "[", "]", ",", "é", "\n", ":", "x" * 30, "\\\"", "\u2028", "{}", '"}', '\\"}']
+    return [
+        {"id": i, "text": "".join(rng.choices(bits, k=rng.randint(0, 25))), "deep": [{"a": [i, {"b": {}}]}] * (i % 3)}
+        | ({"long": "long } text ]" * 2_000} if i == n // 2 else {})
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("size", [700, 4_096, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_array_over_several_ranges(spark, tmp_path, small_splits, size, indent):
+    """A file read in ranges gives what Python's parser gives, a record across many ranges included."""
+    records = nasty_records(300)
+    (tmp_path / "a.json").write_text(" \n" + json.dumps(records, indent=indent, ensure_ascii=bool(indent)) + " \n")
+    (tmp_path / "b.json").write_text(json.dumps(records[:5]))
+    (tmp_path / "empty.json").write_text("\n[\n " + " " * 2_000 + "]\n")
+    small_splits(size)
+    scan = read_json_array(spark, str(tmp_path), whole_bytes=1_000)
+    found = {}
+    for r in scan.select("raw", "path", "offset", "fields").collect():
+        assert r["fields"] is not None
+        found.setdefault(r["path"][-6:], []).append((r["offset"], json.loads(r["raw"])))
+    assert sorted(found) == ["a.json", "b.json"]
+    assert [x for _, x in sorted(found["a.json"], key=lambda x: x[0])] == records
+    assert sorted(n for n, _ in found["a.json"]) == list(range(300))
+    if size == 4_096:
+        from gristmill.sources.ranges import ranged_text
+
+        text = ranged_text(spark, str(tmp_path), {"pathGlobFilter": "a.json"}, "}")
+        read = text.select(F.spark_partition_id().alias("task")).distinct().count()
+        assert read > 4
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['[{"a":1}, 3]', '[{"a":1}, {"b":2},]', '{"a":1, "b":2}', '[{"a":1}] x', '[{"a":1}]}', '[{"a":1}]]', '[{"a":1}][{"b":2}]',
+     '["{}"]', '[{"a":1}', '{"a":1}]', '[{"a":"x}]', "x" * 50, '[,{"a":1}]', '[{"a":1} {"b":2}]'],
+)
+def test_unreadable_arrays_in_ranges(spark, tmp_path, small_splits, text):
+    (tmp_path / "x.json").write_text(text)
+    (tmp_path / "y.json").write_text('[{"good":1}]')
+    small_splits(7)
+    with pytest.raises(Exception, match="unreadable"):
+        read_json_array(spark, str(tmp_path), whole_bytes=0).collect()
+    readable, refused = split_unreadable(read_json_array(spark, str(tmp_path), whole_bytes=0, on_bad="quarantine"))
+    assert [r["path"][-6:] for r in refused.collect()] == ["x.json"]
+    assert [r["path"][-6:] for r in readable.collect()] == ["y.json"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_lines_have_one_address_in_every_pass(spark, tmp_path, small_splits, end):
+    lines = [json.dumps({"id": i, "pad": "é" * (i * 7 % 90)}, ensure_ascii=False) for i in range(500)]
+    lines[3] = lines[100] = ""
+    content = end.join(lines).encode() + end.encode() * 2
+    (tmp_path / "x.jsonl").write_bytes(content)
+    (tmp_path / "y.jsonl").write_text('{"id": 1}')
+    seen = []
+    for size in (1 << 20, 5_000, 333):
+        small_splits(size)
+        scan = read_jsonl(spark, str(tmp_path), addressed=True)
+        rows = scan.where(F.col("path").endswith("x.jsonl")).select("raw", "offset", "path").collect()
+        seen.append(sorted((r["offset"], r["raw"]) for r in rows))
+        assert scan.count() == 499
+    assert seen[0] == seen[1] == seen[2]
+    assert [raw for _, raw in seen[0]] == [x for x in lines if x]
+    assert all(content[at:].startswith(raw.encode()) for at, raw in seen[0])
+    # First copies are found by addresses alone, in a second pass over the files.
+    ordered = read_jsonl(spark, str(tmp_path), addressed=True).withColumn("src_rank", F.lit(0))
+    digest = F.length("raw").cast("string")
+    kept = drop_copies_in_scan(ordered, digest, SCAN_ORDER)
+    firsts = {}
+    for _, raw in seen[0]:
+        firsts.setdefault(len(raw), raw)
+    assert {r["raw"] for r in kept.collect()} == {*firsts.values(), '{"id": 1}'}
+
+
 def test_lines_of_split_files_keep_their_order(spark, tmp_path):
     """One file read by many tasks still sorts in line order."""
     (tmp_path / "x.jsonl").write_text("".join(json.dumps({"id": i, "pad": "x" * 50}) + "\n" for i in range(3000)))
@@ -101,7 +196,7 @@ def test_lines_of_split_files_keep_their_order(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        scan = read_jsonl(spark, str(tmp_path)).withColumn("src_rank", F.lit(0))
+        scan = read_jsonl(spark, str(tmp_path), addressed=True).withColumn("src_rank", F.lit(0))
         assert scan.rdd.getNumPartitions() > 4
         assert ids(scan) == list(range(3000))
     finally:
