@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gristmill.session import free_scratch, scratch_path
+from gristmill.session import free_scratch, scratch_path, ship_package
 
 # Words remembered per Python worker; beyond it the memory starts anew, which changes no result.
 REMEMBERED = 300_000
@@ -144,24 +141,6 @@ def only(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     return docs.join(kept.toDF("kept__key"), F.col(key) == F.col("kept__key"), "left_semi").drop(key)
 
 
-SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let the executors import this library, wherever the driver has it from; once per application."""
-    context = spark.sparkContext
-    if context.applicationId in SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    # Spark serves the archive to the executors itself.
-    context.addPyFile(str(archive))
-    SHIPPED.add(context.applicationId)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
