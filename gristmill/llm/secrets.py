@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import staged
@@ -59,37 +59,25 @@ RULES = BASE + MORE
 FINDINGS = "array<struct<rule:string,kind:string,start:int,end:int>>"
 
 
-def findings(text: Column, rule: Rule) -> Column:
-    """Spans of a rule's matches in code points, the end exclusive.
+STEPS = "array<struct<rule:int,before:int,size:int,judged:int>>"
 
-    A match is looked up from the end of the one before it: as the pattern matches wherever the
-    matched text stands, the first occurrence from there is the match.
-    """
+
+def steps(text: Column, rule: Rule, number: int) -> Column:
+    """For each match of a rule, in order: how long the text before it is, back to the last match, how long
+    the match and how long the part that is judged, in code points."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
-
-    def locate(done: Column, match: Column) -> Column:
-        at = F.call_function("locate", match, text, done["next"])
-        return F.struct(
-            (at + F.length(match)).alias("next"), F.concat(done["starts"], F.array(at)).alias("starts")
-        )
-
-    starts = F.reduce(found, start, locate)["starts"]
-    spans = F.zip_with(
-        F.arrays_zip(found.alias("m"), judged.alias("v")), starts,
-        lambda x, at: F.struct(x["m"].alias("m"), x["v"].alias("v"), at.alias("at")),
-    )
-    long = F.filter(spans, lambda x: F.length(x["v"]) >= rule.least) if rule.least else spans
     rows = F.transform(
-        long,
+        F.arrays_zip(F.split(text, rule.pattern, -1).alias("b"), found.alias("m"), judged.alias("v")),
         lambda x: F.struct(
-            F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"),
-            (x["at"] - 1).alias("start"), (x["at"] - 1 + F.length(x["m"])).alias("end"),
+            F.lit(number).alias("rule"), F.length(x["b"]).alias("before"), F.length(x["m"]).alias("size"),
+            F.length(x["v"]).alias("judged"),
         ),
-    ).cast(FINDINGS)
-    nothing = F.array().cast(FINDINGS)
+    )
+    # What comes after the last match is no step.
+    rows = F.filter(rows, lambda x: x["size"].isNotNull()).cast(STEPS)
+    nothing = F.array().cast(STEPS)
     if not rule.needs:
         return rows
     possible = F.lit(False)
@@ -98,15 +86,50 @@ def findings(text: Column, rule: Rule) -> Column:
     return F.when(possible, rows).otherwise(nothing)
 
 
+def found_spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, found``: the spans of all rules that are due, of blobs with any; in time linear in the matches.
+
+    Steps become rows, and a running sum over those of one blob and rule gives the places. ``texts`` has a
+    row per blob: ``blob``, ``due``, ``body``.
+    """
+    nothing = F.array().cast(STEPS)
+    run = [
+        F.when(F.array_contains("due", r.name), steps(F.col("body"), r, n)).otherwise(nothing)
+        for n, r in enumerate(rules)
+    ]
+    # A text that comes twice is counted through twice.
+    numbered = texts.withColumn("copy", F.monotonically_increasing_id())
+    rows = numbered.select("blob", "copy", F.posexplode(F.concat(*run)).alias("nth", "s"))
+    order = Window.partitionBy("copy", "s.rule").orderBy("nth")
+    end = F.sum(F.col("s.before") + F.col("s.size")).over(order)
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("s.rule") + 1)
+    names = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind")) for r in rules])
+    of = F.element_at(names, F.col("s.rule") + 1)
+    spans = rows.withColumn("end", end.cast("int")).where(F.col("s.judged") >= least).select(
+        "blob", F.struct(
+            of["rule"].alias("rule"), of["kind"].alias("kind"),
+            (F.col("end") - F.col("s.size")).alias("start"), F.col("end").alias("end"),
+        ).alias("f"),
+    )
+    return spans.groupBy("blob").agg(F.collect_set("f").cast(FINDINGS).alias("found"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def ledger_entries(spark: SparkSession, ledger: str) -> DataFrame:
-    schema = f"blob string, scanned array<string>, found {FINDINGS}"
+def slot(blob: str = "blob") -> Column:
+    """The part of the ledger that a blob belongs to: the first digit of its address."""
+    return F.substring(blob, 1, 1)
+
+
+def ledger_entries(spark: SparkSession, ledger: str, slots: list[str] | None = None) -> DataFrame:
+    """The entries of a ledger, or of some parts of it; other parts are not opened."""
+    schema = f"blob string, scanned array<string>, found {FINDINGS}, slot string"
     if exists(spark, ledger):
-        return spark.read.schema(schema).parquet(ledger)
+        entries = spark.read.schema(schema).parquet(ledger)
+        return (entries if slots is None else entries.where(F.col("slot").isin(slots))).drop("slot")
     return spark.sql(
         f"SELECT '' AS blob, cast(array() AS array<string>) AS scanned, cast(array() AS {FINDINGS}) AS found"
     ).where("false")
@@ -131,7 +154,10 @@ def scan(
     spark = docs.sparkSession
     versions = staged(docs.select(F.col(path).alias("path"), blob(text).alias("blob")), "versions")
     names = F.array(*[F.lit(r.name) for r in rules])
-    seen = ledger_entries(spark, ledger).groupBy("blob").agg(
+    # At most sixteen values.
+    slots = sorted(r["slot"] for r in versions.select(slot().alias("slot")).distinct().collect())
+    own = versions.select("blob").distinct()
+    seen = ledger_entries(spark, ledger, slots).join(own, "blob", "left_semi").groupBy("blob").agg(
         F.flatten(F.collect_set("scanned")).alias("scanned")
     )
     todo = (
@@ -141,21 +167,23 @@ def scan(
         .where(F.size("due") > 0)
         .select("blob", "sample", "due")
     )
+    todo = staged(todo, "due")
     texts = docs.select(
         F.col(path).alias("sample_path"), blob(text).alias("blob_of"), F.coalesce(text, F.lit("")).alias("body")
     )
     met = texts.join(
         todo, F.col("sample_path").eqNullSafe(F.col("sample")) & (F.col("blob_of") == F.col("blob"))
     )
+    # Rows that repeat path and content carry the same spans; the ledger takes one of each.
+    spans = found_spans(met.select("blob", "due", "body"), rules)
     nothing = F.array().cast(FINDINGS)
-    run = [
-        F.when(F.array_contains("due", r.name), findings(F.col("body"), r)).otherwise(nothing) for r in rules
-    ]
-    entries = met.select("blob", F.col("due").alias("scanned"), F.concat(*run).alias("found"))
-    # Rows that repeat path and content were scanned together; the ledger takes one.
-    once = entries.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.first("found").alias("found"))
-    once.write.mode("append").parquet(ledger)
-    current = ledger_entries(spark, ledger).select("blob", F.explode("found").alias("f"))
+    once = todo.join(spans, "blob", "left").select(
+        "blob", F.col("due").alias("scanned"), F.coalesce("found", nothing).alias("found"),
+        slot().alias("slot"),
+    )
+    once.write.mode("append").partitionBy("slot").parquet(ledger)
+    current = ledger_entries(spark, ledger, slots).join(own, "blob", "left_semi")
+    current = current.select("blob", F.explode("found").alias("f"))
     current = current.where(F.col("f.rule").isin([r.name for r in rules]))
     told = current.groupBy("blob").agg(F.collect_set("f").alias("findings"))
     return versions.join(told, "blob", "left").select(

@@ -66,3 +66,28 @@ def test_odd_rows(nasty, nothing, repeated, texts, spark):
 def test_no_python_on_the_main_path(documents):
     plan = op.secret_report(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Time follows the number of matches: a text of a hundred thousand takes seconds."""
+    import time
+
+    text = "é token=abcdef123 x " * 100_000
+    docs = spark.createDataFrame([(1, text), (2, "token=abcdef")], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r["doc_id"]: r for r in op.secret_report(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert (rows[1]["n_assign"], rows[2]["n_assign"]) == (100_000, 1)
+    assert rows[1]["base_sha256"] == expected(1, text)[4]
+
+
+def test_a_second_run_opens_its_own_parts_of_the_ledger(spark):
+    ledger = scratch_path(spark, "ledger")
+    docs = spark.createDataFrame([(i, f"token=abcdef{i}") for i in range(300)], "doc_id long, text string")
+    op.scan(docs, ledger).count()
+    one = docs.where("doc_id = 7")
+    again = op.scan(one, ledger)
+    slot = one.select(op.slot("blob") if "blob" in one.columns else op.slot(op.blob("text"))).first()[0]
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(slot" in plan and f"= {slot})" in plan or f"slot#" in plan and f"IN ({slot})" in plan
+    assert [len(r["findings"]) for r in again.collect()] == [1]
