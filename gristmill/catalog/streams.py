@@ -13,8 +13,11 @@ from gristmill.session import scratch_path
 from gristmill.streaming.streams import (
     drop_copies_in_stream,
     read_gated,
+    read_late,
+    read_unique,
     stream_jsonl,
     write_gate,
+    write_unique,
 )
 
 
@@ -64,3 +67,44 @@ def d4_stream_dedup(spark, sf_dir):
     writer = writer.option("checkpointLocation", f"{out}-checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+# Events arrive in this many batches, dealt by identifier; each is late by so much of the days before.
+ARRIVALS = 4
+LATE_DAYS = 20
+
+ARRIVED = f"""
+  WITH arrived AS (SELECT *, event_id % {ARRIVALS} AS batch FROM events),
+  marked AS (
+    SELECT a.*, coalesce(ts < (SELECT max(ts) FROM arrived b WHERE b.batch < a.batch) - INTERVAL {LATE_DAYS} DAY, false)
+      AS late FROM arrived a),
+  kept AS (
+    SELECT * FROM marked WHERE NOT late
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY batch, event_id) = 1)"""
+
+
+def arrived(spark, sf_dir) -> str:
+    """Run the stream of events, batch by batch in the order of writing; where its tables are."""
+    path, out = scratch_path(spark, "arriving"), scratch_path(spark, "unique")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    for batch in range(ARRIVALS):
+        rows.where(F.col("event_id") % ARRIVALS == batch).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    digest = F.md5(F.to_json(F.struct("user_id", "event_type")))
+    write_unique(
+        stream, digest, "ts", f"{LATE_DAYS} days", "event_id", out, f"{out}-checkpoint",
+        buckets=8, available_now=True,
+    ).awaitTermination()
+    return out
+
+
+@query(f"{ARRIVED} SELECT event_id, batch AS batch_id FROM kept")
+def d4_stream_unique(spark, sf_dir):
+    """First arrivals of each user and type; state holds what the watermark of days has not passed."""
+    return read_unique(spark, arrived(spark, sf_dir)).select("event_id", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+@query(f"{ARRIVED} SELECT event_id, batch AS batch_id FROM marked WHERE late")
+def d4_late_rows(spark, sf_dir):
+    """The events that arrived behind the watermark, in a table of their own."""
+    return read_late(spark, arrived(spark, sf_dir)).select("event_id", F.col("batch_id").cast("long").alias("batch_id"))

@@ -124,6 +124,19 @@ class SeenIndex:
         return self.log.publish(snapshot, {run: {"path": filters, "buckets": self.buckets}})
 
 
+    def forget(self, runs: list[str]) -> None:
+        """Drop what some runs have kept: first from the log, then the folders."""
+        snapshot = self.log.current()
+        gone = [run for run in runs if run in snapshot.parts]
+        if not gone:
+            return
+        self.log.publish(snapshot, {}, tuple(gone))
+        for run in gone:
+            for where in (f"{self.path}/hashes/run={run}", snapshot.parts[run]["path"]):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def filled_filters(hashes: DataFrame, buckets: int) -> DataFrame:
     """``bucket, words``: a Bloom filter of each bucket, sized by what it holds."""
     placed = hashes.withColumn("bucket", bucket_of("hash", buckets).cast("int"))

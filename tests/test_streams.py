@@ -4,12 +4,16 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.record import VariantRecord
 from gristmill.operators.gate import gate
+from gristmill.operators.seen import SeenIndex
 from gristmill.streaming.streams import (
     drop_copies_in_stream,
     late_rows,
     read_gated,
+    read_late,
+    read_unique,
     stream_jsonl,
     write_gate,
+    write_unique,
 )
 
 GOOD = {"number": 7, "pier": "north", "crane": True}
@@ -105,9 +109,35 @@ def test_a_batch_being_written_is_not_read(spark, spec, tmp_path):
     write(inbox, "a.jsonl", [GOOD, "bad"])
     stream = stream_jsonl(spark, str(inbox))
     write_gate(stream, judge(spec), out, str(tmp_path / "cp"), available_now=True).awaitTermination()
-    half = spark.read.parquet(out).where("outcome = 'accepted'").drop("batch_id")
-    half.write.partitionBy("outcome").parquet(f"{out}/batch_id=7")
-    assert read_gated(spark, out).count() == 3
-    (tmp_path / "out" / "batch_id=7" / "_SUCCESS").unlink()
+    half = spark.read.parquet(out).where("outcome = 'accepted'").drop("batch_id", "attempt")
+    half.write.partitionBy("outcome").parquet(f"{out}/batch_id=7/attempt=x")
+    assert spark.read.parquet(out).count() == 3
     assert read_gated(spark, out).count() == 2
     assert read_gated(spark, str(tmp_path / "none")) is None
+
+
+def test_late_rows_have_a_table_and_state_is_freed(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id long, ts timestamp, k string"
+    batches = [
+        [(1, "2024-01-03 10:00", "a"), (2, "2024-01-03 11:00", "a"), (3, None, "n")],
+        [(4, "2024-01-03 12:00", "b"), (5, "2024-01-03 10:30", "a"), (6, "2024-01-01 12:00", "new"), (7, None, "n")],
+        [(8, "2024-01-05 12:00", "b")],
+        [(9, "2024-01-05 12:30", "a"), (10, "2024-01-05 10:30", "late"), (11, "2024-01-05 13:00", "b")],
+    ]
+    for n, rows in enumerate(batches):
+        values = ", ".join(f"({i}, {'null' if ts is None else repr(ts)}, '{k}')" for i, ts, k in rows)
+        spark.sql(f"SELECT id::long, ts::timestamp, k FROM VALUES {values} AS t(id, ts, k)").coalesce(1).write.mode(
+            "append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        write_unique(
+            stream, F.md5("k"), "ts", "1 hour", "id", out, str(tmp_path / "cp"), buckets=2, available_now=True
+        ).awaitTermination()
+        if n == 1:
+            assert set(SeenIndex(spark, f"{out}/_index").log.current().parts) == {"batch-0", "batch-1"}
+    kept = sorted((r["id"], r["batch_id"]) for r in read_unique(spark, out).collect())
+    # The first two batches lie behind the last one's watermark: "a" is new again.
+    assert kept == [(1, 0), (3, 0), (4, 1), (9, 3), (11, 3)]
+    assert sorted(r["id"] for r in read_late(spark, out).collect()) == [6, 10]
+    assert "batch-0" not in SeenIndex(spark, f"{out}/_index").log.current().parts
+    assert read_late(spark, str(tmp_path / "none")) is None
