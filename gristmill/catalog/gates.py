@@ -29,10 +29,13 @@ from gristmill.operators.gate import (
     observe_gate,
     quality_report,
     quarantined_rows,
+    report_of,
     require_accepted,
+    rule_counts,
     shorten_errors,
 )
 from gristmill.operators.records import with_record
+from gristmill.session import scratch_path
 
 VALID_EVENT = "event_type <> 'error' AND ((NOT typed AND k <= 60)::INT + (k >= 40)::INT) = 1"
 
@@ -120,6 +123,20 @@ def g6_report_many_errors(spark, sf_dir):
     )
 
 
+@query(
+    f"""SELECT count(*) AS rows, count(*) FILTER ({VALID_EVENT}) AS accepted,
+               count(*) FILTER (NOT ({VALID_EVENT})) AS rejected FROM {EVENTS}"""
+)
+def g6_merged_batches(spark, sf_dir):
+    """Each batch keeps what its report needs; the report of all adds that up."""
+    path = scratch_path(spark, "reports")
+    rows = events(spark, sf_dir)
+    for batch in range(3):
+        gated = gate(rows.where(F.pmod("event_id", F.lit(3)) == batch), fields(), event_spec())
+        rule_counts(gated).write.mode("append").parquet(path)
+    return report_of(spark.read.parquet(path)).select("rows", "accepted", "rejected")
+
+
 @query(f"SELECT count(*) AS rows, count(*) FILTER ({VALID_EVENT}) AS accepted, "
        f"count(*) FILTER (NOT ({VALID_EVENT})) AS rejected FROM {EVENTS}")
 def g7_observed_metrics(spark, sf_dir):

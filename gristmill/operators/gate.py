@@ -109,21 +109,30 @@ def predict(
     ).drop("_fields", "accepted")
 
 
-def quality_report(gated: DataFrame, max_rejected_share: float = 0.0) -> DataFrame:
-    """One row: row counts, rejected rows per rule, and ``healthy`` or ``unhealthy``.
+def rule_counts(gated: DataFrame) -> DataFrame:
+    """``accepted, rules, n``: how many rows break which set of rules.
 
-    Everything is counted in one pass over narrow counter names; the number of counters is
-    bounded by the number of rules.
+    What a report needs to know of a batch. Counts of batches add up, so they can be kept, and a report over
+    many batches reads none of their rows again. Rows are not multiplied by their errors: sets are
+    few, and each task adds them up before anything moves.
     """
+    rules = F.array_sort(F.array_distinct(F.transform("errors", lambda e: e["rule"])))
+    return gated.groupBy("accepted", rules.alias("rules")).agg(F.count("*").alias("n"))
+
+
+def quality_report(gated: DataFrame, max_rejected_share: float = 0.0) -> DataFrame:
+    """One row: row counts, rejected rows per rule, and ``healthy`` or ``unhealthy``."""
+    return report_of(rule_counts(gated), max_rejected_share)
+
+
+def report_of(counted: DataFrame, max_rejected_share: float = 0.0) -> DataFrame:
+    """The report of one batch or several, from their ``rule_counts``."""
     accepted = F.when(F.col("accepted"), F.lit("accepted")).otherwise(F.lit("rejected"))
-    rules = F.transform(
-        F.array_distinct(F.transform("errors", lambda e: e["rule"])),
-        lambda rule: F.concat(F.lit("rule:"), rule),
-    )
-    counters = gated.select(
-        F.explode(F.concat(F.array(F.lit("rows"), accepted), rules)).alias("counter")
+    rules = F.transform("rules", lambda rule: F.concat(F.lit("rule:"), rule))
+    counters = counted.select(
+        F.explode(F.concat(F.array(F.lit("rows"), accepted), rules)).alias("counter"), "n"
     )
-    counts = counters.groupBy("counter").agg(F.count("*").alias("n"))
+    counts = counters.groupBy("counter").agg(F.sum("n").alias("n"))
 
     def count_of(name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("counter") == name, F.col("n"))), F.lit(0))

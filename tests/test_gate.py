@@ -15,7 +15,9 @@ from gristmill.operators.gate import (
     predict,
     quality_report,
     quarantined_rows,
+    report_of,
     require_accepted,
+    rule_counts,
     shorten_errors,
 )
 from gristmill.operators.validation import (
@@ -75,6 +77,9 @@ def test_report_and_metrics(records, record, spec):
     assert quality_report(gated, max_rejected_share=0.75).first().status == "healthy"
     empty = quality_report(gated.where("n < 0")).first()
     assert (empty.rows, empty.status, empty.rules) == (0, "healthy", [])
+    # Reports of batches add up to the report of all.
+    batches = [rule_counts(gated.where(f"n % 2 = {i}")) for i in (0, 1)]
+    assert report_of(batches[0].unionByName(batches[1])).first() == report
     observed, observation = observe_gate(gated, "m")
     assert observed.count() == 4
     assert observation.get == {"rows": 4, "accepted": 1, "rejected": 3}
