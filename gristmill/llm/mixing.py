@@ -70,8 +70,8 @@ def level_of(preference: str | None) -> Column:
         return F.lit(0)
     given = F.col(preference).cast("double")
     bound = LEVELS * OCTAVES
-    level = F.round(F.log2(F.when((given > 0) & ~F.isnan(given), given)) * LEVELS)
-    return F.coalesce(F.greatest(F.lit(-bound), F.least(F.lit(bound), level)), F.lit(0)).cast("int")
+    level = F.round(F.log2(F.when((given > 0) & ~F.isnan(given), given).otherwise(1.0)) * LEVELS)
+    return F.greatest(F.lit(-bound), F.least(F.lit(bound), level)).cast("int")
 
 
 def weighted(sources: DataFrame, shares: tuple[int, ...]) -> DataFrame:
@@ -89,7 +89,9 @@ def placed(rows: DataFrame) -> DataFrame:
     part = F.col("part")
     drawn = (F.col("u") / (1 - F.col("u"))) / F.when(part > 0, part / (1 - part))
     bucket = F.floor(F.col("q") / (1 + F.col("q")) * F.col("buckets"))
-    return rows.withColumn("q", drawn).withColumn("bucket", F.least(F.col("buckets") - 1, bucket))
+    # "least" passes over nulls, so it is only asked where there is a rank.
+    placed_in = F.when(F.col("q").isNotNull(), F.least(F.col("buckets") - 1, bucket))
+    return rows.withColumn("q", drawn).withColumn("bucket", placed_in)
 
 
 def first_fitting(groups: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def gathered(df):
 def test_targets_and_words(spark, names):
     rows = []
     for i in range(900):
-        source = names[0] if i % 3 == 0 else names[i * i % len(names)]
+        source = names[0] if i % 3 == 0 else names[i * 7 // 3 % len(names)]
         rows.append((i, " ".join(["w"] * (1 + i * 37 % 90)), source, 5, 1.0))
     rows += [(None, None, names[-1], 1, 0.0), (7, "", names[0], 1, 0.0)] + [(5, "same again", names[0], 1, 0.0)] * 4
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, words int, part double")
@@ -51,7 +51,7 @@ def test_targets_and_words(spark, names):
         assert found[0]["target"] == pytest.approx(want[source])
         assert all(r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] for r in found)
         assert abs(sum(r["taken"] for r in found) - want[source]) <= 3
-        whole = int(want[source] // sizes[source])
+        whole = int(want[source] // sizes[source]) if sizes[source] else 0
         assert {r["copies"] for r in found} <= {whole, whole + 1}
     again = sorted(map(tuple, mix_report(docs.repartition(5)).collect()), key=repr)
     assert again == sorted(map(tuple, mix_report(docs).collect()), key=repr)
@@ -64,7 +64,7 @@ def test_large_source_is_cut_within_a_bucket(spark):
     )
     by = gathered(mixed(docs))
     for found in by.values():
-        assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 1
+        assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 3
     extra = [r for r in by["b"] if r["copies"] > min(x["copies"] for x in by["b"])]
     assert len(extra) == pytest.approx(6_000 * (by["b"][0]["target"] / by["b"][0]["source_size"] % 1), rel=0.1)
 
@@ -85,6 +85,15 @@ def test_unequal_inclusion(spark):
         assert sum(liked) / len(liked) == pytest.approx(factor * sum(others) / len(others), rel=0.2)
 
 
+def test_a_source_at_its_bound_takes_whole_copies_only(spark):
+    docs = spark.range(1_000).selectExpr("id as doc_id", "'a few words' as text", "if(id < 50, 'a', 'b') as source")
+    by = gathered(mixed(docs))
+    assert {r["copies"] for r in by["a"]} == {3} and by["a"][0]["target"] == 450.0
+    assert abs(sum(r["taken"] for r in by["b"]) - 2_550) <= 3
+    liked = docs.selectExpr("*", "CAST('NaN' AS DOUBLE) AS liked")
+    assert gathered(mixed(liked, preference="liked")).keys() == by.keys()
+
+
 def test_nothing_and_no_words(spark):
     schema = "doc_id long, text string, source string"
     assert mixed(spark.createDataFrame([], schema)).count() == 0
