@@ -57,10 +57,11 @@ def attempts(spark, sf_dir):
     return numbered.select(
         F.col("user_id").alias("prompt_id"), "attempt",
         F.concat(F.lit("x "), "props", F.lit(" y")).alias("text"),
+        "event_id", "ts",
     )
 
 
-ATTEMPTS = """(SELECT user_id AS prompt_id, regexp_extract(props, '[0-9]+')::INT AS k,
+ATTEMPTS = """(SELECT user_id AS prompt_id, event_id, regexp_extract(props, '[0-9]+')::INT AS k,
                       'x ' || props || ' y' AS text,
                       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt
                FROM events)"""

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.catalog.gates import VALID_EVENT
+from gristmill.catalog.outputs import ATTEMPTS, answer_record, attempts, small_spec
 from gristmill.catalog.registry import query, table
 from gristmill.catalog.validation import EVENTS, event_spec, events, fields
+from gristmill.functions import checks
+from gristmill.functions.prompt import extract_json_text
 from gristmill.operators.gate import gate
 from gristmill.operators.records import with_record
 from gristmill.session import scratch_path
+from gristmill.streaming.answers import answers_in_stream
 from gristmill.streaming.streams import (
     drop_copies_in_stream,
+    read_batches,
     read_gated,
     read_late,
     read_unique,
     stream_jsonl,
+    write_batches,
     write_gate,
     write_unique,
 )
@@ -108,3 +114,45 @@ def d4_stream_unique(spark, sf_dir):
 def d4_late_rows(spark, sf_dir):
     """The events that arrived behind the watermark, in a table of their own."""
     return read_late(spark, arrived(spark, sf_dir)).select("event_id", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+# The attempts of a prompt count up to this one; they arrive out of order, in batches by identifier.
+MAX_ATTEMPTS = 10
+# Longer than the events' whole time.
+SPAN_DAYS = 40
+
+
+@query(
+    f"""WITH tried AS (SELECT *, event_id % {ARRIVALS} AS batch FROM {ATTEMPTS} WHERE attempt <= {MAX_ATTEMPTS}),
+  firsts AS (SELECT *, min(attempt) FILTER (k <= 12) OVER (PARTITION BY prompt_id) AS valid FROM tried)
+  SELECT prompt_id, coalesce(min(valid), max(attempt)) AS attempt,
+         coalesce(arg_min(text, attempt) FILTER (attempt = valid), arg_max(text, attempt)) AS text,
+         min(valid) IS NOT NULL AS accepted,
+         min(valid) IS NULL AND count(*) < {MAX_ATTEMPTS} AS timed_out,
+         CASE WHEN min(valid) IS NOT NULL THEN max(batch) FILTER (attempt <= valid)
+              WHEN count(*) = {MAX_ATTEMPTS} THEN max(batch) END AS decided_in
+  FROM firsts GROUP BY prompt_id"""
+)
+def r2_stream_answers(spark, sf_dir):
+    """``best_of_n`` on a stream, with the batch in which each prompt could be answered; none at the end of its time."""
+    path, out = scratch_path(spark, "arriving"), scratch_path(spark, "answers")
+    rows = attempts(spark, sf_dir).select("event_id", "prompt_id", "attempt", "text", "ts")
+    rows.write.parquet(f"{path}-all")
+    rows = spark.read.parquet(f"{path}-all")
+    for batch in range(ARRIVALS):
+        part = rows.where(F.col("event_id") % ARRIVALS == batch)
+        part.drop("event_id").coalesce(1).write.mode("append").parquet(path)
+    # A row without an attempt, later than all by more than the delay, tells that time is up.
+    end = rows.agg((F.max("ts") + F.expr(f"INTERVAL {2 * SPAN_DAYS} DAYS")).alias("ts"))
+    columns = [F.lit(None).cast(field.dataType).alias(field.name) for field in rows.schema if field.name not in ("event_id", "ts")]
+    end.select(*columns, "ts").coalesce(1).write.mode("append").parquet(path)
+
+    schema = rows.drop("event_id").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    parsed = with_record(stream, extract_json_text(F.col("text")))
+    answers = answers_in_stream(
+        parsed, checks.schema_valid(answer_record(), small_spec()), "ts", f"{SPAN_DAYS} days", max_attempts=MAX_ATTEMPTS
+    )
+    write_batches(answers, out, f"{out}-checkpoint", available_now=True).awaitTermination()
+    decided = F.when(~F.col("timed_out"), F.col("batch_id").cast("long"))
+    return read_batches(spark, out).withColumn("decided_in", decided).drop("batch_id")

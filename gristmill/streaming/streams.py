@@ -64,10 +64,10 @@ def read_gated(spark: SparkSession, path: str) -> DataFrame | None:
     return _parts(spark, path, SnapshotLog(spark, path).current().paths)
 
 
-def _parts(spark: SparkSession, path: str, folders: list[str]) -> DataFrame | None:
+def _parts(spark: SparkSession, path: str, folders: list[str], label: str = "attempt") -> DataFrame | None:
     if not folders:
         return None
-    return spark.read.option("basePath", path).parquet(*folders).drop("attempt")
+    return spark.read.option("basePath", path).parquet(*folders).drop(label)
 
 
 def write_gate(
@@ -169,3 +169,32 @@ def read_late(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows that arrived behind the watermark, with their ``batch_id``."""
     found = _parts(spark, path, SnapshotLog(spark, path).current().paths)
     return None if found is None else found.where("late = 'true'").drop("late")
+
+
+# Not a name that rows of attempts have themselves.
+WRITTEN = "gristmill_written"
+
+
+def write_batches(
+    stream: DataFrame, path: str, checkpoint: str, *, available_now: bool = False, interval: str = "30 seconds"
+) -> StreamingQuery:
+    """Append every micro-batch to a Parquet table, with its ``batch_id``; ``read_batches`` reads it.
+
+    As in ``write_gate`` a batch becomes visible whole, by one entry of the table's log, and only once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log = SnapshotLog(batch.sparkSession, path)
+        snapshot, key = log.current(), f"batch_id={batch_id}"
+        if key in snapshot.parts:
+            return
+        folder = log.folder(key, WRITTEN)
+        batch.write.parquet(folder)
+        log.publish(snapshot, {key: {"path": folder}})
+
+    return _started(stream, write, checkpoint, available_now, interval)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that ``write_batches`` has written; None before the first batch."""
+    return _parts(spark, path, SnapshotLog(spark, path).current().paths, WRITTEN)
