@@ -14,6 +14,7 @@ from gristmill.operators.gate import gate
 from gristmill.operators.records import with_record
 from gristmill.session import scratch_path
 from gristmill.streaming.answers import answers_in_stream
+from gristmill.streaming.progress import ProgressLog, read_progress
 from gristmill.streaming.streams import (
     drop_copies_in_stream,
     read_batches,
@@ -156,3 +157,32 @@ def r2_stream_answers(spark, sf_dir):
     write_batches(answers, out, f"{out}-checkpoint", available_now=True).awaitTermination()
     decided = F.when(~F.col("timed_out"), F.col("batch_id").cast("long"))
     return read_batches(spark, out).withColumn("decided_in", decided).drop("batch_id")
+
+
+@query(
+    f"""WITH arrived AS (SELECT *, event_id % {ARRIVALS} AS batch FROM events),
+  firsts AS (SELECT user_id, event_type, min(batch) AS batch FROM arrived GROUP BY ALL)
+  SELECT a.batch AS batch_id, 'events' AS job, count(*) AS rows_in,
+         (SELECT count(*) FROM firsts f WHERE f.batch <= a.batch) AS state_rows
+  FROM arrived a GROUP BY a.batch"""
+)
+def g7_stream_progress(spark, sf_dir):
+    """What each batch of a deduplicating stream read and how many groups its state held, from the table of reports."""
+    path, out, reports = (scratch_path(spark, name) for name in ("arriving", "unique", "progress"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    for batch in range(ARRIVALS):
+        rows.where(F.col("event_id") % ARRIVALS == batch).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    digest = F.md5(F.to_json(F.struct("user_id", "event_type")))
+    unique = drop_copies_in_stream(stream, digest, "ts", f"{SPAN_DAYS} days")
+    listener = ProgressLog(spark, reports, {"job": "events"})
+    spark.streams.addListener(listener)
+    try:
+        stream = write_batches(unique, out, f"{out}-checkpoint", available_now=True)
+        stream.awaitTermination()
+        if not listener.wait(stream):
+            raise TimeoutError("the stream's last reports have not come in")
+    finally:
+        spark.streams.removeListener(listener)
+    read = read_progress(spark, reports).where("rows_in > 0")
+    return read.select("batch_id", F.col("tags")["job"].alias("job"), "rows_in", "state_rows")
