@@ -13,6 +13,7 @@ from gristmill.functions.quality import (
     passes_quality,
 )
 from gristmill.functions.record import TypedRecord, VariantRecord
+from gristmill.operators.patterns import with_patterns_found
 from gristmill.operators.quality import filter_quality, filter_rows, reject_reasons
 from gristmill.operators.records import with_record
 
@@ -132,6 +133,25 @@ def allowed_patterns(spark, sf_dir):
     return kept(spark, sf_dir, allowed_patterns=("^[A-E][a-z]+ ", "[0-9]{3,}"))
 
 
+# 500 patterns of two common words: side by side, and in every second one with a word between them.
+HEADS = "the of and to in that for it on was with by are this from de la le les des en der die den von".split()
+TAILS = "the a an his her its their these which who la el un une que et und ein nicht mit".split()
+PHRASES = [
+    f" {a} {'[a-z]+ ' if (i + j) % 2 else ''}{b} " for i, a in enumerate(HEADS) for j, b in enumerate(TAILS)
+]
+PHRASE_ROWS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES))
+
+
+@query(
+    f"""SELECT doc_id, count(p) AS n_found, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (p IS NOT NULL), '') AS found
+        FROM documents LEFT JOIN (VALUES {PHRASE_ROWS}) AS phrases(i, p) ON regexp_matches(text, p) GROUP BY doc_id"""
+)
+def q5_many_patterns(spark, sf_dir):
+    """Which of 500 patterns each document contains, told in one pass over its text."""
+    df = with_patterns_found(table(spark, sf_dir, "documents"), F.col("text"), PHRASES)
+    return df.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join("found", ",").alias("found"))
+
+
 @query("SELECT event_id FROM events WHERE value >= 25.5")
 def q7_min_score(spark, sf_dir):
     df = table(spark, sf_dir, "events")

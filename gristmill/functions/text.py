@@ -139,11 +139,22 @@ def matches(text: Column, pattern: str) -> Column:
     class, of Unicode classes. Texts lacking a character run the pattern needs are told by
     substring search alone, which is many times faster than the expression.
     """
-    carried = java_pattern(pattern)
     literal = required_literal(pattern)
-    if literal and literal == re.sub(r"\\([^\w\s])", r"\1", pattern):
+    if is_plain(pattern):
         return F.contains(text, F.lit(literal))
-    flags = "(?dU)" if re.search(r"\\[wWdDsSbB]|\(\?i", pattern) else "(?d)"
-    _check_by_jvm(flags + carried)
-    found = F.rlike(text, F.lit(flags + carried))
+    found = F.rlike(text, F.lit(java_expression(pattern)))
     return F.contains(text, F.lit(literal)) & found if literal else found
+
+
+def is_plain(pattern: str) -> bool:
+    """Whether a pattern is a text to be found as it stands."""
+    literal = required_literal(pattern)
+    return bool(literal) and literal == re.sub(r"\\([^\w\s])", r"\1", pattern)
+
+
+def java_expression(pattern: str) -> str:
+    """A pattern of Python's ``re`` for Java, with the flags it needs; refused if it cannot be carried over."""
+    flags = "(?dU)" if re.search(r"\\[wWdDsSbB]|\(\?i", pattern) else "(?d)"
+    carried = flags + java_pattern(pattern)
+    _check_by_jvm(carried)
+    return carried
