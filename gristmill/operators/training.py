@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +14,15 @@ from gristmill.functions.checks import light_valid
 from gristmill.functions.json_text import as_record, parse_record, parse_texts
 from gristmill.functions.prompt import LAYOUTS, format_input, format_output
 from gristmill.functions.record import VariantRecord
+from gristmill.session import ship_package
 from gristmill.spec import Spec
 
-# Ids of each text of a batch.
+# Ids of each of some texts.
 Tokenizer = Callable[[Sequence[str]], Sequence[Sequence[int]]]
 
+# Bytes of text that are ids at one time in a Python worker; a longer text is alone.
+SLICE_BYTES = 1 << 20
+
 
 def training_text(
     df: DataFrame, raw: str, *, layout: str = "indented", keep: Sequence[str] = ()
@@ -68,22 +73,33 @@ def tokenize(
     """``input_ids``, cut only if ``max_tokens`` is set, and ``labels`` equal to them; no padding.
 
     Without a tokenizer the tokens are the words between white space. A tokenizer is called in
-    Python with the texts of a whole batch.
+    Python with texts of ``SLICE_BYTES`` together; their ids go back to Spark before the next ones.
     """
     column = F.col(text) if isinstance(text, str) else text
     if tokenizer is None:
         words = F.array_remove(F.split(column, r"[\s\x1c-\x1f\x85\p{Z}]+"), "")
         ids = words if max_tokens is None else F.slice(words, 1, max_tokens)
     else:
+        ship_package(df.sparkSession)
 
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.ArrayType(T.LongType()))
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                known = batch.notna()
-                ids = iter(tokenizer(batch[known].tolist()) if known.any() else ())
-                yield pd.Series(
-                    [list(next(ids))[:max_tokens] if k else None for k in known], dtype="object"
-                )
+                for part in text_slices(batch):
+                    ids = iter(tokenizer(part.drop_null().to_pylist()) if part.null_count < len(part) else ())
+                    rows = [list(next(ids))[:max_tokens] if known.as_py() else None for known in part.is_valid()]
+                    yield pa.array(rows, pa.list_(pa.int64()))
 
         ids = encode(column)
     return df.select(*keep, ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))
+
+
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``SLICE_BYTES`` together, one at least."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+    start = 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(ends.searchsorted(done + SLICE_BYTES, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop

@@ -21,7 +21,7 @@ from gristmill.operators.conformance import (
     generate_broken,
 )
 from gristmill.operators.schema import as_table, fill_defaults, read_as, route, table_schema
-from gristmill.operators.training import output_conforms, pair_columns, tokenize, training_text
+from gristmill.operators.training import SLICE_BYTES, output_conforms, pair_columns, tokenize, training_text
 from gristmill.spec import Spec
 
 
@@ -159,6 +159,17 @@ def test_tokenize(spark):
     assert tokenize(rows, "t").columns == ["input_ids", "labels"]
 
 
+def test_tokenizer_gets_texts_of_bounded_size(spark):
+    """Whatever Spark's batches hold, a tokenizer's ids are made for a few texts at a time."""
+    lengths = [400_000, 300_000, None, 300_000, 300_000, 2_500_000, 0, None, 1_100_000, 5]
+    rows = [(n, None if size is None else "x" * size) for n, size in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "n int, t string").coalesce(1)
+    sizes = tokenize(df, "t", lambda texts: [[len(t), sum(map(len, texts))] for t in texts], keep=["n"])
+    got = {r.n: r.input_ids for r in sizes.collect()}
+    assert {n: ids and ids[0] for n, ids in got.items()} == dict(enumerate(lengths))
+    assert all(ids is None or ids[1] <= max(ids[0], SLICE_BYTES) for ids in got.values())
+
+
 def test_pair_columns(spark):
     row = spark.range(1).select(pair_columns({"q": F.lit("Q"), "r": F.lit("R")}, F.lit("{}"))).first()
     assert row[0] == "q: Q\nr: R\n{}"
