@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gristmill.catalog.gates import VALID_EVENT
@@ -121,6 +123,8 @@ def d4_late_rows(spark, sf_dir):
 MAX_ATTEMPTS = 10
 # Longer than the events' whole time.
 SPAN_DAYS = 40
+# A batch arrives as files of about so many rows, which tasks share.
+ROWS_PER_FILE = 100_000
 
 
 @query(
@@ -138,18 +142,21 @@ def r2_stream_answers(spark, sf_dir):
     """``best_of_n`` on a stream, with the batch in which each prompt could be answered; none at the end of its time."""
     path, out = scratch_path(spark, "arriving"), scratch_path(spark, "answers")
     rows = attempts(spark, sf_dir).select("event_id", "prompt_id", "attempt", "text", "ts")
-    rows.write.parquet(f"{path}-all")
+    rows.withColumn("batch", F.col("event_id") % ARRIVALS).write.partitionBy("batch").parquet(f"{path}-all")
     rows = spark.read.parquet(f"{path}-all")
+    # All batches have as many files, none of them empty: rows are dealt out in turn, and the least batch has enough.
+    counts = {row["batch"]: row["count"] for row in rows.groupBy("batch").count().collect()}
+    files = max(1, math.ceil(min(counts.get(batch, 0) for batch in range(ARRIVALS)) / ROWS_PER_FILE))
     for batch in range(ARRIVALS):
-        part = rows.where(F.col("event_id") % ARRIVALS == batch)
-        part.drop("event_id").coalesce(1).write.mode("append").parquet(path)
+        part = rows.where(F.col("batch") == batch)
+        part.drop("event_id", "batch").repartition(files).write.mode("append").parquet(path)
     # A row without an attempt, later than all by more than the delay, tells that time is up.
     end = rows.agg((F.max("ts") + F.expr(f"INTERVAL {2 * SPAN_DAYS} DAYS")).alias("ts"))
-    columns = [F.lit(None).cast(field.dataType).alias(field.name) for field in rows.schema if field.name not in ("event_id", "ts")]
+    columns = [F.lit(None).cast(field.dataType).alias(field.name) for field in rows.schema if field.name not in ("event_id", "ts", "batch")]
     end.select(*columns, "ts").coalesce(1).write.mode("append").parquet(path)
 
-    schema = rows.drop("event_id").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    schema = rows.drop("event_id", "batch").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     parsed = with_record(stream, extract_json_text(F.col("text")))
     answers = answers_in_stream(
         parsed, checks.schema_valid(answer_record(), small_spec()), "ts", f"{SPAN_DAYS} days", max_attempts=MAX_ATTEMPTS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +17,16 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 from gristmill.session import ship_package
 from gristmill.streaming.streams import STATE_STORE
 
-# One prompt: bounds of the runs of attempts seen, the texts that may still be the answer, the latest time.
-STATE = "seen array<long>, valid_attempt long, valid_text string, last_text string, latest long, answered boolean"
+# The prompts of a bucket, as JSON: of each the bounds of the runs of attempts seen, the texts that may still be the
+# answer, the latest time, whether it is answered, and when its time is up.
+STATE = "prompts string"
+UNSEEN = ([], None, None, None, -1, False, -1)
+
+# A call for a group costs milliseconds, whatever it holds, so that prompts share this many groups.
+BUCKETS = 4_096
+
+# Prompts of any type travel as JSON that gives back the same value.
+EXACT = {f"{kind}Format": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + zone for kind, zone in (("timestamp", "XXX"), ("timestampNTZ", ""))}
 
 # Stand for "no valid attempt in this run" and "no time"; not null, so that pandas keeps whole numbers.
 NO_ATTEMPT = -(2**63)
@@ -35,6 +44,7 @@ def answers_in_stream(
     text: str = "text",
     first_attempt: int = 1,
     max_attempts: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``best_of`` on attempts that arrive in any order: one answer per prompt, as soon as it is certain.
 
@@ -50,30 +60,34 @@ def answers_in_stream(
     then nothing.
 
     Each task first reduces its rows to runs of consecutive attempts with at most two texts, so a prompt with a
-    large part of all rows sends little to the task that keeps its state.
+    large part of all rows sends little to the task that keeps its state. Prompts are dealt into ``buckets``
+    by hash; a bucket is one row of state, read and written when one of its prompts gets an attempt. The
+    number has to stay the same for a checkpoint.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     ship_package(spark)
     judged = stream.select(
-        F.col(prompt).alias("prompt"),
+        F.to_json(F.struct(F.col(prompt).alias("prompt")), EXACT).alias("prompt"),
         F.col(attempt).cast("long").alias("attempt"),
         F.col(text).cast("string").alias("text"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
         F.col(event_time).cast("timestamp").alias("time"),
     )
-    kind = judged.schema["prompt"].dataType
+    kind = stream.select(F.col(prompt).alias("prompt")).schema
     runs = StructType([
-        StructField("prompt", kind),
+        StructField("prompt", StringType()),
         *(StructField(name, LongType()) for name in ("start", "stop", "valid_attempt", "millis")),
         *(StructField(name, StringType()) for name in ("valid_text", "last_text")),
         StructField("time", TimestampType()),
     ])
-    answer = StructType([StructField("prompt", kind), *_fields("attempt long, text string, accepted boolean, timed_out boolean")])
+    answer = StructType(_fields("prompt string, attempt long, text string, accepted boolean, timed_out boolean"))
     reduced = judged.mapInArrow(_reducer(max_attempts), runs).withWatermark("time", delay)
-    chosen = reduced.groupBy("prompt").applyInPandasWithState(
+    dealt = reduced.withColumn("bucket", F.pmod(F.xxhash64("prompt"), F.lit(buckets)))
+    chosen = dealt.groupBy("bucket").applyInPandasWithState(
         _chooser(first_attempt, max_attempts), answer, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    chosen = chosen.withColumn("prompt", F.from_json("prompt", kind, EXACT)["prompt"])
     return chosen.withColumnsRenamed({"prompt": prompt, "attempt": attempt, "text": text})
 
 
@@ -97,10 +111,10 @@ def _reducer(max_attempts: int | None) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def _only_time(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row without attempts at the latest time of a batch."""
+    """One row with an empty run at the latest time of a batch; no numbers are null, so that pandas keeps them whole."""
     latest = pa.array([pc.max(batch["time"]).as_py()], batch["time"].type)
-    nothing, none = pa.nulls(1, pa.int64()), pa.nulls(1, pa.string())
-    columns = [pa.nulls(1, batch["prompt"].type), nothing, nothing, nothing, nothing, none, none, latest]
+    numbers = [pa.array([n], pa.int64()) for n in (0, -1, NO_ATTEMPT, NO_TIME)]
+    columns = [pa.nulls(1, batch["prompt"].type), *numbers, *[pa.nulls(1, pa.string())] * 2, latest]
     return pa.RecordBatch.from_arrays(columns, names=RUN_COLUMNS)
 
 
@@ -156,50 +170,61 @@ def joined(seen: list[int], more: list[tuple[int, int]]) -> list[int]:
 
 
 def _chooser(first_attempt: int, max_attempts: int | None) -> Callable:
-    def answer(key: tuple, attempt: int, text: str | None, accepted: bool, timed_out: bool) -> pd.DataFrame:
-        row = {"prompt": [key[0]], "attempt": [attempt], "text": [text], "accepted": [accepted]}
-        return pd.DataFrame(row | {"timed_out": [timed_out]})
-
-    def choose(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seen, valid, valid_text, last_text, _, answered = state.get
-            state.remove()
-            if not answered:
-                found = valid is not None
-                yield answer(key, valid if found else seen[-1], valid_text if found else last_text, found, True)
-            return
-        seen, valid, valid_text, last_text, latest, answered = state.get if state.exists else ([], None, None, None, NO_TIME, False)
-        seen = list(seen)
-        for part in parts:
-            part = part[part["start"].notna()]
-            if not len(part):
-                continue
-            latest = max(latest, int(part["millis"].max()))
-            runs = [(int(a), int(b)) for a, b in zip(part["start"], part["stop"], strict=True)]
-            if not answered:
-                best = _first_valid(part)
-                if best is not None and (valid is None or _before(best, (valid, valid_text))):
-                    valid, valid_text = best
-                stop = max(b for _, b in runs)
-                if not seen or stop >= seen[-1]:
-                    ends = [_text(t) for t, (_, b) in zip(part["last_text"], runs, strict=True) if b == stop]
-                    ends += [last_text] if seen and stop == seen[-1] else []
-                    last_text = min(ends, key=_order)
-            seen = joined(seen, runs)
-        if not seen:
-            return
+    names = ["prompt", "attempt", "text", "accepted", "timed_out"]
+
+    def take(kept: list, runs: list[tuple]) -> tuple[list, tuple | None]:
+        """A prompt's state with more runs of attempts, and its answer if that is certain now."""
+        seen, valid, valid_text, last_text, latest, answered, _ = kept
+        bounds = [(start, stop) for start, stop, *_ in runs]
+        latest = max(latest, *(millis for _, _, _, millis, _, _ in runs))
+        out = None
+        if not answered:
+            found = [(n, _text(t)) for _, _, n, _, t, _ in runs if n != NO_ATTEMPT]
+            found += [(valid, valid_text)] if valid is not None else []
+            valid, valid_text = min(found, key=lambda f: (f[0], _order(f[1])), default=(None, None))
+            stop = max(b for _, b in bounds)
+            if not seen or stop >= seen[-1]:
+                ends = [_text(t) for _, b, _, _, _, t in runs if b == stop]
+                ends += [last_text] if seen and stop == seen[-1] else []
+                last_text = min(ends, key=_order)
+        seen = joined(seen, bounds)
         if not answered:
             upto = seen[1] if seen[0] <= first_attempt else first_attempt - 1
             if valid is not None and valid <= upto:
-                answered = True
-                yield answer(key, valid, valid_text, True, False)
+                out = (valid, valid_text, True, False)
             elif valid is None and max_attempts is not None and upto >= max_attempts:
-                answered = True
-                yield answer(key, seen[-1], last_text, False, False)
+                out = (seen[-1], last_text, False, False)
+            answered = out is not None
         if answered:
             valid, valid_text, last_text = None, None, None
-        state.update((seen, valid, valid_text, last_text, latest, answered))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), latest) + 1)
+        return [seen, valid, valid_text, last_text, latest, answered, None], out
+
+    def choose(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        prompts = json.loads(state.get[0]) if state.exists else {}
+        runs: dict[str, list[tuple]] = {}
+        for part in () if state.hasTimedOut else parts:
+            for prompt, *run in zip(*(part[name].tolist() for name in RUN_COLUMNS[:-1]), strict=True):
+                if run[0] <= run[1]:
+                    runs.setdefault(prompt, []).append(run)
+        answers = []
+        for prompt, more in runs.items():
+            kept, out = take(prompts.get(prompt, UNSEEN), more)
+            kept[-1] = max(mark, kept[-3]) + 1
+            prompts[prompt] = kept
+            answers += [(prompt, *out)] if out else []
+        for prompt in [prompt for prompt, kept in prompts.items() if kept[-1] < mark]:
+            seen, valid, valid_text, last_text, _, answered, _ = prompts.pop(prompt)
+            found = valid is not None
+            if not answered:
+                answers.append((prompt, valid if found else seen[-1], valid_text if found else last_text, found, True))
+        if prompts:
+            state.update((json.dumps(prompts),))
+            state.setTimeoutTimestamp(max(mark, min(kept[-1] for kept in prompts.values())))
+        elif state.exists:
+            state.remove()
+        if answers:
+            yield pd.DataFrame(answers, columns=names)
 
     return choose
 
@@ -210,13 +235,3 @@ def _text(value: object) -> str | None:
 
 def _order(text: str | None) -> tuple[bool, str]:
     return text is None, text or ""
-
-
-def _before(a: tuple[int, str | None], b: tuple[int, str | None]) -> bool:
-    return (a[0], _order(a[1])) < (b[0], _order(b[1]))
-
-
-def _first_valid(part: pd.DataFrame) -> tuple[int, str | None] | None:
-    found = part[part["valid_attempt"] != NO_ATTEMPT]
-    pairs = [(int(n), _text(t)) for n, t in zip(found["valid_attempt"], found["valid_text"], strict=True)]
-    return min(pairs, key=lambda p: (p[0], _order(p[1])), default=None)

@@ -4,8 +4,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from compare import compare, connect
 from pyspark.sql import functions as F
 
+from gristmill.catalog import load
+from gristmill.catalog import streams as catalog_streams
 from gristmill.streaming.answers import NO_ATTEMPT, NO_TIME, answers_in_stream, joined, runs_of
 from gristmill.streaming.streams import read_batches, write_batches
 
@@ -117,3 +120,58 @@ def test_one_hot_prompt_null_prompts_and_repeated_numbers(spark, tmp_path):
         spark, tmp_path / "null", [first, [(None, None, None, None, "2024-01-01 13:00")]]
     )
     assert out == [(0, 1, "b", True, False), (9, 3_000, "t3000", True, False), (None, 2, "", False, True)]
+
+
+def all_answers(spark, path, batches, **options):
+    """As ``run``, for prompts that may be null."""
+    source, out = str(path / "in"), str(path / "out")
+    for rows in batches:
+        df = spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA.replace("ts timestamp", "ts string"))
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        answers = answers_in_stream(stream, F.col("ok"), "ts", "1 hour", **options)
+        write_batches(answers, out, str(path / "cp"), available_now=True).awaitTermination()
+    return sorted((tuple(r)[:5] for r in read_batches(spark, out).collect()), key=repr)
+
+
+def test_prompts_that_share_a_bucket_keep_their_own_time(spark, tmp_path):
+    """One bucket for all: answers, marks and times of prompts are apart, also beside rows that only move the time."""
+    batches = [
+        [
+            (BIG + 1, 1, "first", False, "2024-01-01 10:00"), (BIG + 2, 2, "early", True, "2024-01-01 10:00"),
+            (None, 1, "nobody", False, "2024-01-01 11:10"), (3, 1, "good", True, "2024-01-01 10:00"), (4, 9, "beyond", True, None),
+        ],
+        # Prompts BIG + 1, BIG + 2 and 3 are over, without rows of theirs; the null one and 5 are not.
+        [(5, 2, "five", True, "2024-01-01 12:00"), (None, 2, None, True, "2024-01-01 11:20")],
+        [(BIG + 1, 1, "anew", True, "2024-01-01 12:30"), (None, None, None, None, "2024-01-01 12:20")],
+        [(None, None, None, None, "2024-01-01 16:00")],
+    ]
+    want = [
+        (BIG + 1, 1, "anew", True, False), (BIG + 1, 1, "first", False, True), (BIG + 2, 2, "early", True, True),
+        (3, 1, "good", True, False), (5, 2, "five", True, True), (None, 2, None, True, False),
+    ]
+    for buckets in (1, 4_096):
+        got = all_answers(spark, tmp_path / str(buckets), batches, max_attempts=4, buckets=buckets)
+        assert got == sorted(want, key=repr)
+
+
+def test_state_has_a_row_for_a_bucket_not_for_a_prompt(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "prompt_id string, attempt int, text string, ok boolean, ts timestamp"
+    rows = spark.range(500).select(
+        F.concat(F.lit('"é\\ '), "id").alias("prompt_id"), F.lit(1).alias("attempt"), F.lit("x").alias("text"),
+        (F.col("id") % 2 == 0).alias("ok"), F.current_timestamp().alias("ts"),
+    )
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    answers = answers_in_stream(stream, F.col("ok"), "ts", "1 hour", buckets=8)
+    query = write_batches(answers, str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 8
+    answered = read_batches(spark, str(tmp_path / "out")).select("prompt_id", "accepted").collect()
+    assert sorted(answered) == sorted((f'"é\\ {n}', True) for n in range(0, 500, 2))
+
+
+def test_a_batch_of_many_files_stays_one_batch(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalog_streams, "ROWS_PER_FILE", 20)
+    name = "r2_stream_answers"
+    assert compare(spark, connect(sf_dir), catalog_streams.r2_stream_answers, load().ORACLES[name], sf_dir) is None
