@@ -11,17 +11,21 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.json_text import RECORD_TYPE, parse_records
 from gristmill.functions.text import strip
 from gristmill.operators.records import with_record
+from gristmill.session import ship_package
 from gristmill.sources.ranges import addressed_lines, array_elements
 
 SCAN_ORDER = ["src_rank", "path", "offset"]
 
+# Characters of YAML records that go back to Spark together.
+PART_CHARS = 1 << 20
+
 # The corpus formats in scan order, and the extensions of text files.
 CORPUS_PATTERNS = {
     "json": "*.json",
@@ -142,33 +146,80 @@ def read_yaml_list(
     recursive: bool = False,
     on_bad: str = "fail",
 ) -> DataFrame:
-    """Files that each hold one YAML list of mappings; a file is parsed by one Python task."""
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
+    """Files that each hold one YAML list of mappings; a file is parsed by one Python task, item by item."""
+    ship_package(spark)
 
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    items = yaml.load(content, Loader=loader)
-                except (yaml.YAMLError, UnicodeDecodeError):
-                    # One unreadable record: its text is no JSON object.
-                    text = "!unreadable " + bytes(content).decode(errors="replace")
-                    yield pd.DataFrame({"path": name, "pos": [0], "raw": [text]})
-                    continue
-                items = items if isinstance(items, list) else [items]
-                texts = [json.dumps(item, ensure_ascii=False, default=str) for item in items]
-                yield pd.DataFrame({"path": name, "pos": range(len(texts)), "raw": texts})
+                texts = yaml_texts(content.as_buffer())
+                for start, part in text_parts(texts):
+                    columns = [pa.array([name.as_py()] * len(part)), pa.array(range(start, start + len(part))), pa.array(part)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "pos", "raw"])
 
     files = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
-    rows = files.select("path", "content").mapInPandas(
+    rows = files.select("path", "content").mapInArrow(
         records, "path string, pos long, raw string"
     )
     found = rows.select("raw", "path", F.col("pos").alias("offset"))
     return _check(with_record(found), on_bad, "YAML record")
 
 
+def yaml_texts(content: pa.Buffer) -> list[str]:
+    """The JSON texts of a YAML file's items; one that is no JSON object, if the file cannot be read."""
+    import yaml
+
+    try:
+        return [json.dumps(item, ensure_ascii=False, default=str) for item in _yaml_items(content)]
+    except (yaml.YAMLError, UnicodeDecodeError):
+        return ["!unreadable " + content.to_pybytes().decode(errors="replace")]
+
+
+def _yaml_items(content: pa.Buffer) -> Iterator[object]:
+    """What ``yaml.load`` finds in a file, but only one item of its list is there at a time."""
+    import yaml
+
+    base = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+    # Composes nodes from single events, which the C parser alone does for whole documents.
+    class ItemLoader(*([] if base is yaml.SafeLoader else [yaml.composer.Composer]), base):
+        def __init__(self, stream):
+            base.__init__(self, stream)
+            yaml.composer.Composer.__init__(self)
+
+    loader = ItemLoader(pa.BufferReader(content))
+    try:
+        loader.get_event()
+        if loader.check_event(yaml.StreamEndEvent):
+            yield None
+            return
+        loader.get_event()
+        first = loader.peek_event()
+        if isinstance(first, yaml.SequenceStartEvent) and first.implicit and first.anchor is None:
+            loader.get_event()
+            while not loader.check_event(yaml.SequenceEndEvent):
+                yield loader.construct_document(loader.compose_node(None, None))
+            loader.get_event()
+        else:
+            value = loader.construct_document(loader.compose_node(None, None))
+            yield from value if isinstance(value, list) else [value]
+        loader.get_event()
+        if not loader.check_event(yaml.StreamEndEvent):
+            raise yaml.composer.ComposerError(problem="expected a single document in the stream")
+    finally:
+        loader.dispose()
+
+
+def text_parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about ``PART_CHARS`` characters, and the number of the first."""
+    start, size = 0, 0
+    for place, text in enumerate(texts):
+        size += len(text)
+        if size >= PART_CHARS or place == len(texts) - 1:
+            yield start, texts[start : place + 1]
+            start, size = place + 1, 0
+
+
 READERS = {
     "json": read_json_array,
     "jsonl": read_jsonl,

@@ -1,8 +1,11 @@
 import hashlib
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from gristmill.functions.record import VariantRecord
@@ -19,6 +22,8 @@ from gristmill.sources.files import (
     read_yaml_list,
     scan_corpus,
     split_unreadable,
+    text_parts,
+    yaml_texts,
 )
 from gristmill.sources.sinks import append_lines, write_jsonl, write_lines
 
@@ -311,3 +316,53 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == base
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first.startswith(base) and first != second
+
+
+YAML_TEXTS = [
+    b"", b"# nothing\n", b"- a\n---\n- b\n", b"just", b"a: 1", b"- &x {a: 1}\n- *x\n- <<: *x\n  b: 2\n- <<: *x\n", b"&r\n- 1\n- 2\n",
+    b"!!omap\n- a: 1\n- b: 2\n", b"!!set {a, b}", b"!!seq [1, 2]", b"- a: [\n", b"- *u\n", b"- &a 1\n- &a 2\n- *a\n", b"- \xff",
+    b"\xff\xfe-\x00 \x00a\x00", b"- !!python/object:os.system x\n", b"- 2024-01-01\n- 1e3\n- 0x1f\n- ~\n", b"[]", b"-\n-\n",
+    b"%YAML 1.1\n---\n- a\n", b"- a\n- |\n  x\n  - y\n- \"p\n\n  q\"\n", b"- {a: 1, a: 2}\n- ? [1,2]\n  : 3\n", b"!foo [1]",
+]
+
+
+def whole_yaml(content):
+    try:
+        items = yaml.load(content, Loader=yaml.CSafeLoader)
+    except yaml.YAMLError:
+        return ["!unreadable " + content.decode(errors="replace")]
+    return [json.dumps(i, ensure_ascii=False, default=str) for i in (items if isinstance(items, list) else [items])]
+
+
+@pytest.mark.parametrize("content", YAML_TEXTS)
+def test_yaml_items_are_those_of_the_whole_file(content):
+    def result(function, *arguments):
+        try:
+            return function(*arguments)
+        except TypeError:
+            return "no JSON"
+
+    assert result(yaml_texts, pa.py_buffer(content)) == result(whole_yaml, content)
+
+
+def test_a_yaml_file_is_never_there_as_objects_as_a_whole():
+    content = "".join(f"- {{id: {n}, tags: [a, b, c], more: {{x: {n}}}}}\n" for n in range(5_000)).encode()
+
+    def peak(function, argument):
+        tracemalloc.start()
+        try:
+            function(argument)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert yaml_texts(pa.py_buffer(content)) == whole_yaml(content)
+    assert 5 * peak(yaml_texts, pa.py_buffer(content)) < peak(whole_yaml, content)
+
+
+def test_yaml_records_go_back_in_parts(spark, tmp_path):
+    texts = ["a" * 700_000, "b", "c" * 400_000, "d" * 2_000_000, "e"]
+    assert [(n, len(part)) for n, part in text_parts(texts)] == [(0, 3), (3, 1), (4, 1)]
+    (tmp_path / "x.yaml").write_text("".join(f"- {{id: {n}, text: {text}}}\n" for n, text in enumerate(texts)))
+    scan = read_yaml_list(spark, str(tmp_path)).withColumn("src_rank", F.lit(0))
+    assert ids(scan) == [0, 1, 2, 3, 4] and [r.offset for r in scan.orderBy("offset").collect()] == [0, 1, 2, 3, 4]
