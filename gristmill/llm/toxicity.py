@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import (
+    RESULT_ROWS,
     Remembered,
     alphanumeric_words,
     kept_rows,
@@ -60,17 +61,17 @@ def hashed_terms(word: bytes) -> bytes:
 WORD_TERMS = Remembered(hashed_terms)
 
 
-def term_places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) of every term in the order of the texts, repeats included."""
-    words = [alphanumeric_words(t) for t in texts]
-    terms = b"".join(WORD_TERMS[w] for ws in words for w in ws)
-    each = [len(w) * (1 + len(STEMS)) for w in words]
-    return np.repeat(np.arange(len(texts), dtype=np.int64), each), np.frombuffer(terms, np.uint32)
+def distinct_terms(texts: list[bytes | None], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) of the distinct terms of each text, or of those among some (by term), in order.
 
-
-def distinct_terms(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((text << HASH_BITS) | term.astype(np.int64))
-    return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
+    Text by text, as the words and repeated terms of a whole block take a multiple of its bytes.
+    """
+    held = []
+    for data in texts:
+        term = np.frombuffer(b"".join(map(WORD_TERMS.__getitem__, alphanumeric_words(data))), np.uint32)
+        held.append(np.unique(term if among is None else term[among[term]]))
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in held])
+    return text, np.concatenate([np.zeros(0, np.uint32), *held])
 
 
 def known_terms(names: np.ndarray) -> np.ndarray:
@@ -98,9 +99,7 @@ class Machine:
         return self.bias + linear + ((sums**2).sum(axis=1) - squares) / 2, sums
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        text, term = term_places(texts)
-        used = known_terms(self.terms)[term]
-        text, term = distinct_terms(text[used], term[used])
+        text, term = distinct_terms(texts, known_terms(self.terms))
         return logistic(self.raw(text, np.searchsorted(self.terms, term), len(texts))[0])
 
 
@@ -156,10 +155,12 @@ def chosen_terms(sample: DataFrame) -> np.ndarray:
     """
 
     def count(held):
-        text, term = distinct_terms(*term_places([data for _, _, data in held]))
+        text, term = distinct_terms([data for _, _, data in held])
         names, at = np.unique(term, return_inverse=True)
         labels = np.array([label for _, label, _ in held], dtype=float)[text]
-        return zip(names.tolist(), np.bincount(at).tolist(), np.bincount(at, labels).tolist(), strict=True)
+        counts = names, np.bincount(at), np.bincount(at, labels)
+        for i in range(0, len(names), RESULT_ROWS):
+            yield from zip(*(x[i : i + RESULT_ROWS].tolist() for x in counts), strict=True)
 
     n, positive = sample.agg(F.count("*"), F.sum("label")).first()
     if not positive or positive == n:
@@ -191,9 +192,7 @@ def learnt(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     names = chosen_terms(sample)
 
     def use(held):
-        text, term = term_places([data for _, _, data in held])
-        used = known_terms(names)[term]
-        text, term = distinct_terms(text[used], term[used])
+        text, term = distinct_terms([data for _, _, data in held], known_terms(names))
         at = np.searchsorted(names, term).astype("<i4")
         ends = np.searchsorted(text, np.arange(len(held) + 1))
         for (doc, label, _), i, j in zip(held, ends[:-1], ends[1:], strict=True):

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -46,3 +47,21 @@ def test_odd_rows(spark, nasty, nothing, repeated, texts):
     assert {r["predicted"] for r in op.toxicity(repeated, none).collect()} == {0}
     assert op.toxicity(repeated, labels).count() == repeated.count()
     assert [r["held_out"] for r in op.toxicity(repeated, none).collect() if r["doc_id"] is None] == [True] * 3
+
+
+def test_terms_of_a_block_take_little_memory():
+    """A block took 17 times its bytes in lists of words and copies of repeated terms."""
+    rng = np.random.default_rng(0)
+    texts = [b" ".join(b"word%d" % i for i in rng.integers(0, 5_000, 300)) for _ in range(1_500)]
+    op.WORD_TERMS.update((b"word%d" % i, op.hashed_terms(b"word%d" % i)) for i in range(5_000))
+    tracemalloc.start()
+    text, term = op.distinct_terms([*texts, None, b"", b"a a a"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 * sum(map(len, texts))
+    assert (np.diff(text.astype(np.int64) << 32 | term) > 0).all()
+    assert text[-1] == len(texts) + 2 and len(texts) not in text
+    some = op.known_terms(np.unique(term)[::2])
+    place = op.distinct_terms(texts, some)
+    held = some[term] & (text < len(texts))
+    assert np.array_equal(place[0], text[held]) and np.array_equal(place[1], term[held])
