@@ -12,6 +12,7 @@ one word longer on either side. Each level reads the annotated stream of the lev
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import MULTIPLIER, mix, ship_package, staged, text_bytes
+from gristmill.llm.common import (
+    MULTIPLIER,
+    give_back,
+    mix,
+    ship_package,
+    small_batches,
+    staged,
+    text_bytes,
+)
 from gristmill.llm.screens import Screen, screen
 
 LONGEST = 4
@@ -32,12 +41,16 @@ SCALE = 2_000_000
 TOP = 2_000
 NO_LANGUAGE = "und"
 
-# Bytes of text that a task counts at a time.
-BLOCK_BYTES = 6 << 20
+# Bytes of text that a task counts at a time, and that are a list of words at a time.
+BLOCK_BYTES, PART_BYTES = 6 << 20, 1 << 18
+
+# Rows of counts that go back to Spark at a time.
+ROWS_BACK = 1 << 14
 
 # Ends of pieces become a full stop, A-Z lower case; tabs and blanks part words.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 PIECES = bytes(0x2E if b in ENDS else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+BETWEEN = re.compile(b"[\x20\x09" + ENDS + b"]")
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -45,8 +58,18 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(PIECES).replace(b".", b" . ").split()
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
-    """Tokens by language, of a bounded amount of text at a time; texts end with a full stop."""
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about ``PART_BYTES``, cut between words; their tokens are those of the text."""
+    first = 0
+    while first < len(text):
+        cut = BETWEEN.search(text, first + PART_BYTES)
+        last = cut.start() if cut else len(text)
+        yield text[first:last]
+        first = last
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, bytes]]:
+    """Texts by language, a bounded amount at a time, with a full stop between them."""
     held, size = {}, 0
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -55,10 +78,10 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]
             held.setdefault(lang.as_py(), []).append(text)
             size += len(text)
             if size >= BLOCK_BYTES:
-                yield {k: tokens(b".".join(v)) for k, v in held.items()}
+                yield {k: b".".join(v) for k, v in held.items()}
                 held, size = {}, 0
     if held:
-        yield {k: tokens(b".".join(v)) for k, v in held.items()}
+        yield {k: b".".join(v) for k, v in held.items()}
 
 
 def language_seed(lang: str) -> np.uint64:
@@ -76,12 +99,17 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 class Coded:
-    """The tokens of a block in one language: local numbers, and which words may be frequent."""
+    """The tokens of a block in one language: local numbers, and which words may be frequent.
 
-    def __init__(self, found: list[bytes], lang: str, words: Screen):
-        listed = pa.array(found, type=pa.binary()).dictionary_encode()
-        self.words = listed.dictionary
-        self.ids = listed.indices.to_numpy().astype(np.int64)
+    Only the words of one part are Python objects at a time; the block has a number for each.
+    """
+
+    def __init__(self, text: bytes, lang: str, words: Screen):
+        listed = pa.chunked_array(
+            [pa.array(tokens(part), type=pa.binary()).dictionary_encode() for part in parts_of(text)]
+        ).unify_dictionaries()
+        self.words = listed.chunk(0).dictionary
+        self.ids = np.concatenate([part.indices.to_numpy() for part in listed.chunks]).astype(np.int64)
         own = word_hashes(self.words, lang)
         good = words.passes(own)
         good[np.array([w == b"." for w in self.words.to_pylist()], dtype=bool)] = False
@@ -90,15 +118,18 @@ class Coded:
 
 
 def mapped(docs: DataFrame, schema: str, work: Callable) -> DataFrame:
-    """Apply ``work(language, tokens)``, which gives lists of columns, to blocks of text."""
+    """Apply ``work(language, text)``, which gives lists of columns, to blocks of text."""
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            for lang, found in block.items():
-                for columns in work(lang, found):
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lang, text in block.items():
+                for columns in work(lang, text):
+                    counted = pa.RecordBatch.from_arrays(columns, names=names)
+                    yield from (counted.slice(i, ROWS_BACK) for i in range(0, counted.num_rows, ROWS_BACK))
+        give_back()
 
+    small_batches(docs.sparkSession)
     ship_package(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
@@ -110,8 +141,10 @@ def same(value: str, n: int) -> pa.Array:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, phrase, f`` of every word; ``docs`` has ``lang`` and the text's bytes."""
 
-    def work(lang: str, found: list[bytes]) -> Iterator[list]:
-        counts = Counter(found)
+    def work(lang: str, text: bytes) -> Iterator[list]:
+        counts = Counter()
+        for part in parts_of(text):
+            counts.update(tokens(part))
         counts.pop(b".", None)
         yield [
             same(lang, len(counts)),
@@ -127,8 +160,8 @@ def pair_counts(docs: DataFrame, words: Screen) -> DataFrame:
     """``pair, f``: hashes of pairs of words that may be frequent, with the sum of their counts."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def work(lang: str, found: list[bytes]) -> Iterator[list]:
-        block = Coded(found, lang, sent.value)
+    def work(lang: str, text: bytes) -> Iterator[list]:
+        block = Coded(text, lang, sent.value)
         pairs, counts = np.unique(pair_hashes(block.hashes)[block.pair_at], return_counts=True)
         yield [pa.array(pairs.view(np.int64)), pa.array(counts.astype(np.int64))]
 
@@ -139,9 +172,9 @@ def long_counts(docs: DataFrame, words: Screen, pairs: Screen, longest: int) ->
     """``lang, n, phrase, f``: exact counts of phrases in which every pair passes its screen."""
     sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
-    def work(lang: str, found: list[bytes]) -> Iterator[list]:
+    def work(lang: str, text: bytes) -> Iterator[list]:
         frequent, paired = sent.value
-        block = Coded(found, lang, frequent)
+        block = Coded(text, lang, frequent)
         at = np.nonzero(block.pair_at)[0]
         at = at[paired.passes(pair_hashes(block.hashes)[at])]
         ids, names = block.ids, block.words.cast(pa.string())
@@ -155,14 +188,18 @@ def long_counts(docs: DataFrame, words: Screen, pairs: Screen, longest: int) ->
             codes, first, inverse, counts = np.unique(
                 (number[at] << 32) | ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True
             )
-            parts = [names.take(pa.array(ids[at[first] + i])) for i in range(n)]
-            yield [
-                same(lang, len(codes)),
-                pa.array(np.full(len(codes), n, dtype=np.int32)),
-                pc.binary_join_element_wise(*parts, " "),
-                pa.array(counts.astype(np.int64)),
-            ]
             number[at] = inverse
+            places = at[first]
+            del codes, first, inverse
+            for i in range(0, len(places), ROWS_BACK):
+                some = places[i : i + ROWS_BACK]
+                parts = [names.take(pa.array(ids[some + k])) for k in range(n)]
+                yield [
+                    same(lang, len(some)),
+                    pa.array(np.full(len(some), n, dtype=np.int32)),
+                    pc.binary_join_element_wise(*parts, " "),
+                    pa.array(counts[i : i + ROWS_BACK].astype(np.int64)),
+                ]
             # One word more: the pair that it ends has to pass as well.
             at = at[good[at + n - 1]]
 
@@ -252,18 +289,13 @@ def collocations(
 def hashed_words(frequent: DataFrame) -> Screen:
     """A screen of the frequent words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by_lang = {}
-            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(word.encode())
-            for lang, words in by_lang.items():
-                hashes = word_hashes(pa.array(words, type=pa.binary()), lang)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["word"])
-
-    ship_package(frequent.sparkSession)
-    hashes = frequent.select("lang", "phrase").mapInArrow(run, "word long")
-    return screen(hashes, "word", frequent.count(), 1)
+    def hashed(batch: pa.RecordBatch) -> np.ndarray:
+        by_lang = {}
+        for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by_lang.setdefault(lang, []).append(word.encode())
+        return np.concatenate([word_hashes(pa.array(w, type=pa.binary()), lang) for lang, w in by_lang.items()])
+
+    return screen(frequent, ["lang", "phrase"], frequent.count(), 1, hashed)
 
 
 SQL = f"""

@@ -8,14 +8,14 @@ threshold. With a threshold of one the same bits are a Bloom filter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import MULTIPLIER, mix, ship_package
+from gristmill.llm.common import MULTIPLIER, give_back, mix, ship_package, small_batches
 
 ROWS = 2
 
@@ -27,7 +27,7 @@ PAGE = 1 << 16
 MOST_BITS = 1 << 27
 
 # Hashes that a task gathers before it packs them.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 
 
 def bits_for(n: int) -> int:
@@ -59,11 +59,24 @@ def cells_of(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield (mix(hashes * MULTIPLIER + np.uint64(row + 1)) & np.uint64(bits - 1)) + np.uint64(row * bits)
 
 
-def screen(hashes: DataFrame, column: str, n: int, at_least: int) -> Screen:
+def own_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """The hashes in the only column of a batch."""
+    return batch.column(0).drop_null().cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def screen(
+    hashes: DataFrame,
+    column: str | list[str],
+    n: int,
+    at_least: int,
+    hashed: Callable[[pa.RecordBatch], np.ndarray] = own_hashes,
+) -> Screen:
     """The screen of a column of 64-bit hashes of which there are about ``n``.
 
-    Null hashes are left out. Tasks send the cells they hit, two bytes each; the pages of bits, whose
-    number is bounded by ``MOST_BITS``, are all that the driver gets.
+    Null hashes are left out; ``hashed`` makes them of other columns. It runs in the same Python
+    worker, as a map of its own would keep a second one beside every task. Tasks send the cells they
+    hit, two bytes each; the pages of bits, whose number is bounded by ``MOST_BITS``, are all that
+    the driver gets.
     """
     bits = bits_for(n)
 
@@ -72,23 +85,28 @@ def screen(hashes: DataFrame, column: str, n: int, at_least: int) -> Screen:
         wanted = np.ones(len(cells), dtype=bool)
         wanted[at_least:] = cells[at_least:] != cells[:-at_least]
         cells = cells[wanted]
-        pages, starts = np.unique(cells >> np.uint64(16), return_index=True)
-        parts = np.split((cells & np.uint64(PAGE - 1)).astype(np.uint16), starts[1:])
+        page = (cells >> np.uint64(16)).astype(np.int32)
+        starts = np.flatnonzero(np.diff(page, prepend=-1))
+        pages, parts = page[starts], np.split((cells & np.uint64(PAGE - 1)).astype(np.uint16), starts[1:])
         return pa.RecordBatch.from_arrays(
-            [pa.array(pages.astype(np.int32)), pa.array([p.tobytes() for p in parts], type=pa.binary())],
+            [pa.array(pages), pa.array([p.tobytes() for p in parts], type=pa.binary())],
             names=["page", "cells"],
         )
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64))
+            if not batch.num_rows:
+                continue
+            held.append(hashed(batch))
             size += len(held[-1])
             if size >= GATHERED:
                 yield packed(np.concatenate(held))
                 held, size = [], 0
         if size:
             yield packed(np.concatenate(held))
+        del held
+        give_back()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by page; one page of counters is held at a time."""
@@ -110,7 +128,9 @@ def screen(hashes: DataFrame, column: str, n: int, at_least: int) -> Screen:
         if page is not None:
             yield bitmap()
 
+    small_batches(hashes.sparkSession)
     ship_package(hashes.sparkSession)
-    hits = hashes.select(F.col(column).cast("long")).mapInArrow(hit, "page int, cells binary")
+    columns = [column] if isinstance(column, str) else column
+    hits = hashes.select(*columns).mapInArrow(hit, "page int, cells binary")
     pages = hits.repartition("page").sortWithinPartitions("page").mapInArrow(added, "page int, bits binary")
     return Screen(bits, {row["page"]: bytes(row["bits"]) for row in pages.collect()})

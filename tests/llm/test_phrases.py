@@ -1,10 +1,14 @@
 """Collocations against a count of everything in plain Python."""
 
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
+
+from gristmill.llm import phrases as op
 from gristmill.llm.phrases import collocations
-from gristmill.llm.screens import PAGE, ROWS, bits_for, screen
+from gristmill.llm.screens import PAGE, ROWS, Screen, bits_for, screen
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,3 +86,49 @@ def test_screen_never_loses_a_repeated_hash(spark):
     # Far too small for its hashes, it lets more pass and loses none.
     assert screen(table, "h", 1, 2).passes(once)[::7].all()
     assert bits_for(1) == PAGE and bits_for(10**15) == 1 << 27 and ROWS == 2
+
+
+def test_words_of_a_block_take_little_memory():
+    """A block of all languages was one list of its words, 16.6 times the bytes here."""
+    text = b" ".join(b"word%d" % (i * 7 % 5_003) for i in range(300_000))
+    few = Screen(PAGE, {})
+    tracemalloc.start()
+    block = op.Coded(text, "en", few)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(block.ids) == 300_000 and len(block.words) == 5_003
+    # Ids, hashes and flags of all words, and one part of the text as words.
+    assert most < 12 * len(text)
+    tracemalloc.start()
+    columns = [pa.array(["en", "de"]), pa.array([text, text], type=pa.binary())]
+    held = next(op.blocks(iter([pa.RecordBatch.from_arrays(columns, names=["lang", "text"])])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == {"en": text, "de": text} and most < 5 * len(text)
+
+
+def test_parts_of_a_text_have_its_tokens(monkeypatch):
+    text = "New York.City,  a\tb!\nc ,. Ä\u00a0ä d\x0be ".encode() * 5
+    for size in (1, 2, 7, 64, 10_000):
+        monkeypatch.setattr(op, "PART_BYTES", size)
+        parts = list(op.parts_of(text))
+        assert b"".join(parts) == text and [w for p in parts for w in op.tokens(p)] == op.tokens(text)
+    assert list(op.parts_of(b"")) == []
+
+
+def test_a_screen_takes_one_worker_a_task(spark, monkeypatch):
+    """Words were hashed in one Python worker and packed in another, and both stayed."""
+    frames = type(spark.range(1))
+    chained, plain = [], frames.mapInArrow
+
+    def counted(self, *args, **kwargs):
+        chained.append(self._jdf.queryExecution().analyzed().toString().count("MapInArrow"))
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(frames, "mapInArrow", counted)
+    words = spark.createDataFrame([("en", "new", 40), ("de", "neu", 31), ("en", "york", 30)], "lang string, phrase string, f long")
+    found = op.hashed_words(words)
+    assert found.passes(op.word_hashes(pa.array([b"new", b"york"]), "en")).all()
+    assert found.passes(op.word_hashes(pa.array([b"neu"]), "de")).all()
+    # The bitmaps are made behind a shuffle, in a stage of their own.
+    assert chained == [0, 1]
