@@ -22,12 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import (
+    MULTIPLIER,
     blank_words,
-    hash_words,
+    mix,
     pieces_for,
     ship_package,
     shuffle_width,
@@ -41,6 +45,11 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 
 CHUNK_BYTES = 1 << 22  # text per chunk
 BUCKET_HASHES = 1 << 20  # hashes per bucket, about
+BLOCK_WORDS = 1 << 14  # words hashed at a time, alone or in windows, which fit the processor's caches
+LONG_WORD = 64  # bytes; words above are hashed one by one
+
+# Whether a byte belongs to a word, as a table for ``bytes.translate``.
+IN_WORD = bytes(b not in (0x20, *range(0x09, 0x0E)) for b in range(256))
 
 SENT = "bucket int, chunk long, hashes binary"
 ANSWERED = "step int, chunk long, bucket int, repeated binary"
@@ -54,12 +63,57 @@ def anchor_width(width: int) -> int:
     return width - PERIOD + 1
 
 
+def listed_words(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts end to end, their hashes, and where each text's begin."""
+    joined = b" ".join([b"", *(t or b"" for t in texts), b""])
+    word = np.frombuffer(joined.translate(IN_WORD), bool)
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    first, last = edges[::2], edges[1::2]
+    # Without blanks only the words are left; they begin where the lengths add up to.
+    data, places = np.frombuffer(joined, np.uint8)[word], starts_of(last - first)
+    kind, offset = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+    words = pa.Array.from_buffers(kind, len(first), [None, pa.py_buffer(places.astype(offset)), pa.py_buffer(data)])
+    begins = starts_of(np.array([len(t or b"") + 1 for t in texts]))
+    return words, listed_hashes(data, places), np.searchsorted(first, begins + 1)
+
+
+def listed_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of every word, from all its bytes, eight at a time; ``data`` has the words end to end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = np.diff(places).astype(np.uint64)
+    for i in range(0, len(out), BLOCK_WORDS):
+        block, begins = out[i : i + BLOCK_WORDS], places[i : i + BLOCK_WORDS]
+        left = block.astype(np.int64)
+        for w in np.flatnonzero(left > LONG_WORD):
+            block[w] = xxhash.xxh3_64_intdigest(data[begins[w] : begins[w] + left[w]])
+        some = np.flatnonzero(left <= LONG_WORD)
+        found, at, left = block[some], begins[some], left[some]
+        while len(some):
+            bits = np.uint64(64) - 8 * np.minimum(left, 8).astype(np.uint64)
+            found = mix(found * MULTIPLIER + (eights[at] << bits))
+            block[some] = found
+            on = np.flatnonzero(left > 8)
+            some, found, at, left = some[on], found[on], at[on] + 8, left[on] - 8
+    return out
+
+
+def windows_in_blocks(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """``window_hashes`` of all words, with intermediate results for some of them at a time."""
+    n = max(0, len(words) - width + 1)
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, BLOCK_WORDS):
+        j = min(n, i + BLOCK_WORDS)
+        out[i:j] = window_hashes(words[i : j + width - 1], width, seed)
+    return out
+
+
 @dataclass
 class Chunk:
-    """The documents of a chunk in a fixed order, with their words' hashes end to end."""
+    """The documents of a chunk in a fixed order, with their words and those' hashes end to end."""
 
     ids: list
-    words: list[list[bytes]]
+    words: pa.Array
     hashes: np.ndarray
     starts: np.ndarray
 
@@ -69,13 +123,8 @@ class Chunk:
             zip(rows["doc_id"].tolist(), rows["data"].tolist(), strict=True),
             key=lambda r: (pd.isna(r[0]), 0 if pd.isna(r[0]) else int(r[0]), r[1] or b""),
         )
-        words = [blank_words(data) for _, data in held]
-        flat = [hash_words(w) for w in words]
         return cls(
-            [None if pd.isna(d) else int(d) for d, _ in held],
-            words,
-            np.concatenate(flat) if flat else np.zeros(0, np.uint64),
-            starts_of(np.array([len(w) for w in words])),
+            [None if pd.isna(d) else int(d) for d, _ in held], *listed_words([data for _, data in held])
         )
 
     def inside(self, width: int) -> np.ndarray:
@@ -103,10 +152,15 @@ class Distinct:
 
     @classmethod
     def of(cls, high: np.ndarray, low: np.ndarray) -> Distinct:
-        order = np.lexsort((low, high))
+        order = np.argsort(high)
         h, lo = high[order], low[order]
         new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
+        new[1:] = h[1:] != h[:-1]
+        # Equal first halves with different second ones are next to never there, and then sorted by both.
+        if np.any(~new[1:] & (lo[1:] != lo[:-1])):
+            order = np.lexsort((low, high))
+            h, lo = high[order], low[order]
+            new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
         entry = np.empty(len(h), dtype=np.int64)
         entry[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
@@ -139,22 +193,21 @@ class Distinct:
 
 def anchor_hashes(chunk: Chunk, width: int) -> tuple[np.ndarray, Distinct]:
     places = chunk.anchors(anchor_width(width))
-    hashes = window_hashes(chunk.hashes, anchor_width(width))[places]
+    hashes = windows_in_blocks(chunk.hashes, anchor_width(width))[places]
     return places, Distinct.of(hashes, np.zeros(len(hashes), np.uint32))
 
 
 def window_places(chunk: Chunk, width: int, anchors: np.ndarray) -> np.ndarray:
     """Places of the windows that hold one of the given anchors."""
-    reach = np.zeros(len(chunk.hashes) + 1, dtype=np.int64)
-    np.add.at(reach, np.maximum(anchors - (PERIOD - 1), 0), 1)
-    np.add.at(reach, anchors + 1, -1)
+    n = len(chunk.hashes) + 1
+    reach = np.bincount(np.maximum(anchors - (PERIOD - 1), 0), minlength=n) - np.bincount(anchors + 1, minlength=n)
     inside = chunk.inside(width)
     return np.flatnonzero(inside & (np.cumsum(reach)[: len(inside)] > 0))
 
 
 def window_entries(chunk: Chunk, width: int, places: np.ndarray) -> Distinct:
-    high = window_hashes(chunk.hashes, width, seed=1)[places]
-    low = window_hashes(chunk.hashes, width, seed=2)[places]
+    high = windows_in_blocks(chunk.hashes, width, seed=1)[places]
+    low = windows_in_blocks(chunk.hashes, width, seed=2)[places]
     return Distinct.of(high, (low >> np.uint64(32)).astype(np.uint32))
 
 
@@ -242,27 +295,31 @@ def repeated_passages(
     )
 
 
-def without_passages(chunk: Chunk, windows: np.ndarray, width: int) -> dict[str, list]:
+def without_passages(chunk: Chunk, windows: np.ndarray, width: int) -> dict:
     """Cut the words under the given windows out of each document."""
-    depth = np.zeros(len(chunk.hashes) + 1, dtype=np.int64)
-    np.add.at(depth, windows, 1)
-    np.add.at(depth, windows + width, -1)
-    covered = np.cumsum(depth)[:-1] > 0
-    out = {"doc_id": chunk.ids, "n_words": [], "n_removed": [], "kept": [], "spans": []}
-    for words, i, j in zip(chunk.words, chunk.starts[:-1], chunk.starts[1:], strict=True):
-        gone = covered[i:j]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-        spans = edges.reshape(-1, 2).tolist()
-        if spans:
-            ends = [0, *edges.tolist(), len(words)]
-            kept = [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]
-        else:
-            kept = words
-        out["n_words"].append(len(words))
-        out["n_removed"].append(int(gone.sum()))
-        out["kept"].append(b" ".join(kept))
-        out["spans"].append(spans)
-    return out
+    n = len(chunk.hashes)
+    depth = np.bincount(windows, minlength=n + 1) - np.bincount(windows + width, minlength=n + 1)
+    covered = np.cumsum(depth)[:n] > 0
+    # Runs of covered words; one that goes on in the next document is two.
+    opens, closes = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    opens[:n], closes[1:] = covered, covered
+    inner = np.ones(n + 1, dtype=bool)
+    inner[chunk.starts] = False
+    edges = inner & opens & closes
+    first, last = np.flatnonzero(opens & ~edges), np.flatnonzero(closes & ~edges)
+    run_starts = np.searchsorted(first, chunk.starts)
+    own = np.repeat(chunk.starts[:-1], np.diff(run_starts))
+    runs = np.stack([first - own, last - own], axis=1).tolist()
+    kept_starts = starts_of(~covered)[chunk.starts]
+    kept = pa.LargeListArray.from_arrays(kept_starts, chunk.words.filter(pa.array(~covered)))
+    n_words = np.diff(chunk.starts)
+    return {
+        "doc_id": chunk.ids,
+        "n_words": n_words,
+        "n_removed": n_words - np.diff(kept_starts),
+        "kept": pc.binary_join(kept, b" ").to_pylist(),
+        "spans": [runs[i:j] for i, j in zip(run_starts[:-1], run_starts[1:], strict=True)],
+    }
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
